@@ -192,11 +192,15 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, exact: bool = True) -> t
     return q1 - k * iqr, q3 + k * iqr
 
 
-def outlier_percents(df: DataFrame, cols: list[str], k: float = 1.5, exact: bool = True) -> dict[str, float | None]:
-    """P8 for several columns: one quantile selection + one conditional-count aggregate."""
+def outlier_percents(df: DataFrame, cols: list[str], k: float = 1.5, exact: bool = True,
+                     qs: dict | None = None) -> dict[str, float | None]:
+    """P8 for several columns: one quantile selection + one conditional-count aggregate.
+
+    ``qs`` may carry precomputed {col: [q1, q3]}.
+    """
     if not cols:
         return {}
-    qs = quantiles(df, cols, [0.25, 0.75], exact=exact)
+    qs = qs or quantiles(df, cols, [0.25, 0.75], exact=exact)
     aggs, live = [], []
     for i, c in enumerate(cols):
         q1, q3 = qs[c]
@@ -283,11 +287,11 @@ def numeric_summary(df: DataFrame, facts: dict | None = None, exact: bool = True
     """Variable, dtype, autotype, min, max, mean, median, pct_missing, n_unique, pct_outliers."""
     facts = facts or column_facts(df)
     cols = _numeric_cols(df, facts)
-    med = quantiles(df, cols, [0.5], exact=exact) if cols else {}
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact) if cols else {}
     cont = [c for c in cols if facts[c]["autotype"] == "Continuous"]
-    outl = outlier_percents(df, cont, exact=exact)
+    outl = outlier_percents(df, cont, exact=exact, qs={c: [qs[c][0], qs[c][2]] for c in cont})
     rows = [(c, facts[c]["dtype"], facts[c]["autotype"], facts[c]["dmin"], facts[c]["dmax"], facts[c]["dmean"],
-             med[c][0], facts[c]["pct_missing"], int(facts[c]["n_unique"] or 0), outl.get(c)) for c in cols]
+             qs[c][1], facts[c]["pct_missing"], int(facts[c]["n_unique"] or 0), outl.get(c)) for c in cols]
     return df.sparkSession.createDataFrame(rows, NUMERIC_SCHEMA)
 
 

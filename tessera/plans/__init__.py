@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_profile"]
+_MODULES = ["q_profile", "q_clean"]
 
 
 def load_all() -> None:
