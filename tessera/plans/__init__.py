@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_profile", "q_clean"]
+_MODULES = ["q_profile", "q_clean", "q_explore"]
 
 
 def load_all() -> None:
