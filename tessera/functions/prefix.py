@@ -19,9 +19,10 @@ MAX_RANGES = 4096
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this one
-    (ordered by ``order_col``, which must be unique, e.g. after a groupBy)."""
+                 rows_per_range: int = ROWS_PER_RANGE, tiebreak: list[str] | None = None) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this one,
+    ordered by the numeric ``order_col`` then ``tiebreak`` (together unique).
+    Ranges are cut on ``order_col`` only, so ties never straddle two ranges."""
     spark = df.sparkSession
     n = df.count()
     parts = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
@@ -41,7 +42,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
         for c in sum_cols:
             acc[c] += r[c] or 0
     off = spark.createDataFrame(offsets, ", ".join(["_rg int"] + [f"_off_{c} double" for c in sum_cols]))
-    w = (Window.partitionBy("_rg").orderBy(key.asc())
+    w = (Window.partitionBy("_rg").orderBy(key.asc(), *[F.col(t) for t in (tiebreak or [])])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ranged.join(F.broadcast(off), "_rg")  # one row per range
     return out.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])

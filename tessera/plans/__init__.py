@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_profile", "q_clean", "q_explore"]
+_MODULES = ["q_profile", "q_clean", "q_explore", "q_models"]
 
 
 def load_all() -> None:
