@@ -38,12 +38,16 @@ class FittedModel:
         with probabilities, ``score`` (class-1 probability) and ``probability`` (array)."""
         if "predict" in self.extra:
             return self.extra["predict"](self, df)
-        out = self.model.transform(self.prepare(df))
+        out = self.model.transform(self.prepare(df.drop(*OUTPUT_COLS)))
         return finish_predictions(self, out, df.columns)
 
 
+OUTPUT_COLS = ("prediction", "score", "probability")
+
+
 def finish_predictions(fm: FittedModel, out: DataFrame, keep: list[str]) -> DataFrame:
-    cols = [F.col(c) for c in keep]
+    """Input columns (minus ones named like an output) + prediction [+ probability, score]."""
+    cols = [F.col(c) for c in keep if c not in OUTPUT_COLS]
     if fm.problem == "regression":
         return out.select(*cols, F.col("prediction").cast("double").alias("prediction"))
     pred = label_of(fm.labels, "prediction", "prediction")

@@ -28,7 +28,7 @@ def pca_fit(df: DataFrame, cols: list[str], k: int = 3) -> dict:
     z = VectorAssembler(inputCols=cols, outputCol="_v").transform(apply_standardize(d, stats))
     n = z.count()
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(z)
-    pc = model.pc.toArray()                       # d x k
+    pc = np.array(model.pc.toArray(), copy=True)  # d x k
     for j in range(pc.shape[1]):
         i = int(np.argmax(np.abs(pc[:, j])))
         if pc[i, j] < 0:
@@ -42,11 +42,11 @@ def pca_fit(df: DataFrame, cols: list[str], k: int = 3) -> dict:
 def pca(df: DataFrame, id_col: str, cols: list[str], k: int = 3, fit: dict | None = None) -> DataFrame:
     """Id, pc1..pck for every complete row."""
     fit = fit or pca_fit(df, cols, k)
-    z = apply_standardize(df.select(id_col, *cols).na.drop("any"), fit["stats"])
+    z = apply_standardize(df.select(F.col(id_col).alias("__id"), *cols).na.drop("any"), fit["stats"])
     pc = fit["pc"]
     scores = [sum((F.col(c) * F.lit(float(pc[i][j])) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"pc{j + 1}")
               for j in range(len(pc[0]))]
-    return z.select(id_col, *scores)
+    return z.select(F.col("__id").alias(id_col), *scores)
 
 
 def pca_loadings(df: DataFrame, fit: dict) -> DataFrame:
