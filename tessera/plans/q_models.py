@@ -301,7 +301,8 @@ def a11(spark, sf):
     return res
 
 
-@query("a12_feature_importance")
+# A12 (feature_importance) is not registered this round: with the reference's grid
+# (60 forest candidates, 5 folds, successive halving) it is ~450 forest fits; see README.
 def a12(spark, sf):
     c = table(spark, sf, "customer")
     return S.feature_importance(c, "c_acctbal", ["c_nationkey", "c_custkey"], "regression", ["c_custkey"],
