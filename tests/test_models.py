@@ -63,3 +63,18 @@ def test_param_grids(spark):
     assert {"C": 1.0, "penalty": "l1", "solver": "lbfgs"} not in g and len(g) == 3
     with pytest.raises(ValueError):
         M.build_param_grid("knn", {"n_neighbors": []})
+
+
+def test_score_stream(spark, tmp_path):
+    from tessera.streaming.score import score_stream, write_scores
+    rng = np.random.RandomState(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=100), "b": rng.normal(size=100)})
+    pdf["y"] = (pdf.a > 0).astype(int)
+    src = str(tmp_path / "src")
+    spark.createDataFrame(pdf).write.parquet(src)
+    fm = bayes.gaussian_nb(spark.read.parquet(src), "y", ["a", "b"])
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    q = write_scores(score_stream(fm, stream), str(tmp_path / "out"), name=f"t{rng.randint(1 << 30)}")
+    q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 100 and "prediction" in out.columns
