@@ -38,13 +38,18 @@ def _interp(lo_v: float, hi_v: float, frac: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float | None]]:
-    """{col: [quantile at each prob]} with missing (NULL/NaN/inf) values ignored."""
+                    rows_per_bucket: int = ROWS_PER_BUCKET,
+                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """{col: [quantile at each prob]} with missing (NULL/NaN/inf) values ignored.
+
+    ``counts`` may carry the known number of non-missing values per column
+    (saves one pass)."""
     if not cols:
         return {}
     spark = df.sparkSession
     long = stack_columns(df, cols)
-    counts = {r["name"]: r["n"] for r in long.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    if counts is None or any(c not in counts for c in cols):
+        counts = {r["name"]: r["n"] for r in long.groupBy("name").agg(F.count("*").alias("n")).collect()}
     n_max = max(counts.values(), default=0)
     n_buckets = max(1, min(MAX_BUCKETS, math.ceil(n_max / rows_per_bucket)))
 
@@ -127,7 +132,7 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-              accuracy: int = 10_000) -> dict[str, list[float | None]]:
+              accuracy: int = 10_000, counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     if exact:
-        return exact_quantiles(df, cols, probs)
+        return exact_quantiles(df, cols, probs, counts=counts)
     return approx_quantiles(df, cols, probs, accuracy)

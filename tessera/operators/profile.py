@@ -1,7 +1,7 @@
 """Profiling: semantic types (AutoType) and per-column summaries.
 
 All per-column facts come from ONE shuffle: every profiled column is
-unpivoted to (name, value-as-string) and reduced to distinct (name, value,
+unpivoted to (name, typed value) and reduced to distinct (name, value,
 count) rows (map-side combined).  A second aggregate keyed by column name
 then yields, for every column at once: rows, missing, distinct count, mode
 (ties -> smallest), the folded min/max used by the boolean test, and
@@ -12,6 +12,7 @@ min/max/mean.  Quantiles (median, IQR) use the bounded exact selection of
 from __future__ import annotations
 
 import datetime as _dt
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,27 +42,32 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
         return {}
     if approx:
         return _approx_facts(df, cols)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"),
-                 F.when(present(df, c), F.col(c).cast("string")).alias("v"))
-        for c in cols]))
-    distinct = (df.select(pairs.alias("p")).select("p.name", "p.v")
-                .groupBy("name", "v").agg(F.count("*").alias("cnt")))
-    v = F.col("v")
-    numeric = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC_TYPES)]
-    num = F.when(F.col("name").isin(numeric), v.try_cast("double"))
+    def typed(c):
+        dt = df.schema[c].dataType
+        p = present(df, c)
+        lv = F.when(p, F.col(c).cast("long")) if isinstance(dt, INTEGRAL_TYPES) else F.lit(None).cast("long")
+        dv = (F.when(p, F.col(c).cast("double")) if isinstance(dt, NUMERIC_TYPES) and not isinstance(dt, INTEGRAL_TYPES)
+              else F.lit(None).cast("double"))
+        sv = (F.when(p, F.col(c).cast("string")) if not isinstance(dt, NUMERIC_TYPES) else F.lit(None).cast("string"))
+        return F.struct(F.lit(c).alias("name"), lv.alias("l"), dv.alias("d"), sv.alias("s"))
+
+    # typed value fields: numbers are grouped as numbers (no string formatting in the shuffle)
+    distinct = (df.select(F.explode(F.array(*[typed(c) for c in cols])).alias("p")).select("p.*")
+                .groupBy("name", "l", "d", "s").agg(F.count("*").alias("cnt")))
+    sv, num = F.col("s"), F.coalesce(F.col("d"), F.col("l").cast("double"))
+    has = F.col("l").isNotNull() | F.col("d").isNotNull() | sv.isNotNull()
     rows = distinct.groupBy("name").agg(
         F.sum("cnt").alias("n_rows"),
-        F.sum(F.when(v.isNotNull(), F.col("cnt")).otherwise(0)).alias("n_present"),
-        F.count(v).alias("n_unique"),
-        F.min(F.when(v.isNotNull(), F.struct((-F.col("cnt")).alias("k"), v.alias("v"))))["v"].alias("mode"),
-        F.min(fold(v)).alias("fmin"),
-        F.max(fold(v)).alias("fmax"),
+        F.sum(F.when(has, F.col("cnt")).otherwise(0)).alias("n_present"),
+        F.count(F.when(has, 1)).alias("n_unique"),
+        F.min(F.when(sv.isNotNull(), F.struct((-F.col("cnt")).alias("k"), sv.alias("v"))))["v"].alias("mode"),
+        F.min(fold(sv)).alias("fmin"),
+        F.max(fold(sv)).alias("fmax"),
         F.min(num).alias("dmin"),
         F.max(num).alias("dmax"),
         (F.sum(num * F.col("cnt")) / F.sum(F.when(num.isNotNull(), F.col("cnt")))).alias("dmean"),
-        F.min(v).alias("smin"),
-        F.max(v).alias("smax"),
+        F.min(sv).alias("smin"),
+        F.max(sv).alias("smax"),
     ).collect()
     got = {r["name"]: r.asDict() for r in rows}
     return {c: _finish(df, c, got.get(c)) for c in cols}
@@ -287,7 +293,11 @@ def numeric_summary(df: DataFrame, facts: dict | None = None, exact: bool = True
     """Variable, dtype, autotype, min, max, mean, median, pct_missing, n_unique, pct_outliers."""
     facts = facts or column_facts(df)
     cols = _numeric_cols(df, facts)
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact) if cols else {}
+    # present counts from the facts equal the quantile input when no +-inf is present
+    known = {c: facts[c]["n_present"] for c in cols
+             if facts[c].get("dmin") is not None and math.isfinite(facts[c]["dmin"]) and math.isfinite(facts[c]["dmax"])}
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact, counts=known if len(known) == len(cols) else None) \
+        if cols else {}
     cont = [c for c in cols if facts[c]["autotype"] == "Continuous"]
     outl = outlier_percents(df, cont, exact=exact, qs={c: [qs[c][0], qs[c][2]] for c in cont})
     rows = [(c, facts[c]["dtype"], facts[c]["autotype"], facts[c]["dmin"], facts[c]["dmax"], facts[c]["dmean"],
