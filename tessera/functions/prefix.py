@@ -19,11 +19,13 @@ MAX_RANGES = 4096
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                 rows_per_range: int = ROWS_PER_RANGE, tiebreak: list[str] | None = None) -> DataFrame:
+                 rows_per_range: int | None = None, tiebreak: list[str] | None = None,
+                 with_next: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this one,
     ordered by the numeric ``order_col`` then ``tiebreak`` (together unique).
     Ranges are cut on ``order_col`` only, so ties never straddle two ranges."""
     spark = df.sparkSession
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
     n = df.count()
     parts = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
     key = -F.col(order_col) if descending else F.col(order_col)
@@ -45,4 +47,18 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
     w = (Window.partitionBy("_rg").orderBy(key.asc(), *[F.col(t) for t in (tiebreak or [])])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ranged.join(F.broadcast(off), "_rg")  # one row per range
-    return out.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
+    res = out.select("_rg", *df.columns,
+                     *[(F.sum(c).over(w) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
+    if not with_next:
+        return res.drop("_rg")
+    # next_<c>: the value of c on the following row; across a range boundary it is the first
+    # row of the next range (a table of one row per range).
+    wo = Window.partitionBy("_rg").orderBy(key.asc(), *[F.col(t) for t in (tiebreak or [])])
+    res = res.withColumn("_pos", F.row_number().over(wo))
+    for c in sum_cols:
+        res = res.withColumn(f"next_{c}", F.lead(c).over(wo))
+    firsts = (res.where("_pos = 1").select((F.col("_rg") - 1).alias("_rg"),
+                                           *[F.col(c).alias(f"_first_{c}") for c in sum_cols]))
+    res = res.join(F.broadcast(firsts), "_rg", "left")
+    return res.select(*df.columns, *[f"cum_{c}" for c in sum_cols],
+                      *[F.coalesce(f"next_{c}", f"_first_{c}").alias(f"next_{c}") for c in sum_cols])

@@ -87,12 +87,12 @@ def multiclass_metrics(df: DataFrame, y: str = "y", pred: str = "prediction") ->
                   (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
 
 
-def _score_table(df: DataFrame, y: str, score: str, positive) -> DataFrame:
+def _score_table(df: DataFrame, y: str, score: str, positive, with_next: bool = False) -> DataFrame:
     """One row per distinct score: tp, fp increments, and running totals from the highest score down."""
     pos = (F.col(y) == F.lit(positive)).cast("double")
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(pos).alias("tp"), F.sum(1.0 - pos).alias("fp"))
-    return running_sums(per, "threshold", ["tp", "fp"], descending=True)
+    return running_sums(per, "threshold", ["tp", "fp"], descending=True, with_next=with_next)
 
 
 def _totals(df: DataFrame, y: str, positive):
@@ -101,11 +101,18 @@ def _totals(df: DataFrame, y: str, positive):
     return float(r["P"] or 0), float(r["n"] - (r["P"] or 0))
 
 
-def roc_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1,
+              drop_intermediate: bool = False) -> DataFrame:
     """V5: threshold, fpr, tpr for every distinct score (highest first), plus the (0, 0) start
-    point with threshold +inf."""
+    point with threshold +inf.  ``drop_intermediate`` keeps only the first and last points and
+    the points where the slope changes (the next score's (fp, tp) increments differ), as
+    scikit-learn's default."""
     P, N = _totals(df, y, positive)
-    st = _score_table(df, y, score, positive)
+    st = _score_table(df, y, score, positive, with_next=drop_intermediate)
+    if drop_intermediate:
+        first = F.col("cum_tp") + F.col("cum_fp") == F.col("tp") + F.col("fp")
+        st = st.where(first | F.col("next_tp").isNull()
+                      | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp")))
     pts = st.select("threshold", (F.col("cum_fp") / F.lit(N)).alias("fpr"), (F.col("cum_tp") / F.lit(P)).alias("tpr"))
     start = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return start.unionByName(pts)

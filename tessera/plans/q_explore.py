@@ -211,6 +211,16 @@ def v5b(spark, sf):
     return rounded(V.roc_auc(line_binary(spark, sf), "y", "score"))
 
 
+@query("v5_roc_curve_drop_intermediate", with_fixtures(f"""WITH {_CURVE},
+l AS (SELECT *, lead(tp) OVER (ORDER BY threshold DESC) AS ntp, lead(fp) OVER (ORDER BY threshold DESC) AS nfp,
+  row_number() OVER (ORDER BY threshold DESC) AS pos FROM c)
+SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT threshold, cum_fp / N, cum_tp / P FROM l, tot
+  WHERE pos = 1 OR ntp IS NULL OR ntp <> tp OR nfp <> fp""", "line_binary"))
+def v5c(spark, sf):
+    return V.roc_curve(line_binary(spark, sf), "y", "score", drop_intermediate=True)
+
+
 @query("v6_pr_curve", with_fixtures(f"""WITH {_CURVE}
 SELECT threshold, cum_tp / (cum_tp + cum_fp) AS precision, cum_tp / P AS recall FROM c, tot WHERE cum_tp - tp < P
 UNION ALL SELECT NULL, 1.0, 0.0""", "line_binary"))

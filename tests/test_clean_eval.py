@@ -84,3 +84,24 @@ def test_auc_matches_mann_whitney(spark):
     assert auc == pytest.approx(mw) and 0 <= auc <= 1
     pr = V.pr_auc(df).collect()[0]["pr_auc"]
     assert 0 <= pr <= 1
+
+
+def test_roc_drop_intermediate_across_ranges(spark, monkeypatch):
+    from tessera.functions import prefix
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 7)
+    # scores 0.00..0.99; positives in runs so many consecutive points are collinear
+    s = np.repeat(np.arange(100) / 100.0, 2)
+    y = np.array([(int(v * 100) // 10) % 2 for v in s])
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "score": s}))
+    got = V.roc_curve(df, drop_intermediate=True).toPandas()
+    # numpy reference of the same rule
+    order = np.argsort(-s, kind="stable")
+    ss, yy = s[order], y[order]
+    thr = np.unique(ss)[::-1]
+    tps = np.array([yy[ss >= t].sum() for t in thr], dtype=float)
+    fps = np.array([(1 - yy[ss >= t]).sum() for t in thr], dtype=float)
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    exp = sorted(zip(thr[keep], fps[keep] / (1 - y).sum(), tps[keep] / y.sum()))
+    got_pts = sorted((r.threshold, r.fpr, r.tpr) for r in got.itertuples() if np.isfinite(r.threshold))
+    assert len(got_pts) == len(exp) < len(thr)
+    assert np.allclose(np.array(got_pts), np.array(exp))
