@@ -5,13 +5,15 @@ aggregation buffer; for a global quantile of a 100 TB column that buffer is
 one task holding the whole column.  Here the selection is done in bounded
 pieces:
 
-1. one aggregate: non-missing count per column and, when the column is
-   large, ``percentile_approx`` cut points (bounded sketch memory);
-2. bucket = number of cut points below the value; bucket sizes per column
-   (a K x P table, K columns, P buckets);
-3. only the buckets holding the wanted ranks are read again, reduced to
-   (value, count) pairs (hot values collapse to one row), and a running sum
-   inside each bucket finds the value at each rank.
+1. one aggregate: non-missing count per column (skipped when known);
+2. for large groups, ``percentile_approx`` cut points (bounded sketch
+   memory); bucket = number of cut points below the value; bucket sizes and
+   approximate distinct counts per bucket (a K x P table);
+3. only the buckets holding the wanted ranks are read again.  A bucket with
+   few distinct values is reduced to (value, count) pairs (hot values
+   collapse to one row) and a running sum inside it finds the value at each
+   rank; a bucket that is still too large (only when P hit its cap) is
+   refined the same way, recursively, inside its own value range.
 
 The interpolation is numpy's "linear" rule (= pandas ``quantile`` =
 ``percentile`` in Spark = ``quantile_cont`` in DuckDB):
@@ -29,6 +31,7 @@ from tessera.functions.exprs import stack_columns
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
+MAX_DEPTH = 4
 
 
 def _interp(lo_v: float, hi_v: float, frac: float) -> float:
@@ -37,86 +40,110 @@ def _interp(lo_v: float, hi_v: float, frac: float) -> float:
     return lo_v + (hi_v - lo_v) * frac
 
 
+def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int], rows_per_bucket: int,
+            depth: int = 0, max_buckets: int | None = None) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks: {(group, rank): value}.  ``long`` has columns (g, v)."""
+    spark = long.sparkSession
+    max_buckets = max_buckets or MAX_BUCKETS
+    groups = [g for g in targets if targets[g]]
+    if not groups:
+        return {}
+    long = long.where(F.col("g").isin(groups))
+    n_max = max(counts[g] for g in groups)
+    n_buckets = max(1, min(max_buckets, math.ceil(n_max / rows_per_bucket)))
+    if n_buckets > 1:
+        accuracy = max(10_000, 50 * n_buckets)
+        cut_probs = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = long.groupBy("g").agg(F.percentile_approx("v", cut_probs, accuracy).alias("cuts")).collect()
+        cut_df = F.broadcast(spark.createDataFrame(
+            [(r["g"], [float(x) for x in sorted(set(r["cuts"]))]) for r in cuts],
+            "g string, cuts array<double>"))  # one row per group
+        bucketed = (long.join(cut_df, "g")
+                    .select("g", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b")))
+        stats = bucketed.groupBy("g", "b").agg(F.count("*").alias("n"),
+                                               F.approx_count_distinct("v").alias("nd")).collect()
+        sizes = {(r["g"], r["b"]): (r["n"], r["nd"]) for r in stats}
+    else:
+        bucketed = long.withColumn("b", F.lit(0))
+        sizes = {(g, 0): (counts[g], 0) for g in groups}
+
+    # rank -> (bucket, local rank) on the small group x bucket table
+    small, big = [], {}
+    for g in groups:
+        offsets, acc = [], 0
+        for b in sorted(b for (gg, b) in sizes if gg == g):
+            offsets.append((b, acc, sizes[(g, b)][0]))
+            acc += sizes[(g, b)][0]
+        for r in targets[g]:
+            for b, start, size in offsets:
+                if start <= r < start + size:
+                    if sizes[(g, b)][1] > rows_per_bucket and depth + 1 < MAX_DEPTH:
+                        big.setdefault((g, b, size), set()).add((r - start, r))
+                    else:
+                        small.append((g, b, r - start, r))
+                    break
+
+    found: dict[tuple[str, int], float] = {}
+    if small:
+        tdf = F.broadcast(spark.createDataFrame(list(set(small)), "g string, b int, lr long, gr long"))
+        need = tdf.select("g", "b").distinct()
+        w = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        vals = (bucketed.join(F.broadcast(need), ["g", "b"])
+                .groupBy("g", "b", "v").agg(F.count("*").alias("cnt"))   # bounded: distinct values of one bucket
+                .withColumn("cum", F.sum("cnt").over(w)))
+        t2 = tdf.select(F.col("g").alias("t_g"), F.col("b").alias("t_b"), "lr", "gr")
+        hit = vals.join(t2, (F.col("g") == F.col("t_g")) & (F.col("b") == F.col("t_b"))
+                        & (F.col("lr") < F.col("cum")) & (F.col("lr") >= F.col("cum") - F.col("cnt")))
+        for r in hit.select("t_g", "gr", "v").collect():
+            found[(r["t_g"], r["gr"])] = r["v"]
+    if big:
+        # refine oversized buckets inside their own value range: group key g#b
+        sub_targets, sub_counts, back = {}, {}, {}
+        for (g, b, size), pairs in big.items():
+            key = f"{g}#{b}"
+            sub_targets[key] = {lr for lr, _ in pairs}
+            sub_counts[key] = size
+            for lr, gr in pairs:
+                back[(key, lr)] = (g, gr)
+        keys = list(sub_targets)
+        sub = (bucketed.select(F.concat_ws("#", "g", F.col("b").cast("string")).alias("g"), "v")
+               .where(F.col("g").isin(keys)))
+        for (key, lr), v in _select(sub, sub_targets, sub_counts, rows_per_bucket, depth + 1, max_buckets).items():
+            found[back[(key, lr)]] = v
+    return found
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    rows_per_bucket: int = ROWS_PER_BUCKET,
-                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+                    rows_per_bucket: int = ROWS_PER_BUCKET, counts: dict[str, int] | None = None,
+                    max_buckets: int | None = None) -> dict[str, list[float | None]]:
     """{col: [quantile at each prob]} with missing (NULL/NaN/inf) values ignored.
 
     ``counts`` may carry the known number of non-missing values per column
     (saves one pass)."""
     if not cols:
         return {}
-    spark = df.sparkSession
-    long = stack_columns(df, cols)
+    long = stack_columns(df, cols, name_col="g")
     if counts is None or any(c not in counts for c in cols):
-        counts = {r["name"]: r["n"] for r in long.groupBy("name").agg(F.count("*").alias("n")).collect()}
-    n_max = max(counts.values(), default=0)
-    n_buckets = max(1, min(MAX_BUCKETS, math.ceil(n_max / rows_per_bucket)))
-
-    if n_buckets > 1:
-        accuracy = max(10_000, 50 * n_buckets)
-        cut_probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = long.groupBy("name").agg(F.percentile_approx("v", cut_probs, accuracy).alias("cuts"))
-        cuts = F.broadcast(spark.createDataFrame(
-            [(r["name"], [float(x) for x in sorted(set(r["cuts"]))]) for r in cuts.collect()],
-            "name string, cuts array<double>"))  # K rows
-        bucketed = (long.join(cuts, "name")
-                    .select("name", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b")))
-        sizes: dict[tuple[str, int], int] = {
-            (r["name"], r["b"]): r["n"]
-            for r in bucketed.groupBy("name", "b").agg(F.count("*").alias("n")).collect()}
-    else:
-        bucketed = long.withColumn("b", F.lit(0))
-        sizes = {(c, 0): n for c, n in counts.items()}
-
-    # rank -> (bucket, local rank), computed on the small K x P size table
-    targets = []  # (name, bucket, local rank, global rank)
+        counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count("*").alias("n")).collect()}
     plan: dict[str, list[tuple[int, int, float] | None]] = {}
+    targets: dict[str, set[int]] = {}
     for c in cols:
         n = counts.get(c, 0)
         if n == 0:
             plan[c] = [None] * len(probs)
             continue
-        offsets, acc = {}, 0
-        for b in sorted(b for (name, b) in sizes if name == c):
-            offsets[b] = (acc, sizes[(c, b)])
-            acc += sizes[(c, b)]
         entries = []
         for q in probs:
             pos = (n - 1) * float(q)
             lo, hi = int(math.floor(pos)), int(math.ceil(pos))
             entries.append((lo, hi, pos - lo))
-            for r in {lo, hi}:
-                for b, (start, size) in offsets.items():
-                    if start <= r < start + size:
-                        targets.append((c, b, r - start, r))
-                        break
+            targets.setdefault(c, set()).update({lo, hi})
         plan[c] = entries
-
-    found: dict[tuple[str, int], float] = {}
-    if targets:
-        tdf = F.broadcast(spark.createDataFrame(list(set(targets)), "name string, b int, lr long, gr long"))
-        need = tdf.select("name", "b").distinct()
-        w = Window.partitionBy("name", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        vals = (bucketed.join(F.broadcast(need), ["name", "b"])
-                .groupBy("name", "b", "v").agg(F.count("*").alias("cnt"))
-                .withColumn("cum", F.sum("cnt").over(w)))
-        t2 = tdf.select(F.col("name").alias("t_name"), F.col("b").alias("t_b"), "lr", "gr")
-        hit = vals.join(t2, (F.col("name") == F.col("t_name")) & (F.col("b") == F.col("t_b"))
-                        & (F.col("lr") < F.col("cum")) & (F.col("lr") >= F.col("cum") - F.col("cnt")))
-        for r in hit.select("t_name", "gr", "v").collect():
-            found[(r["t_name"], r["gr"])] = r["v"]
-
+    found = _select(long, targets, {c: counts.get(c, 0) for c in targets}, rows_per_bucket,
+                    max_buckets=max_buckets)
     out: dict[str, list[float | None]] = {}
     for c in cols:
-        res = []
-        for e in plan[c]:
-            if e is None:
-                res.append(None)
-            else:
-                lo, hi, frac = e
-                res.append(_interp(found[(c, lo)], found[(c, hi)], frac))
-        out[c] = res
+        out[c] = [None if e is None else _interp(found[(c, e[0])], found[(c, e[1])], e[2]) for e in plan[c]]
     return out
 
 

@@ -16,6 +16,16 @@ def test_exact_quantiles_multi_bucket(spark):
         assert np.allclose(q["y"], np.quantile(np.round(x * 3), probs))
 
 
+def test_exact_quantiles_recursive_refinement(spark):
+    rng = np.random.RandomState(2)
+    x = np.concatenate([rng.standard_cauchy(4000), np.full(1500, 0.25)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = [0.0, 0.01, 0.3, 0.5, 0.77, 0.999, 1.0]
+    # at most 3 buckets per level and 100 distinct values per final bucket: forces several levels
+    q = exact_quantiles(df, ["x"], probs, rows_per_bucket=100, max_buckets=3)
+    assert np.allclose(q["x"], np.quantile(x, probs))
+
+
 def test_quantiles_edge_frames(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (1.0,), (2.0,), (3.0,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5])["x"] == [1.0]
