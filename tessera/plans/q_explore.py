@@ -102,6 +102,26 @@ def a5b(spark, sf):
     return X.box_outliers(table(spark, sf, "lineitem").select(*K4, "l_extendedprice"), "l_extendedprice")
 
 
+_BOX_QE = """(SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.5) med,
+  quantile_cont(value, 0.75) q3 FROM events) q"""
+
+
+@query("a5_box_stats_events", f"""SELECT 'value' AS variable, {s8("any_value(q1)")} AS q1, {s8("any_value(med)")} AS median,
+  {s8("any_value(q3)")} AS q3,
+  min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS lower_whisker,
+  max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS upper_whisker,
+  count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+  min(value) AS min, max(value) AS max FROM events, {_BOX_QE}""")
+def a5c(spark, sf):
+    return _round_cols(X.box_stats(table(spark, sf, "events"), "value"), ["q1", "median", "q3"])
+
+
+@query("a5_box_outliers_events", f"""SELECT event_id, value FROM events, {_BOX_QE}
+  WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+def a5d(spark, sf):
+    return X.box_outliers(table(spark, sf, "events").select("event_id", "value"), "value")
+
+
 _QQ_M = 100
 _QQ_P = [(i - 0.5) / _QQ_M for i in range(1, _QQ_M + 1)]
 _QQ_T = [NormalDist().inv_cdf(p) for p in _QQ_P]

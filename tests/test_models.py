@@ -78,3 +78,38 @@ def test_score_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 100 and "prediction" in out.columns
+
+
+@pytest.mark.parametrize("metric,weights", [("manhattan", "distance"), ("chebyshev", "uniform"), ("cosine", "uniform")])
+def test_knn_regress_metrics_brute_force(spark, metric, weights):
+    rng = np.random.RandomState(7)
+    n = 90
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.rand(n), "b": rng.rand(n), "y": rng.rand(n)})
+    df = spark.createDataFrame(pdf)
+    train, test = pdf[pdf.id % 3 != 0], pdf[pdf.id % 3 == 0]
+    fm = knn.knn_fit(df.where("id % 3 != 0"), "y", ["a", "b"], "regression", "id", n_neighbors=4,
+                     weights=weights, metric=metric)
+    got = {r["id"]: r["prediction"] for r in fm.transform(df.where("id % 3 = 0")).collect()}
+    mu, sd = train[["a", "b"]].mean(), train[["a", "b"]].std(ddof=0)
+    Z, Q = ((train[["a", "b"]] - mu) / sd).to_numpy(), ((test[["a", "b"]] - mu) / sd).to_numpy()
+    for qi, q in zip(test.id, Q):
+        if metric == "manhattan":
+            d = np.abs(Z - q).sum(axis=1)
+        elif metric == "chebyshev":
+            d = np.abs(Z - q).max(axis=1)
+        else:
+            d = 1 - (Z @ q) / (np.linalg.norm(Z, axis=1) * np.linalg.norm(q))
+        idx = np.lexsort((train.id.to_numpy(), d))[:4]
+        w = 1 / d[idx] if weights == "distance" else np.ones(4)
+        assert got[qi] == pytest.approx((w * train.y.to_numpy()[idx]).sum() / w.sum())
+
+
+def test_feature_importance_small_grid(spark):
+    from tessera.operators import search as S
+    rng = np.random.RandomState(8)
+    pdf = pd.DataFrame({"id": np.arange(300), "a": rng.rand(300), "b": rng.rand(300)})
+    pdf["y"] = 3 * pdf.a + 0.1 * rng.rand(300)
+    imp = S.feature_importance(spark.createDataFrame(pdf), "y", ["a", "b"], "regression", ["id"],
+                               grid={"n_estimators": [5, 10], "max_depth": [3], "min_samples_split": [2]}, k=3,
+                               parallelism=2).collect()
+    assert [r["feature"] for r in imp][0] == "a" and abs(sum(r["importance"] for r in imp) - 1) < 1e-6
