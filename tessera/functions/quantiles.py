@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import stack_columns
+from tessera.functions.exprs import nan_to_null, stack_columns
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
@@ -40,9 +42,25 @@ def _interp(lo_v: float, hi_v: float, frac: float) -> float:
     return lo_v + (hi_v - lo_v) * frac
 
 
+def _bucketize_wide(df: DataFrame, cols: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """(g, v, b) rows with b from a binary search over each column's cut points
+    (MLlib ``Bucketizer``, JVM-side) applied before the unpivot."""
+    from pyspark.ml.feature import Bucketizer
+    inf = float("inf")
+    vals = df.select(*[nan_to_null(c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    splits = [[-inf] + [x for x in cuts.get(c, []) if x not in (-inf, inf)] + [inf] for c in cols]
+    bz = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in range(len(cols))],
+                    outputCols=[f"_b{i}" for i in range(len(cols))], handleInvalid="keep")
+    b = bz.transform(vals)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("g"), F.col(f"_v{i}").alias("v"),
+                                         F.col(f"_b{i}").cast("int").alias("b")) for i, c in enumerate(cols)]))
+    return b.select(pairs.alias("p")).select("p.g", "p.v", "p.b").where(F.col("v").isNotNull())
+
+
 def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int], rows_per_bucket: int,
-            depth: int = 0, max_buckets: int | None = None) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks: {(group, rank): value}.  ``long`` has columns (g, v)."""
+            depth: int = 0, max_buckets: int | None = None, wide: tuple | None = None) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks: {(group, rank): value}.  ``long`` has columns (g, v);
+    ``wide`` = (df, cols) lets the top level bucket the original columns directly."""
     spark = long.sparkSession
     max_buckets = max_buckets or MAX_BUCKETS
     groups = [g for g in targets if targets[g]]
@@ -54,12 +72,15 @@ def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int
     if n_buckets > 1:
         accuracy = max(10_000, 50 * n_buckets)
         cut_probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = long.groupBy("g").agg(F.percentile_approx("v", cut_probs, accuracy).alias("cuts")).collect()
-        cut_df = F.broadcast(spark.createDataFrame(
-            [(r["g"], [float(x) for x in sorted(set(r["cuts"]))]) for r in cuts],
-            "g string, cuts array<double>"))  # one row per group
-        bucketed = (long.join(cut_df, "g")
-                    .select("g", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("b")))
+        cuts = {r["g"]: sorted(set(float(x) for x in r["cuts"]))
+                for r in long.groupBy("g").agg(F.percentile_approx("v", cut_probs, accuracy).alias("cuts")).collect()}
+        if wide is not None:
+            bucketed = _bucketize_wide(wide[0], wide[1], cuts)
+        else:
+            # refinement levels (rare): interpreted search over the group's cuts
+            cut_df = F.broadcast(spark.createDataFrame(list(cuts.items()), "g string, cuts array<double>"))
+            bucketed = (long.join(cut_df, "g")
+                        .select("g", "v", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("b")))
         stats = bucketed.groupBy("g", "b").agg(F.count("*").alias("n"),
                                                F.approx_count_distinct("v").alias("nd")).collect()
         sizes = {(r["g"], r["b"]): (r["n"], r["nd"]) for r in stats}
@@ -85,17 +106,27 @@ def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int
 
     found: dict[tuple[str, int], float] = {}
     if small:
-        tdf = F.broadcast(spark.createDataFrame(list(set(small)), "g string, b int, lr long, gr long"))
-        need = tdf.select("g", "b").distinct()
-        w = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        vals = (bucketed.join(F.broadcast(need), ["g", "b"])
-                .groupBy("g", "b", "v").agg(F.count("*").alias("cnt"))   # bounded: distinct values of one bucket
-                .withColumn("cum", F.sum("cnt").over(w)))
-        t2 = tdf.select(F.col("g").alias("t_g"), F.col("b").alias("t_b"), "lr", "gr")
-        hit = vals.join(t2, (F.col("g") == F.col("t_g")) & (F.col("b") == F.col("t_b"))
-                        & (F.col("lr") < F.col("cum")) & (F.col("lr") >= F.col("cum") - F.col("cnt")))
-        for r in hit.select("t_g", "gr", "v").collect():
-            found[(r["t_g"], r["gr"])] = r["v"]
+        want: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for g, b, lr, gr in set(small):
+            want.setdefault((g, b), []).append((lr, gr))
+        need = F.broadcast(spark.createDataFrame(list(want), "g string, b int"))   # buckets to read
+
+        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+            # one bucket: its distinct values with counts (bounded); value at each local rank
+            pdf = pdf.sort_values("v")
+            cum = pdf["cnt"].to_numpy().cumsum()
+            key = (pdf["g"].iloc[0], int(pdf["b"].iloc[0]))
+            lrs = [lr for lr, _ in want[key]]
+            idx = np.searchsorted(cum, np.array(lrs) + 1, side="left")
+            return pd.DataFrame({"g": key[0], "b": key[1], "lr": lrs, "v": pdf["v"].to_numpy()[idx]})
+
+        vals = (bucketed.join(need, ["g", "b"])
+                .groupBy("g", "b", "v").agg(F.count("*").alias("cnt"))   # hot values collapse to one row
+                .groupBy("g", "b").applyInPandas(pick, "g string, b int, lr long, v double"))
+        for r in vals.collect():
+            for lr, gr in want[(r["g"], r["b"])]:
+                if lr == r["lr"]:
+                    found[(r["g"], gr)] = r["v"]
     if big:
         # refine oversized buckets inside their own value range: group key g#b
         sub_targets, sub_counts, back = {}, {}, {}
@@ -123,7 +154,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if not cols:
         return {}
     long = stack_columns(df, cols, name_col="g")
-    if counts is None or any(c not in counts for c in cols):
+    known = counts is not None and all(c in counts for c in cols)
+    n_bound = max(counts[c] for c in cols) if known else df.count()   # row count bounds every column's n
+    if n_bound <= rows_per_bucket:
+        return _small_quantiles(long, cols, probs)
+    if not known:
         counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count("*").alias("n")).collect()}
     plan: dict[str, list[tuple[int, int, float] | None]] = {}
     targets: dict[str, set[int]] = {}
@@ -140,13 +175,43 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             targets.setdefault(c, set()).update({lo, hi})
         plan[c] = entries
     found = _select(long, targets, {c: counts.get(c, 0) for c in targets}, rows_per_bucket,
-                    max_buckets=max_buckets)
+                    max_buckets=max_buckets, wide=(df, cols))
     out: dict[str, list[float | None]] = {}
     for c in cols:
         out[c] = [None if e is None else _interp(found[(c, e[0])], found[(c, e[1])], e[2]) for e in plan[c]]
     return out
 
 
+def _small_quantiles(long: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Every column has at most ROWS_PER_BUCKET values: one shuffle by column, and each
+    column's values (bounded) are selected with numpy inside its task; only the
+    values at the wanted ranks reach the driver."""
+    qs = [float(q) for q in probs]
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["v"].to_numpy(dtype=float)
+        n = len(v)
+        ranks = sorted({int(math.floor((n - 1) * q)) for q in qs} | {int(math.ceil((n - 1) * q)) for q in qs})
+        part = np.partition(v, ranks)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "r": ranks, "v": part[ranks], "n": n})
+
+    rows = long.groupBy("g").applyInPandas(pick, "g string, r long, v double, n long").collect()
+    got = {(r["g"], r["r"]): r["v"] for r in rows}
+    ns = {r["g"]: r["n"] for r in rows}
+    out = {}
+    for c in cols:
+        if c not in ns:
+            out[c] = [None] * len(probs)
+            continue
+        res = []
+        for q in probs:
+            p = (ns[c] - 1) * float(q)
+            lo, hi = int(math.floor(p)), int(math.ceil(p))
+            res.append(_interp(got[(c, lo)], got[(c, hi)], p - lo))
+        out[c] = res
+    return out
+
+
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                      accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """One-pass sketch (``percentile_approx``); rank error <= n / accuracy."""

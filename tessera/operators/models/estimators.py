@@ -55,7 +55,8 @@ def _logistic(problem, p, n):
     enet = {"l2": 0.0, "l1": 1.0, "elasticnet": float(p.get("l1_ratio", 0.5)), "none": 0.0, None: 0.0}[pen]
     reg = 0.0 if pen in ("none", None) else 1.0 / (C * n)
     return LogisticRegression(featuresCol="features", labelCol="_label", regParam=reg, elasticNetParam=enet,
-                              standardization=False, maxIter=int(p.get("max_iter", 100)), tol=1e-6)
+                              standardization=False, maxIter=int(p.get("max_iter", 100)),
+                              tol=float(p.get("tol", 1e-4)))
 
 
 def _linear_svc(problem, p, n):
