@@ -2,17 +2,23 @@
 
 ``Window.orderBy(x)`` with no partition moves every row to one task.  Here
 rows are split into value ranges (``percentile_approx`` cut points, so the
-split is deterministic and survives task retries), each range gets its
-offset from a small table of range totals, and the window only runs inside
-one range.
+split is deterministic and survives task retries); one aggregate gives each
+range's totals (-> offsets) and its first row; then every range (bounded
+size) is sorted and summed with numpy inside its own task
+(``applyInPandas``), adding its offset.  Spark's window operator is avoided
+on purpose: it buffers a whole group through a small in-memory threshold
+and is several times slower than a numpy cumulative sum on the same group.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
@@ -23,42 +29,54 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
                  with_next: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this one,
     ordered by the numeric ``order_col`` then ``tiebreak`` (together unique).
-    Ranges are cut on ``order_col`` only, so ties never straddle two ranges."""
-    spark = df.sparkSession
+    Ranges are cut on ``order_col`` only, so ties never straddle two ranges.
+    ``with_next`` also adds ``next_<c>``: c on the following row (NULL on the last)."""
     rows_per_range = rows_per_range or ROWS_PER_RANGE
+    tiebreak = list(tiebreak or [])
     n = df.count()
     parts = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
-    key = -F.col(order_col) if descending else F.col(order_col)
+    key = (-F.col(order_col) if descending else F.col(order_col)).cast("double")
+    keyed = df.withColumn("_key", key)
     if parts == 1:
-        ranged = df.withColumn("_rg", F.lit(0))
+        ranged = keyed.withColumn("_rg", F.lit(0))
     else:
-        cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)],
-                                          max(10_000, 50 * parts)).alias("c")).collect()[0]["c"]
+        cuts = keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)],
+                                             max(10_000, 50 * parts)).alias("c")).collect()[0]["c"]
         cuts = sorted(set(float(c) for c in cuts))
         arr = F.array(*[F.lit(c) for c in cuts])
-        ranged = df.withColumn("_rg", F.size(F.filter(arr, lambda c: c < key.cast("double"))))
-    totals = ranged.groupBy("_rg").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    offsets, acc = [], {c: 0 for c in sum_cols}
+        ranged = keyed.withColumn("_rg", F.size(F.filter(arr, lambda c: c < F.col("_key"))))
+    first = F.min(F.struct(F.col("_key"), *[F.col(t) for t in tiebreak],
+                           *[F.col(c).cast("double").alias(f"f_{c}") for c in sum_cols]))
+    totals = ranged.groupBy("_rg").agg(*[F.sum(c).alias(c) for c in sum_cols], first.alias("_first")).collect()
+    offsets, firsts, acc = {}, {}, {c: 0.0 for c in sum_cols}
     for r in sorted(totals, key=lambda r: r["_rg"]):
-        offsets.append((r["_rg"], *[float(acc[c]) for c in sum_cols]))
+        offsets[r["_rg"]] = dict(acc)
+        firsts[r["_rg"]] = {c: r["_first"][f"f_{c}"] for c in sum_cols}
         for c in sum_cols:
-            acc[c] += r[c] or 0
-    off = spark.createDataFrame(offsets, ", ".join(["_rg int"] + [f"_off_{c} double" for c in sum_cols]))
-    w = (Window.partitionBy("_rg").orderBy(key.asc(), *[F.col(t) for t in (tiebreak or [])])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.join(F.broadcast(off), "_rg")  # one row per range
-    res = out.select("_rg", *df.columns,
-                     *[(F.sum(c).over(w) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
-    if not with_next:
-        return res.drop("_rg")
-    # next_<c>: the value of c on the following row; across a range boundary it is the first
-    # row of the next range (a table of one row per range).
-    wo = Window.partitionBy("_rg").orderBy(key.asc(), *[F.col(t) for t in (tiebreak or [])])
-    res = res.withColumn("_pos", F.row_number().over(wo))
-    for c in sum_cols:
-        res = res.withColumn(f"next_{c}", F.lead(c).over(wo))
-    firsts = (res.where("_pos = 1").select((F.col("_rg") - 1).alias("_rg"),
-                                           *[F.col(c).alias(f"_first_{c}") for c in sum_cols]))
-    res = res.join(F.broadcast(firsts), "_rg", "left")
-    return res.select(*df.columns, *[f"cum_{c}" for c in sum_cols],
-                      *[F.coalesce(f"next_{c}", f"_first_{c}").alias(f"next_{c}") for c in sum_cols])
+            acc[c] += float(r[c] or 0)
+    ranges = sorted(offsets)
+    next_first = {rg: firsts[ranges[i + 1]] if i + 1 < len(ranges) else None for i, rg in enumerate(ranges)}
+
+    out_fields = list(df.schema.fields) + [T.StructField(f"cum_{c}", T.DoubleType()) for c in sum_cols]
+    if with_next:
+        out_fields += [T.StructField(f"next_{c}", T.DoubleType()) for c in sum_cols]
+    schema = T.StructType(out_fields)
+    cols = df.columns
+
+    def per_range(pdf: pd.DataFrame) -> pd.DataFrame:
+        rg = int(pdf["_rg"].iloc[0])
+        pdf = pdf.sort_values(["_key", *tiebreak], kind="mergesort")
+        out = pdf[cols].copy()
+        for c in sum_cols:
+            out[f"cum_{c}"] = pdf[c].to_numpy(dtype=float).cumsum() + offsets[rg][c]
+        if with_next:
+            nf = next_first[rg]
+            for c in sum_cols:
+                v = pdf[c].to_numpy(dtype=float)
+                nxt = np.empty(len(v))
+                nxt[:-1] = v[1:]
+                nxt[-1] = np.nan if nf is None else nf[c]
+                out[f"next_{c}"] = nxt
+        return out
+
+    return ranged.groupBy("_rg").applyInPandas(per_range, schema)
