@@ -61,10 +61,17 @@ def finish_predictions(fm: FittedModel, out: DataFrame, keep: list[str]) -> Data
 
 
 def prepare_training(df: DataFrame, target: str, features: list[str], problem: str, scale: bool = True):
-    """(frame with _label, scaler stats, labels).  Rows with a missing value are dropped."""
+    """(frame with _label, scaler stats, labels, persisted base).
+
+    Rows with a missing value are dropped.  The selected rows are persisted
+    once (MEMORY_AND_DISK) so the statistics passes and the iterations of
+    the fit read them instead of re-scanning the source; the caller
+    unpersists ``base`` after the fit."""
     if problem not in PROBLEMS:
         raise ValueError(f"problem must be one of {PROBLEMS}")
-    d = df.select(target, *features).na.drop("any")
+    from pyspark import StorageLevel
+    d = df.select(*dict.fromkeys([target, *features])).na.drop("any").persist(StorageLevel.MEMORY_AND_DISK)
+    base = d
     stats = fit_scaler(d, features) if scale else None
     labels = None
     if problem == "regression":
@@ -75,4 +82,4 @@ def prepare_training(df: DataFrame, target: str, features: list[str], problem: s
     if stats:
         d = apply_scaler(stats, d)
     d = VectorAssembler(inputCols=features, outputCol="features").transform(d)
-    return d, stats, labels
+    return d, stats, labels, base

@@ -92,8 +92,8 @@ def fit_mllib(kind: str, df: DataFrame, target: str, features: list[str], proble
               params: dict | None = None) -> FittedModel:
     """Fit one MLlib model; the training frame is cached for the iterations of the fit."""
     params = dict(params or {})
-    d, stats, labels = prepare_training(df, target, features, problem)
-    d = d.select("features", "_label").cache()
+    d, stats, labels, base = prepare_training(df, target, features, problem)
+    d = d.select("features", "_label")
     try:
         agg = d.agg(F.count("*").alias("n"), F.stddev_pop("_label").alias("s")).collect()[0]
         n, y_std = agg["n"], agg["s"] or 1.0
@@ -101,7 +101,7 @@ def fit_mllib(kind: str, df: DataFrame, target: str, features: list[str], proble
         est = b(problem, params, n, y_std) if kind in ("linear", "lasso", "ridge") else b(problem, params, n)
         model = est.fit(d)
     finally:
-        d.unpersist()
+        base.unpersist()
     return FittedModel(kind, problem, features, stats, labels, model, {"params": params})
 
 
