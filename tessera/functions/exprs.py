@@ -98,17 +98,18 @@ def to_binary_expr(c: Column | str, include_tf: bool = False) -> Column:
 def hash_unit(cols: list[str], seed: int = 42) -> Column:
     """Deterministic value in [0, 1) from the key columns and a seed.
 
-    md5 of ``seed|k1|k2..`` (first 32 bits).  Stable under repartitioning and
-    task retries (unlike ``rand``), and reproducible in any SQL engine with md5.
+    md5 of ``seed|k1|k2..`` (first 32 bits; NULL keys are skipped, as SQL
+    ``concat_ws`` does).  Stable under repartitioning and task retries
+    (unlike ``rand``), and reproducible in any SQL engine with md5.
     """
-    parts = [F.lit(str(seed))] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    parts = [F.lit(str(seed))] + [F.col(c).cast("string") for c in cols]
     h = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
     return F.conv(h, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def hash_key(cols: list[str], seed: int = 42) -> Column:
     """32-bit integer ordering key (same md5 rule as :func:`hash_unit`)."""
-    parts = [F.lit(str(seed))] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    parts = [F.lit(str(seed))] + [F.col(c).cast("string") for c in cols]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 

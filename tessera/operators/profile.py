@@ -271,8 +271,8 @@ def infer_datetime_format(df: DataFrame, col: str, order_by: list[str]) -> DataF
 NUMERIC_SCHEMA = ("variable string, dtype string, autotype string, min double, max double, mean double, "
                   "median double, pct_missing double, n_unique long, pct_outliers double")
 STRING_SCHEMA = "variable string, dtype string, autotype string, n_unique long, most_frequent string, pct_missing double"
-DATETIME_SCHEMA = ("variable string, dtype string, autotype string, format_guess string, min_time timestamp, "
-                   "max_time timestamp, pct_missing double, n_unique long")
+DATETIME_SCHEMA = ("variable string, dtype string, autotype string, format_guess string, min_time timestamp_ntz, "
+                   "max_time timestamp_ntz, pct_missing double, n_unique long")
 
 
 def _numeric_cols(df, facts):

@@ -293,6 +293,15 @@ def m5(spark, sf):
     return res
 
 
+@query("m5_grid_search_logistic")
+def m5b(spark, sf):
+    d = line_binary(spark, sf)
+    grid = M.build_param_grid("logistic", {"C": [0.1, 1.0], "penalty": ["l2"], "solver": ["lbfgs"]})
+    res, _, _ = S.grid_search(d, "y", ["l_quantity", "l_discount"], "classification_binary", "logistic", grid,
+                              LINE4, k=5, refit=False, parallelism=4)
+    return res
+
+
 @query("a11_halving_search")
 def a11(spark, sf):
     d = line_binary(spark, sf)
