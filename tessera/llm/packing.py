@@ -15,6 +15,7 @@ table gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -31,12 +32,14 @@ CAPACITY = 4096
 END_ID = 2
 DIMENSIONS, BITS, TIE_BITS = 4, 12, 14
 BUCKETS = 256
-#: Texts are tokenised in groups of about this many characters, and a worker remembers this many words.
-GROUP_CHARS, REMEMBERED = 2_000_000, 300_000
+#: Texts are tokenised in groups of about this many characters, and a worker remembers about this many pieces.
+GROUP_CHARS, REMEMBERED = 1_000_000, 700_000
 
 _TOKENIZERS: dict = {}
 #: A word of Latin letters with marks that end a clause: the tokenizer parts the two in any case.
 _WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)")
+#: Letters that stay one letter in lower case, so that a word of them is one word to the tokenizer.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordTokenizer:
@@ -44,58 +47,91 @@ class WordTokenizer:
 
     ``encode(text)`` equals the concatenation over the pieces between blanks,
     tabs and line ends, because the vocabulary's pre-tokenizer drops white space.
+    A piece is one unit, or two: a word of letters and the marks after it.  Words
+    of letters end with the one token that has the word-end mark, so that many are
+    encoded in one call and parted there.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        known = self.known
-        return [known[w] for w in words]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.units: dict[str, int] = {"": 0}
+        self.pieces: dict[str, int] = {}
+        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)  # units of each piece
+        self.length, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # ids of each unit, one after another
+
+    def _add_units(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if w.isascii() and w.isalpha() or _LETTERS.fullmatch(w) else other).append(w)
+        lines = [" ".join(plain[i:i + 500]) for i in range(0, len(plain), 500)]
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(lines, add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(plain):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        each = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
+        self.length = np.concatenate([self.length, np.diff(last, prepend=-1), np.array([len(x) for x in each], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, ids, np.array([i for x in each for i in x], dtype=np.uint32)])
+        for w in (*plain, *other):
+            self.units[w] = len(self.units)
+
+    def _add_pieces(self, pieces: list[str]) -> None:
+        pairs = []
+        for p in pieces:
+            if p.isascii() and p.isalpha():
+                pairs.append((p.lower(), ""))
+            else:
+                m = _WORD_AND_MARKS.fullmatch(p)
+                word, marks = (m[1], m[2]) if m else (p, "")
+                pairs.append((word.lower() if m and word.isascii() else word, marks))
+        units = self.units
+        self._add_units(list(dict.fromkeys(u for pair in pairs for u in pair if u not in units)))
+        self.first = np.concatenate([self.first, np.array([units[w] for w, _ in pairs], dtype=np.int64)])
+        self.second = np.concatenate([self.second, np.array([units[m] for _, m in pairs], dtype=np.int64)])
+        for p in pieces:
+            self.pieces[p] = len(self.pieces)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and the number of ids of each text."""
-        import pandas as pd
-
-        chunks: list[str] = []
-        counts = np.empty(len(texts), dtype=np.int64)
+        if len(self.pieces) > REMEMBERED:
+            self.clear()
+        pieces: list[str] = []
+        counts = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            own = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []
-            chunks += own
-            chunks.append("\n")  # stands for the end id
-            counts[i] = len(own) + 1
-        codes, distinct = pd.factorize(np.array(chunks, dtype=object))
-        first, second = [], []
-        for c in distinct:
-            m = _WORD_AND_MARKS.fullmatch(c)
-            word, marks = (m[1], m[2]) if m else (c, "")
-            first.append(word.lower() if m and word.isascii() else word)
-            second.append(marks)
-        words = list(dict.fromkeys([*first, *second]))
-        place = {w: i for i, w in enumerate(words)}
-        ids = self._ids([w for w in words if w != "\n"])
-        if "\n" in place:
-            ids.insert(place["\n"], np.array([end_id], dtype=np.uint32))
-        length = np.array([len(x) for x in ids], dtype=np.int64)
-        start = np.cumsum(length) - length
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        units = np.array([[place[a], place[b]] for a, b in zip(first, second)], dtype=np.int64).reshape(-1, 2)[codes].ravel()
-        lens = length[units]
-        out = flat[np.repeat(start[units] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
-        per_chunk = lens.reshape(-1, 2).sum(axis=1)
-        ends = np.cumsum(counts)
-        total = np.concatenate([[0], np.cumsum(per_chunk)])
-        return out, total[ends] - total[ends - counts]
+            if t:
+                own = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                pieces += own
+                counts[i] = len(own)
+        known = self.pieces
+        codes = np.array([known.get(p, -1) for p in pieces], dtype=np.int64)
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            self._add_pieces(list(dict.fromkeys([pieces[i] for i in missing])))
+            codes[missing] = [known[pieces[i]] for i in missing]
+        units = np.stack([self.first[codes], self.second[codes]], axis=1)
+        sizes = self.length[units].sum(axis=1)
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        stop = np.cumsum(counts)
+        totals = before[stop] - before[stop - counts] + 1
+        # Where each unit's ids go: after those before it, and after the end ids of the texts before it.
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        at = before[:-1] + text_of
+        out = np.full(int(totals.sum()), end_id, dtype=np.uint32)
+        start = np.cumsum(self.length) - self.length
+        for column, begin in ((units[:, 0], at), (units[:, 1], at + self.length[units[:, 0]])):
+            n = self.length[column]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(begin, n) + inside] = self.flat[np.repeat(start[column], n) + inside]
+        return out, totals
 
 
 def tokenizer_at(path: str) -> WordTokenizer:

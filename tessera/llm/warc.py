@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, shuffle_partitions
 from tessera.session import scratch_path
 
 DICTIONARY_FRAME = 0x184D2A5D
@@ -264,7 +264,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    spread = manifest.select("path", "records").repartition(F.col("path"))  # an archive is a task's unit of work
+    # With a number of partitions, the small rows of the manifest are not put into one task.
+    spread = manifest.select("path", "records").repartition(shuffle_partitions(manifest.sparkSession), F.col("path"))
     return spread.mapInArrow(run, schema)
 
 
