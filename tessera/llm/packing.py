@@ -33,23 +33,30 @@ END_ID = 2
 DIMENSIONS, BITS, TIE_BITS = 4, 12, 14
 BUCKETS = 256
 #: Texts are tokenised in groups of about this many characters, and a worker remembers about this many pieces.
-GROUP_CHARS, REMEMBERED = 1_000_000, 700_000
+GROUP_CHARS, REMEMBERED = 1_000_000, 1_500_000
 
 _TOKENIZERS: dict = {}
-#: A word of Latin letters with marks that end a clause: the tokenizer parts the two in any case.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)")
 #: Letters that stay one letter in lower case, so that a word of them is one word to the tokenizer.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Of each byte: 0 blank, 1 letter, 2 mark that ends a clause, 3 other.
+_KINDS = np.full(256, 3, dtype=np.uint8)
+_KINDS[list(b" \t\n\r")] = 0
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
+_KINDS[list(b".,;:!?")] = 2
+_MULTIPLIER = 0x5851F42D4C957F2D
+_POWERS: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 class WordTokenizer:
-    """A tokenizer that never joins characters across white space: distinct words are encoded once.
+    """A tokenizer that never joins characters across white space: distinct pieces of text are encoded once.
 
     ``encode(text)`` equals the concatenation over the pieces between blanks,
-    tabs and line ends, because the vocabulary's pre-tokenizer drops white space.
-    A piece is one unit, or two: a word of letters and the marks after it.  Words
-    of letters end with the one token that has the word-end mark, so that many are
-    encoded in one call and parted there.
+    tabs and line ends, and between a letter and a mark after it, because the
+    vocabulary's pre-tokenizer drops white space and parts letters from marks.
+    Pieces are found and hashed (64 bits) with array operations on the bytes;
+    only pieces with a new hash become strings.  Words of letters end with the
+    one token that has the word-end mark, so that many are encoded in one call
+    and parted there.
     """
 
     def __init__(self, path: str):
@@ -63,77 +70,98 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {"": 0}
-        self.pieces: dict[str, int] = {}
-        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)  # units of each piece
-        self.length, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # ids of each unit, one after another
-
-    def _add_units(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if w.isascii() and w.isalpha() or _LETTERS.fullmatch(w) else other).append(w)
-        lines = [" ".join(plain[i:i + 500]) for i in range(0, len(plain), 500)]
-        got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(lines, add_special_tokens=False)]
+        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # by ascending hash
+        self.flat = np.zeros(0, np.uint32)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another and the number of each."""
+        single = np.array([bool(_LETTERS.fullmatch(p)) for p in pieces], dtype=bool)
+        words = [p for p, s in zip(pieces, single) if s]
+        other = [p for p, s in zip(pieces, single) if not s]
+        lines = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
         last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(plain):
+        if len(last) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")
         each = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
-        self.length = np.concatenate([self.length, np.diff(last, prepend=-1), np.array([len(x) for x in each], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, ids, np.array([i for x in each for i in x], dtype=np.uint32)])
-        for w in (*plain, *other):
-            self.units[w] = len(self.units)
-
-    def _add_pieces(self, pieces: list[str]) -> None:
-        pairs = []
-        for p in pieces:
-            if p.isascii() and p.isalpha():
-                pairs.append((p.lower(), ""))
-            else:
-                m = _WORD_AND_MARKS.fullmatch(p)
-                word, marks = (m[1], m[2]) if m else (p, "")
-                pairs.append((word.lower() if m and word.isascii() else word, marks))
-        units = self.units
-        self._add_units(list(dict.fromkeys(u for pair in pairs for u in pair if u not in units)))
-        self.first = np.concatenate([self.first, np.array([units[w] for w, _ in pairs], dtype=np.int64)])
-        self.second = np.concatenate([self.second, np.array([units[m] for _, m in pairs], dtype=np.int64)])
-        for p in pieces:
-            self.pieces[p] = len(self.pieces)
+        sizes, starts = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        sizes[single], sizes[~single] = np.diff(last, prepend=-1), [len(x) for x in each]
+        starts[single] = np.cumsum(sizes[single]) - sizes[single]
+        starts[~single] = len(ids) + np.cumsum(sizes[~single]) - sizes[~single]
+        return np.concatenate([ids, np.array([i for x in each for i in x], dtype=np.uint32)]), np.stack([starts, sizes])
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        ids, (starts, sizes) = self._ids(pieces)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.start, self.size = np.insert(self.start, at, starts + len(self.flat)), np.insert(self.size, at, sizes)
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and the number of ids of each text."""
-        if len(self.pieces) > REMEMBERED:
+        odd = [i for i, t in enumerate(texts) if "<|" in t]  # may hold a special token, which is matched before lower-casing
+        plain = [b"" if "<|" in t else t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower() changes A-Z only
+        ids, counts = self._encode_bytes(plain, end_id)
+        if not odd:
+            return ids, counts
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
+            each[i] = np.array([*e.ids, end_id], dtype=np.uint32)
+        return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+
+    def _encode_bytes(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.hashes) > REMEMBERED:
             self.clear()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                own = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                pieces += own
-                counts[i] = len(own)
-        known = self.pieces
-        codes = np.array([known.get(p, -1) for p in pieces], dtype=np.int64)
-        missing = np.flatnonzero(codes < 0).tolist()
-        if missing:
-            self._add_pieces(list(dict.fromkeys([pieces[i] for i in missing])))
-            codes[missing] = [known[pieces[i]] for i in missing]
-        units = np.stack([self.first[codes], self.second[codes]], axis=1)
-        sizes = self.length[units].sum(axis=1)
+        raw = b"\n".join([b"", *texts, b""])  # so that each text stands between line ends
+        data = np.frombuffer(raw, dtype=np.uint8)
+        kind = _KINDS[data]
+        blank = kind == 0
+        letter_end = kind == 1
+        letter_end[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # Latin-1 letters
+        parted = np.zeros(len(data), dtype=bool)
+        parted[1:] = blank[:-1] | (kind[1:] == 2) & letter_end[:-1]
+        begin = np.flatnonzero(parted & ~blank)
+        last = np.flatnonzero(~blank[:-1] & (parted[1:] & ~blank[1:] | blank[1:]))
+        stop = last + 1
+        hashes = _range_hashes(data, begin, stop)
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == distinct[inside]
+        if not known.all():
+            at = first[~known]
+            self._learn(distinct[~known], [raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(begin[at].tolist(), stop[at].tolist())])
+            place = np.searchsorted(self.hashes, distinct)
+        piece = place[where]
+        sizes = self.size[piece]
+        text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
+        pieces_before = np.searchsorted(begin, np.concatenate([[0], text_ends]))
         before = np.concatenate([[0], np.cumsum(sizes)])
-        stop = np.cumsum(counts)
-        totals = before[stop] - before[stop - counts] + 1
-        # Where each unit's ids go: after those before it, and after the end ids of the texts before it.
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        at = before[:-1] + text_of
+        totals = np.diff(before[pieces_before]) + 1
+        # Where each piece's ids go: after those before it, and after the end ids of the texts before it.
         out = np.full(int(totals.sum()), end_id, dtype=np.uint32)
-        start = np.cumsum(self.length) - self.length
-        for column, begin in ((units[:, 0], at), (units[:, 1], at + self.length[units[:, 0]])):
-            n = self.length[column]
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(begin, n) + inside] = self.flat[np.repeat(start[column], n) + inside]
+        at = before[:-1] + np.repeat(np.arange(len(texts)), np.diff(pieces_before))
+        step = np.arange(int(sizes.sum())) - np.repeat(before[:-1], sizes)
+        out[np.repeat(at, sizes) + step] = self.flat[np.repeat(self.start[piece], sizes) + step]
         return out, totals
 
 
+def _range_hashes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes: differences of running sums, brought to position 0 by an inverse power."""
+    global _POWERS
+    if len(_POWERS[0]) < len(data) + 1:
+        size = 1 << len(data).bit_length()
+        inverse = pow(_MULTIPLIER, -1, 1 << 64)
+        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, dtype=np.uint64)])) for x in (_MULTIPLIER, inverse))
+    up, down = _POWERS
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    h = (sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 def tokenizer_at(path: str) -> WordTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
