@@ -43,8 +43,7 @@ _STRETCH = 1 << 16
 
 
 def _powers(base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(_STRETCH, base, dtype=np.uint64)]).astype(np.uint64))
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_STRETCH, base, dtype=np.uint64)]))
 
 
 _UP, _DOWN = _powers(_MULTIPLIER), _powers(_INVERSE)
