@@ -67,7 +67,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     gram = np.zeros(len(data), dtype=np.uint64)
     all_grams, all_rows = [], []
     row = np.repeat(np.arange(len(words)), lens)
-    for n in range(1, GRAMS + 1):
+    for n in range(1, min(GRAMS, len(data)) + 1):
         gram = gram[: len(data) - n + 1] * np.uint64(257) + data[n - 1:] + np.uint64(1)
         fits = at[: len(data) - n + 1] + n <= ends[: len(data) - n + 1]
         all_grams.append(_mix(gram[fits] * np.uint64(8) + np.uint64(n)) >> np.uint64(64 - HASH_BITS))

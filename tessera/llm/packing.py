@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from tessera.llm.common import bucket_of, cut_points, materialize, shuffle_partitions
 from tessera.session import ship_package
@@ -33,7 +32,7 @@ END_ID = 2
 DIMENSIONS, BITS, TIE_BITS = 4, 12, 14
 BUCKETS = 256
 #: Texts are tokenised in groups of about this many characters, and a worker remembers about this many pieces.
-GROUP_CHARS, REMEMBERED = 1_000_000, 1_500_000
+GROUP_CHARS, REMEMBERED = 400_000, 800_000
 
 _TOKENIZERS: dict = {}
 #: Letters that stay one letter in lower case, so that a word of them is one word to the tokenizer.
@@ -70,7 +69,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # by ascending hash
+        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)  # by ascending hash
         self.flat = np.zeros(0, np.uint32)
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +94,7 @@ class WordTokenizer:
         ids, (starts, sizes) = self._ids(pieces)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.start, self.size = np.insert(self.start, at, starts + len(self.flat)), np.insert(self.size, at, sizes)
+        self.start, self.size = np.insert(self.start, at, starts + len(self.flat)), np.insert(self.size, at, sizes)  # fewer than 2**31 ids
         self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +134,7 @@ class WordTokenizer:
             self._learn(distinct[~known], [raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(begin[at].tolist(), stop[at].tolist())])
             place = np.searchsorted(self.hashes, distinct)
         piece = place[where]
-        sizes = self.size[piece]
+        sizes = self.size[piece].astype(np.int64)
         text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
         pieces_before = np.searchsorted(begin, np.concatenate([[0], text_ends]))
         before = np.concatenate([[0], np.cumsum(sizes)])
@@ -219,7 +218,7 @@ def _groups(texts: list[str]):
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = END_ID) -> DataFrame:
-    """``doc_id, n, curve, ids`` (little-endian unsigned 32-bit ids, the end id last; 16-bit if the vocabulary allows)."""
+    """``doc_id, n, curve, ids``: the ids as little-endian unsigned 16-bit numbers, the end id last."""
     ship_package(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("curve", T.LongType()),
@@ -227,7 +226,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: s
 
     def run(batches):
         tokenizer = tokenizer_at(tokenizer_path)
-        for batch in batches:
+        if len(tokenizer.ends) > 1 << 16:
+            raise ValueError("the vocabulary has ids of more than 16 bits")
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _groups(texts):
                 ids, counts = tokenizer.encode(texts[a:b], end_id)
@@ -242,7 +243,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: s
 
 
 def pack(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` of rows from :func:`tokenize`.
+    """Pieces ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` of rows from :func:`tokenize`; ids as 32-bit numbers.
 
     ``tokens`` is read more than once: pass a table or a materialised DataFrame.
     """
@@ -261,9 +262,7 @@ def pack(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches):
         at = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             if at is None:
                 at = base[batch.column(2)[0].as_py()]
             counts = batch.column(1).to_numpy()
@@ -277,7 +276,8 @@ def pack(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             end = np.minimum((sequence + 1) * capacity, (first + counts)[row])
             start = begin - first[row]
             blobs = batch.column(3)
-            ids = [blobs[r].as_buffer().slice(2 * s, 2 * m).to_pybytes() for r, s, m in zip(row.tolist(), start.tolist(), (end - begin).tolist())]
+            ids = [np.frombuffer(blobs[r].as_buffer(), "<u2", m, 2 * s).astype("<u4").tobytes()
+                   for r, s, m in zip(row.tolist(), start.tolist(), (end - begin).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - begin), pa.array(counts[row]), pa.array(sequence),
                  pa.array(begin - sequence * capacity), pa.array(ids, pa.binary())],
@@ -301,18 +301,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def ids_crc32(ids):
-    """crc32 of the ids as little-endian unsigned 32-bit numbers, from the 16-bit form."""
-
-    @pandas_udf(T.LongType())
-    def crc(blobs):
-        import zlib
-
-        return blobs.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()))
-
-    return crc(ids)
-
-
 def op2_pack_hilbert(docs: DataFrame) -> DataFrame:
     tokens = materialize(tokenize(docs, default_tokenizer()), "pack-tokens")
-    return pack(tokens).select("doc_id", "start", "length", ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(tokens).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -76,7 +76,7 @@ def test_sequences_are_the_joined_pieces(spark, documents):
     tokens = packing.materialize(packing.tokenize(documents, packing.default_tokenizer()), "t")
     pieces = packing.materialize(packing.pack(tokens, capacity=512), "t")
     for r in packing.sequences(pieces).collect():
-        assert len(r["ids"]) == 2 * r["length"] and r["length"] <= 512
+        assert len(r["ids"]) == 4 * r["length"] and r["length"] <= 512
 
 
 def test_odd_rows(odd_documents, no_documents):
