@@ -1,7 +1,7 @@
 """Context-triggered piecewise hashing of whole texts.
 
 A rolling hash over the last seven bytes ends a chunk wherever it hits the block
-size; each chunk gives one symbol of 24 bits; a fingerprint is
+size (chunks have a quarter of a block to four blocks); each chunk gives one symbol of 24 bits; a fingerprint is
 ``block:symbols at block:symbols at twice the block``.  Two fingerprints are
 compared by edit distance (insertions and deletions; a change is both) at
 compatible block sizes, that is equal ones or one twice the other, and
@@ -86,6 +86,28 @@ def _symbols(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (_mixed(total) >> np.uint64(40)).astype(np.uint32)
 
 
+def _ends(hits: np.ndarray, n: int, block: int) -> np.ndarray:
+    """Chunk ends from the hits: chunks of a quarter of the block at least, so that a short period that always hits does not
+    flood the fingerprint, and of four blocks at most, so that one that never hits is not a single symbol."""
+    least, most = block // 4, 4 * block
+    ends = hits + 1
+    if len(ends) and (np.diff(ends, prepend=0) < least).any():
+        kept, last = [], 0
+        for e in ends.tolist():
+            if e - last >= least:
+                kept.append(e)
+                last = e
+        ends = np.array(kept, dtype=np.int64)
+    if not len(ends) or ends[-1] != n:
+        ends = np.append(ends, n)
+    starts = np.concatenate([[0], ends[:-1]])
+    pieces = -(-(ends - starts) // most)
+    if pieces.max() == 1:
+        return ends
+    step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+    return np.minimum(np.repeat(starts, pieces) + step * most, np.repeat(ends, pieces))
+
+
 def _written(symbols: np.ndarray) -> str:
     digits = (symbols[:, None] >> np.array([18, 12, 6, 0], dtype=np.uint32)) & np.uint32(63)
     return _ASCII[digits].tobytes().decode()
@@ -108,10 +130,7 @@ def fingerprint_bytes(raw: bytes) -> str:
             break
         block //= 2
     twice = hits[chosen & np.uint32(2 * block - 1) == 0]
-    parts = []
-    for cut in (at, twice):
-        ends = cut + 1
-        parts.append(_written(_symbols(data, ends if len(ends) and ends[-1] == n else np.append(ends, n))))
+    parts = [_written(_symbols(data, _ends(cut, n, size))) for cut, size in ((at, block), (twice, 2 * block))]
     return f"{block}:{parts[0]}:{parts[1]}"
 
 
