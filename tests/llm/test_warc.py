@@ -71,7 +71,7 @@ def test_query_on_the_pages(spark, sf):
 def test_payloads_come_back_and_only_the_manifest_is_read(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     folder = scratch_path(spark, "warc-test")
-    manifest = warc.write_archives(warc.plan_records(pages), folder, archive_bytes=20_000)
+    manifest = warc.write_archives(warc.plan_records(pages).repartition(3), folder)
     assert manifest.count() > 1 and manifest.agg({"records": "sum"}).first()[0] == pages.count()
     with warc.open_file(f"{folder}/left-by-a-lost-task.warc.zst", "wb") as f:
         f.write(b"rubbish")
