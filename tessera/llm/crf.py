@@ -297,7 +297,8 @@ def _iterator_udf(shared):
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     label.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return pandas_udf(label, "lang_pred string, score double")
+    # Not to be evaluated again where a filter uses the result.
+    return pandas_udf(label, "lang_pred string, score double").asNondeterministic()
 
 
 def op5_language_crf(docs: DataFrame) -> DataFrame:
