@@ -29,8 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of fingerprints within four bits: the one with the smallest id."""
-    fingerprinted = materialize(docs.withColumn("__fp", simhash.fingerprint_column(F.col("text"))), "pipeline-fps")
-    return simhash.keep_one(simhash.near_duplicates(fingerprinted, fp="__fp"), docs.columns)
+    return simhash.keep_one(docs)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,12 +235,19 @@ def near_duplicates(fingerprinted: DataFrame, doc_id: str = "doc_id", fp: str =
     return rest.join(named, F.col(fp) == F.col(P + "fp")).drop(P + "fp")
 
 
-def keep_one(rows: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component: the one with the smallest id (a row without an id only if none has one)."""
-    best = rows.groupBy("component_key").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))).alias("w"))
-    best = best.select(F.col("component_key").alias(P + "key"), F.col("w.id").alias(P + "id"))
-    kept = rows.join(best, (F.col("component_key") == F.col(P + "key")) & F.col(doc_id).eqNullSafe(F.col(P + "id")))
-    return kept.dropDuplicates(["component_key"]).select(*columns)
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, unchanged: the one with the smallest id (a row without an id only if none has one).
+
+    Rows are told apart by 128 bits over all columns, so that only ids, fingerprints
+    and these keys go through the search; texts are shuffled once, for the last join.
+    """
+    keys = {P + "k1": F.xxhash64(*docs.columns), P + "k2": F.xxhash64(F.lit("second"), *docs.columns)}
+    slim = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), shingle).alias("fp"), *[c.alias(k) for k, c in keys.items()])
+    named = near_duplicates(materialize(slim, "sim-fps"), radius=radius)
+    best = named.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("w"))
+    best = materialize(best.select(*[F.col(f"w.{k}").alias(k) for k in keys]), "sim-kept")
+    kept = docs.withColumns(keys).join(best, list(keys), "left_semi")
+    return kept.dropDuplicates(list(keys)).select(*docs.columns)
 
 
 def op1_simhash_bk(docs: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def test_odd_rows(spark, odd_documents, no_documents):
 
 
 def test_keep_one_of_each_component(odd_documents):
-    fps = simhash.materialize(odd_documents.withColumn("fp", simhash.fingerprint_column(odd_documents["text"])), "t")
-    kept = simhash.keep_one(simhash.near_duplicates(fps), ["doc_id", "text"]).collect()
+    out = simhash.keep_one(odd_documents)
+    assert out.columns == odd_documents.columns
+    kept = out.collect()
     ids = [r["doc_id"] for r in kept]
     assert ids.count(0) == 1 and 6 not in ids and None not in ids and ids.count(1) == 1
