@@ -189,7 +189,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
     place = model.place(hashes)
     real = (place < len(known)).astype(np.float64)
     scale = 1.0 / np.sqrt(counts)
-    row_of_gram = np.repeat(np.arange(len(distinct)), counts)
+    row_of_gram = np.repeat(np.arange(len(distinct), dtype=np.int32), counts)
+    grams, begins = grams.astype(np.int32), np.cumsum(counts) - counts
     onehot = np.zeros((n, k))
     onehot[np.arange(n), y] = 1
     inner = np.ones(n, dtype=bool)
@@ -200,7 +201,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
     values = [np.zeros(w.shape) for w in (model.grams, model.words, model.moves, model.start)]
     m, v = [np.zeros_like(w) for w in values], [np.zeros_like(w) for w in values]
     for turn in range(1, STEPS + 1):
-        sums = np.add.reduceat(values[0][grams], np.cumsum(counts) - counts, axis=0)
+        # A label at a time, which bounds the driver's memory.
+        sums = np.stack([np.add.reduceat(values[0][:, j][grams], begins) for j in range(k)], axis=1)
         emit = sums * scale[:, None] + values[1][place] * real[:, None]
         got, moved, first = marginals(emit[codes], chain_lengths, values[2], values[3], pairs=True)
         miss = onehot - got
