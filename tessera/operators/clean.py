@@ -14,18 +14,16 @@ from pyspark.sql import types as T
 
 from tessera.functions.exprs import nan_to_null, to_binary_expr
 from tessera.functions.quantiles import quantiles
-
-MAX_ONE_HOT = 1000          # one output column per value: the schema itself must stay small
-MAX_BROADCAST_CODES = 1_000_000  # label-code table broadcast only below this many values
+from tessera.functions.ranks import with_rank
 
 
 def _clip(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     x = F.col(col)
-    return df.withColumn(col, F.when(x.isNull(), x).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(hi))))
+    return df.withColumn(col, F.when(x.isNull() | F.isnan(x.cast("double")), x).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(hi))))
 
 
 def cap_iqr(df: DataFrame, col: str, k: float = 1.5, exact: bool = True) -> DataFrame:
-    """O1: clip to [Q1 - k IQR, Q3 + k IQR] (k in 0..2.5); NULLs stay."""
+    """O1: clip to [Q1 - k IQR, Q3 + k IQR] (k in 0..2.5); missing values (NULL, NaN) stay."""
     if not 0 <= k <= 2.5:
         raise ValueError("k must be within 0..2.5")
     q1, q3 = quantiles(df, [col], [0.25, 0.75], exact=exact)[col]
@@ -124,33 +122,27 @@ def label_codes(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
     """(value, code): codes 0.. by first appearance of each value (by ``order_by``)."""
     firsts = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
               .agg(F.min(F.struct(*[F.col(o) for o in order_by])).alias("_first")))
-    n = firsts.count()
-    if n <= MAX_BROADCAST_CODES:
-        # bounded: at most MAX_BROADCAST_CODES rows go through the one-partition window
-        from pyspark.sql import Window
-        return firsts.select("value", (F.row_number().over(Window.orderBy("_first", "value")) - 1)
-                             .cast("long").alias("code"))
-    # beyond the bound: distributed sort + zipWithIndex (per-partition counts, no single task)
-    ordered = firsts.orderBy("_first", "value").select("value")
-    schema = T.StructType([T.StructField("value", df.schema[col].dataType), T.StructField("code", T.LongType())])
-    return df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])), schema)
+    return with_rank(firsts, ["_first", "value"], "code").select("value", "code")
 
 
 def label_encode(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
-    """Replace values by their first-appearance code; NULLs stay NULL."""
-    codes = label_codes(df, col, order_by)
-    n_codes = codes.count()
-    side = F.broadcast(codes) if n_codes <= MAX_BROADCAST_CODES else codes
-    joined = df.join(side, df[col].eqNullSafe(side["value"]), "left")
-    return joined.select(*[F.col("code").alias(c) if c == col else df[c] for c in df.columns])
-
-
-def one_hot(df: DataFrame, col: str, max_values: int = MAX_ONE_HOT) -> DataFrame:
-    """Drop ``col``, add boolean ``{col}_{value}`` per sorted distinct value; NULL -> all false."""
-    vals = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct()
-            .orderBy(col).limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values; one-hot would explode the schema")
+    """Replace values by their first-appearance code; NULLs stay NULL.
+
+    A plain left join: NULL values match nothing, and Spark broadcasts the codes if their size allows it.
+    """
+    codes = label_codes(df, col, order_by).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+    joined = df.join(codes, df[col] == codes["__value"], "left")
+    return joined.select(*[F.col("__code").alias(c) if c == col else df[c] for c in df.columns])
+
+
+def one_hot(df: DataFrame, col: str, max_values: int | None = None) -> DataFrame:
+    """Drop ``col``, add boolean ``{col}_{value}`` per sorted distinct value; NULL -> all false.
+
+    The result has a column for each value; ``max_values`` makes more of them an error.
+    """
+    vals = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
+    if max_values is not None and len(vals) > max_values:
+        raise ValueError(f"{col} has more than {max_values} distinct values")
     keep = [F.col(c) for c in df.columns if c != col]
     dummies = [F.coalesce(F.col(col) == F.lit(v), F.lit(False)).alias(f"{col}_{v}") for v in vals]
     return df.select(*keep, *dummies)
@@ -171,30 +163,44 @@ DATE_OUTPUT_FORMATS = {
     "%d-%m-%Y": "dd-MM-yyyy",
     "%Y%m%d": "yyyyMMdd",
 }
-# Input patterns tried in order when parsing strings.
-DATE_INPUT_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "yyyy/MM/dd",
-                       "dd-MM-yyyy", "MM-dd-yyyy", "yyyyMMdd", "yyyy.MM.dd", "dd.MM.yyyy"]
+# Input patterns; of those that read the most values of a column the first is taken, so month before day where both fit.
+DATE_INPUT_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX",
+                       "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy.MM.dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy",
+                       "dd-MM-yyyy", "dd.MM.yyyy", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy",
+                       "MMM d, yyyy", "MMMM d, yyyy"]
 # ---------------------------------------------------------------------------
 
 
-def parse_datetime_expr(c: Column, dt: T.DataType, fmt: str | None = None) -> Column:
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return c.cast("timestamp")
-    if isinstance(dt, T.DateType):
+def choose_pattern(df: DataFrame, col: str) -> str | None:
+    """The one pattern of a string column: the one that reads the most values (one aggregate)."""
+    s = F.trim(F.col(col).cast("string"))
+    r = df.agg(*[F.count(F.try_to_timestamp(s, F.lit(p))).alias(f"p{i}") for i, p in enumerate(DATE_INPUT_PATTERNS)]).collect()[0]
+    best = max(range(len(DATE_INPUT_PATTERNS)), key=lambda i: (r[f"p{i}"], -i))
+    return DATE_INPUT_PATTERNS[best] if r[f"p{best}"] else None
+
+
+def parse_datetime_expr(c: Column, dt: T.DataType, fmt: str | None) -> Column:
+    """``fmt``: an offered format or a pattern; None reads nothing from strings."""
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
-    s = F.trim(c.cast("string"))
-    pats = [DATE_OUTPUT_FORMATS.get(fmt, fmt)] if fmt else DATE_INPUT_PATTERNS
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in pats])
+    if fmt is None:
+        return F.lit(None).cast("timestamp")
+    return F.try_to_timestamp(F.trim(c.cast("string")), F.lit(DATE_OUTPUT_FORMATS.get(fmt, fmt)))
+
+
+def _pattern(df: DataFrame, col: str, fmt: str | None) -> str | None:
+    is_time = isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return fmt if fmt or is_time else choose_pattern(df, col)
 
 
 def parse_datetime(df: DataFrame, col: str, fmt: str | None = None) -> DataFrame:
-    """To timestamp; unparseable -> NULL.  ``fmt`` pins one pattern."""
-    return df.withColumn(col, parse_datetime_expr(F.col(col), df.schema[col].dataType, fmt))
+    """To timestamp; unparseable -> NULL.  One pattern for the whole column; ``fmt`` pins it."""
+    return df.withColumn(col, parse_datetime_expr(F.col(col), df.schema[col].dataType, _pattern(df, col, fmt)))
 
 
 def format_datetime(df: DataFrame, col: str, fmt: str = "%Y-%m-%d", in_fmt: str | None = None) -> DataFrame:
     """Parse then format to a string in one of the offered formats."""
     if fmt not in DATE_OUTPUT_FORMATS:
         raise ValueError(f"format must be one of {list(DATE_OUTPUT_FORMATS)}")
-    parsed = parse_datetime_expr(F.col(col), df.schema[col].dataType, in_fmt)
+    parsed = parse_datetime_expr(F.col(col), df.schema[col].dataType, _pattern(df, col, in_fmt))
     return df.withColumn(col, F.date_format(parsed, DATE_OUTPUT_FORMATS[fmt]))

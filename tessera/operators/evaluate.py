@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.prefix import running_sums
 
-MAX_CLASSES = 10_000
-
 
 def _safe_div(a, b):
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
@@ -32,33 +30,30 @@ def binary_metrics(df: DataFrame, y: str = "y", pred: str = "prediction", positi
                       rec.alias("recall"), _safe_div(2 * prec * rec, prec + rec).alias("f1"))
 
 
-def _labels(df: DataFrame, y: str, pred: str) -> list:
-    labs = (df.select(F.col(y).alias("l")).union(df.select(F.col(pred).alias("l")))
-            .where("l IS NOT NULL").distinct().limit(MAX_CLASSES + 1).collect())
-    if len(labs) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return sorted(r["l"] for r in labs)
+def _counts(df: DataFrame, y: str, pred: str) -> DataFrame:
+    dt = df.schema[y].dataType
+    return df.groupBy(F.col(y).alias("actual"), F.col(pred).cast(dt).alias("predicted")).agg(F.count("*").alias("count"))
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataFrame:
-    """V3: actual, predicted, count for every label pair (zeros kept, labels sorted)."""
-    labels = _labels(df, y, pred)
-    dt = df.schema[y].dataType
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels],
-                                 f"actual {dt.simpleString()}, predicted {dt.simpleString()}")
-    counts = df.groupBy(F.col(y).alias("actual"), F.col(pred).cast(dt).alias("predicted")).agg(
-        F.count("*").alias("count"))
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")  # grid: classes^2 rows
+    """V3: actual, predicted, count for every label pair (zeros kept, labels sorted): classes^2 rows, by definition."""
+    counts = _counts(df, y, pred).where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+    labels = df.select(F.array(F.col(y), F.col(pred).cast(df.schema[y].dataType)).alias("l")).agg(
+        F.array_compact(F.array_distinct(F.flatten(F.collect_set("l")))).alias("l"))
+    grid = labels.select("l", F.explode("l").alias("actual")).select("actual", F.explode("l").alias("predicted"))
+    return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def _per_class(cm: DataFrame) -> DataFrame:
-    tp = cm.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"),
-                                                                F.col("count").alias("tp"))
-    sup = cm.groupBy(F.col("actual").alias("label")).agg(F.sum("count").alias("support"))
-    npred = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("count").alias("npred"))
-    t = tp.join(sup, "label").join(npred, "label")
+def _per_class(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """label, precision, recall, f1, support, tp from the counts; no grid of label pairs."""
+    c = _counts(df, y, pred).where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+    sides = F.explode(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("count").alias("support"), F.lit(0).cast("long").alias("npred"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0).alias("tp")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("count").alias("npred"),
+                 F.lit(0).cast("long").alias("tp"))))
+    t = c.select(sides.alias("s")).select("s.*").groupBy("label").agg(F.sum("support").alias("support"), F.sum("npred").alias("npred"), F.sum("tp").alias("tp"))
     prec = _safe_div(F.col("tp"), F.col("npred"))
     rec = _safe_div(F.col("tp"), F.col("support"))
     return t.select("label", prec.alias("precision"), rec.alias("recall"),
@@ -67,24 +62,25 @@ def _per_class(cm: DataFrame) -> DataFrame:
 
 
 def classification_report(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataFrame:
-    """V4: label (string), precision, recall, f1, support; plus 'macro avg' and 'weighted avg' rows."""
-    pc = _per_class(confusion_matrix(df, y, pred)).cache()
-    per = pc.select(F.col("label").cast("string").alias("label"), "precision", "recall", "f1", "support")
-    tot = F.sum("support")
-    macro = pc.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                   F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), tot.cast("long").alias("support"))
-    weighted = pc.agg(F.lit("weighted avg").alias("label"),
-                      (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-                      (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
-                      (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"), tot.cast("long").alias("support"))
-    return per.unionByName(macro).unionByName(weighted)
+    """V4: label (string), precision, recall, f1, support; plus 'macro avg' and 'weighted avg' rows.
+
+    One pass: a rollup-like aggregate over the rows of the classes gives both averages.
+    """
+    pc = _per_class(df, y, pred)
+    kinds = F.explode(F.array(F.lit("class"), F.lit("macro avg"), F.lit("weighted avg"))).alias("kind")
+    label = F.when(F.col("kind") == "class", F.col("label").cast("string")).otherwise(F.col("kind")).alias("label")
+    rows = pc.select("label", "precision", "recall", "f1", "support", kinds).select("kind", label, "precision", "recall", "f1", "support")
+    share = F.when(F.col("kind") == "weighted avg", F.col("support")).otherwise(F.lit(1)).cast("double")
+    return rows.groupBy("kind", "label").agg(
+        *[F.try_divide(F.sum(F.col(m) * share), F.sum(share)).alias(m) for m in ("precision", "recall", "f1")],
+        F.sum("support").cast("long").alias("support")).drop("kind")
 
 
 def multiclass_metrics(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataFrame:
     """V2: accuracy, macro f1, weighted f1."""
-    pc = _per_class(confusion_matrix(df, y, pred))
-    return pc.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("f1_macro"),
-                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
+    pc = _per_class(df, y, pred)
+    return pc.agg(F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("f1_macro"),
+                  F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_weighted"))
 
 
 def _score_table(df: DataFrame, y: str, score: str, positive, with_next: bool = False) -> DataFrame:
@@ -113,7 +109,7 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", positive=1,
         first = F.col("cum_tp") + F.col("cum_fp") == F.col("tp") + F.col("fp")
         st = st.where(first | F.col("next_tp").isNull()
                       | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp")))
-    pts = st.select("threshold", (F.col("cum_fp") / F.lit(N)).alias("fpr"), (F.col("cum_tp") / F.lit(P)).alias("tpr"))
+    pts = st.select("threshold", F.try_divide(F.col("cum_fp"), F.lit(N)).alias("fpr"), F.try_divide(F.col("cum_tp"), F.lit(P)).alias("tpr"))
     start = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return start.unionByName(pts)
 
@@ -122,7 +118,7 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> Da
     """V5: trapezoid area under the ROC curve (= Mann-Whitney with ties counted half)."""
     P, N = _totals(df, y, positive)
     st = _score_table(df, y, score, positive)
-    seg = F.col("fp") / F.lit(N) * (2 * F.col("cum_tp") - F.col("tp")) / F.lit(2 * P)
+    seg = F.try_divide(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp")), F.lit(2 * P * N))   # NULL with one class only
     return st.agg(F.sum(seg).alias("roc_auc"))
 
 
@@ -153,10 +149,12 @@ def pr_auc(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> Dat
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataFrame:
     """V7: mse, rmse, mae, r2 (one aggregate; r2 = 1 - SSE / (n var_pop(y)))."""
     e = F.col(y) - F.col(pred)
+    # A constant y: 1 if it is met exactly, else 0.
+    constant = F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     agg = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("sse"),
                  F.var_pop(y).alias("vy"), F.count("*").alias("n"))
     return agg.select("mse", F.sqrt("mse").alias("rmse"), "mae",
-                      (1 - F.col("sse") / (F.col("n") * F.col("vy"))).alias("r2"))
+                      F.when(F.col("vy") == 0, constant).otherwise(1 - F.try_divide(F.col("sse"), F.col("n") * F.col("vy"))).alias("r2"))
 
 
 def actual_vs_predicted(df: DataFrame, y: str = "y", pred: str = "prediction", keys: list[str] | None = None) -> DataFrame:

@@ -12,24 +12,41 @@ DEFAULT_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN
                      "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+# Numbers as pandas reads them (no Java suffixes such as 10D), and its spellings of booleans.
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+TRUE_TOKENS, FALSE_TOKENS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
+# Quotes are doubled inside quoted fields; line ends and padding inside fields are kept.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _infinity(x):
+    return F.when(F.lower(x).rlike("inf"), F.when(x.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+
+
 def read_csv(spark: SparkSession, path: str, null_tokens: list[str] | None = None,
-             header: bool = True) -> DataFrame:
+             header: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV with header; NA tokens -> NULL; per-column type inferred like pandas.
 
     Read as strings, null the tokens, then ONE aggregate decides for every
-    column whether all present values parse as bigint, else double, else
-    boolean (True/False), else it stays string; a final projection casts.
+    column whether all present values are integers, else numbers, else
+    booleans, else it stays string; a final projection casts.
+
+    ``multi_line`` allows line ends inside quoted fields; a file is then one
+    task's input, so write many files (as :func:`write_csv` does).  Without it
+    large files are split.
     """
     tokens = DEFAULT_NA_TOKENS if null_tokens is None else null_tokens
-    raw = spark.read.option("header", header).option("inferSchema", False).csv(path)
+    raw = spark.read.options(header=header, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS).csv(path)
     cleaned = raw.select(*[F.when(F.col(c).isin(tokens), F.lit(None)).otherwise(F.col(c)).alias(c)
                            for c in raw.columns])
     aggs = []
     for i, c in enumerate(cleaned.columns):
         x = F.col(c)
-        aggs += [F.sum(F.when(x.isNotNull() & F.trim(x).try_cast("long").isNull(), 1).otherwise(0)).alias(f"l{i}"),
-                 F.sum(F.when(x.isNotNull() & F.trim(x).try_cast("double").isNull(), 1).otherwise(0)).alias(f"d{i}"),
-                 F.sum(F.when(x.isNotNull() & ~x.isin("True", "False"), 1).otherwise(0)).alias(f"b{i}"),
+        fits = x.rlike(INTEGER) & F.trim(x).try_cast("long").isNotNull()
+        aggs += [F.sum(F.when(x.isNotNull() & ~fits, 1).otherwise(0)).alias(f"l{i}"),
+                 F.sum(F.when(x.isNotNull() & ~x.rlike(NUMBER), 1).otherwise(0)).alias(f"d{i}"),
+                 F.sum(F.when(x.isNotNull() & ~x.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1).otherwise(0)).alias(f"b{i}"),
                  F.count(x).alias(f"n{i}")]
     r = cleaned.agg(*aggs).collect()[0]
     out = []
@@ -38,11 +55,11 @@ def read_csv(spark: SparkSession, path: str, null_tokens: list[str] | None = Non
         if r[f"n{i}"] == 0:
             out.append(F.col(c).cast("double").alias(c))   # all missing -> float64 NaN column
         elif r[f"l{i}"] == 0:
-            out.append(x.cast("long").alias(c))
+            out.append(x.try_cast("long").alias(c))
         elif r[f"d{i}"] == 0:
-            out.append(x.cast("double").alias(c))
+            out.append(F.coalesce(_infinity(x), x.try_cast("double")).alias(c))
         elif r[f"b{i}"] == 0:
-            out.append((F.col(c) == "True").alias(c))
+            out.append(F.col(c).isin(TRUE_TOKENS).alias(c))
         else:
             out.append(F.col(c))
     return cleaned.select(*out)
@@ -50,7 +67,7 @@ def read_csv(spark: SparkSession, path: str, null_tokens: list[str] | None = Non
 
 def write_csv(df: DataFrame, path: str, null_token: str = "") -> None:
     """Write with a header, no index; one file per task (parallel writers)."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", null_token).csv(path)
+    df.write.mode("overwrite").options(header=True, nullValue=null_token, **CSV_OPTIONS).csv(path)
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
