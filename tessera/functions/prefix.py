@@ -1,8 +1,8 @@
 """Running sums over a globally ordered DataFrame without a one-task window.
 
 ``Window.orderBy(x)`` with no partition moves every row to one task.  Here
-rows are split into value ranges (``percentile_approx`` cut points, so the
-split is deterministic and survives task retries); one aggregate gives each
+rows are split into value ranges, as many as Spark shuffles to at any size
+(``percentile_approx`` cut points, so the split survives task retries); one aggregate gives each
 range's totals (-> offsets) and its first row; then every range (bounded
 size) is sorted and summed with numpy inside its own task
 (``applyInPandas``), adding its offset.  Spark's window operator is avoided
@@ -12,39 +12,32 @@ and is several times slower than a numpy cumulative sum on the same group.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
-
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                 rows_per_range: int | None = None, tiebreak: list[str] | None = None,
+                 ranges: int | None = None, tiebreak: list[str] | None = None,
                  with_next: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this one,
     ordered by the numeric ``order_col`` then ``tiebreak`` (together unique).
     Ranges are cut on ``order_col`` only, so ties never straddle two ranges.
     ``with_next`` also adds ``next_<c>``: c on the following row (NULL on the last)."""
-    rows_per_range = rows_per_range or ROWS_PER_RANGE
     tiebreak = list(tiebreak or [])
-    n = df.count()
-    parts = max(1, min(MAX_RANGES, math.ceil(n / rows_per_range)))
+    parts = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = (-F.col(order_col) if descending else F.col(order_col)).cast("double")
     keyed = df.withColumn("_key", key)
-    if parts == 1:
-        ranged = keyed.withColumn("_rg", F.lit(0))
-    else:
-        cuts = keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)],
-                                             max(10_000, 50 * parts)).alias("c")).collect()[0]["c"]
-        cuts = sorted(set(float(c) for c in cuts))
-        arr = F.array(*[F.lit(c) for c in cuts])
-        ranged = keyed.withColumn("_rg", F.size(F.filter(arr, lambda c: c < F.col("_key"))))
+    cuts = keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], max(1000, 20 * parts)).alias("c")).collect()[0]["c"]
+    inf = float("inf")
+    # MLlib's Bucketizer: a binary search in the JVM.  The cut itself begins the next range.
+    inner = sorted({float(c) for c in (cuts or []) if abs(c) != inf}) if parts > 1 else []
+    ranged = Bucketizer(splits=[-inf, *inner, inf], inputCol="_key", outputCol="_rg", handleInvalid="keep").transform(keyed) if inner else (
+        keyed.withColumn("_rg", F.lit(0)))
+    ranged = ranged.withColumn("_rg", F.col("_rg").cast("int"))
     first = F.min(F.struct(F.col("_key"), *[F.col(t) for t in tiebreak],
                            *[F.col(c).cast("double").alias(f"f_{c}") for c in sum_cols]))
     totals = ranged.groupBy("_rg").agg(*[F.sum(c).alias(c) for c in sum_cols], first.alias("_first")).collect()
@@ -54,8 +47,8 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
         firsts[r["_rg"]] = {c: r["_first"][f"f_{c}"] for c in sum_cols}
         for c in sum_cols:
             acc[c] += float(r[c] or 0)
-    ranges = sorted(offsets)
-    next_first = {rg: firsts[ranges[i + 1]] if i + 1 < len(ranges) else None for i, rg in enumerate(ranges)}
+    filled = sorted(offsets)
+    next_first = {rg: firsts[filled[i + 1]] if i + 1 < len(filled) else None for i, rg in enumerate(filled)}
 
     out_fields = list(df.schema.fields) + [T.StructField(f"cum_{c}", T.DoubleType()) for c in sum_cols]
     if with_next:

@@ -5,15 +5,15 @@ aggregation buffer; for a global quantile of a 100 TB column that buffer is
 one task holding the whole column.  Here the selection is done in bounded
 pieces:
 
-1. one aggregate: non-missing count per column (skipped when known);
-2. for large groups, ``percentile_approx`` cut points (bounded sketch
-   memory); bucket = number of cut points below the value; bucket sizes and
-   approximate distinct counts per bucket (a K x P table);
-3. only the buckets holding the wanted ranks are read again.  A bucket with
-   few distinct values is reduced to (value, count) pairs (hot values
-   collapse to one row) and a running sum inside it finds the value at each
-   rank; a bucket that is still too large (only when P hit its cap) is
-   refined the same way, recursively, inside its own value range.
+1. one aggregate per column: the non-missing count and ``percentile_approx``
+   cut points (bounded sketch memory), as many as Spark shuffles to;
+2. bucket = number of cut points not above the value; bucket sizes and
+   approximate distinct counts per bucket (a columns x buckets table);
+3. only the buckets holding the wanted ranks are read again, reduced to
+   (value, count) pairs (hot values collapse to one row); a running sum inside
+   a bucket finds the value at each rank.  A bucket with more than
+   ``BUCKET_VALUES`` distinct values is cut again inside its own value range,
+   as often as needed.
 
 The interpolation is numpy's "linear" rule (= pandas ``quantile`` =
 ``percentile`` in Spark = ``quantile_cont`` in DuckDB):
@@ -31,9 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import nan_to_null, stack_columns
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-MAX_DEPTH = 4
+BUCKET_VALUES = 1_000_000   # distinct values of a bucket that one task selects from
 
 
 def _interp(lo_v: float, hi_v: float, frac: float) -> float:
@@ -48,7 +46,8 @@ def _bucketize_wide(df: DataFrame, cols: list[str], cuts: dict[str, list[float]]
     from pyspark.ml.feature import Bucketizer
     inf = float("inf")
     vals = df.select(*[nan_to_null(c).alias(f"_v{i}") for i, c in enumerate(cols)])
-    splits = [[-inf] + [x for x in cuts.get(c, []) if x not in (-inf, inf)] + [inf] for c in cols]
+    # Bucketizer wants one inner cut at least; any will do.
+    splits = [[-inf] + ([x for x in cuts.get(c, []) if x not in (-inf, inf)] or [0.0]) + [inf] for c in cols]
     bz = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in range(len(cols))],
                     outputCols=[f"_b{i}" for i in range(len(cols))], handleInvalid="keep")
     b = bz.transform(vals)
@@ -57,36 +56,32 @@ def _bucketize_wide(df: DataFrame, cols: list[str], cuts: dict[str, list[float]]
     return b.select(pairs.alias("p")).select("p.g", "p.v", "p.b").where(F.col("v").isNotNull())
 
 
-def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int], rows_per_bucket: int,
-            depth: int = 0, max_buckets: int | None = None, wide: tuple | None = None) -> dict[tuple[str, int], float]:
+def _cuts(long: DataFrame, parts: int):
+    """Count and cut points of each group: {g: (n, cuts)}."""
+    probs = [i / parts for i in range(1, parts)] or [0.5]
+    rows = long.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", probs, max(1000, 20 * parts)).alias("cuts")).collect()
+    return {r["g"]: (r["n"], sorted({float(x) for x in r["cuts"]})) for r in rows}
+
+
+def _select(long: DataFrame, targets: dict[str, set[int]], cuts: dict[str, list[float]], bucket_values: int, parts: int,
+            wide: tuple | None = None) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks: {(group, rank): value}.  ``long`` has columns (g, v);
     ``wide`` = (df, cols) lets the top level bucket the original columns directly."""
     spark = long.sparkSession
-    max_buckets = max_buckets or MAX_BUCKETS
     groups = [g for g in targets if targets[g]]
     if not groups:
         return {}
     long = long.where(F.col("g").isin(groups))
-    n_max = max(counts[g] for g in groups)
-    n_buckets = max(1, min(max_buckets, math.ceil(n_max / rows_per_bucket)))
-    if n_buckets > 1:
-        accuracy = max(10_000, 50 * n_buckets)
-        cut_probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = {r["g"]: sorted(set(float(x) for x in r["cuts"]))
-                for r in long.groupBy("g").agg(F.percentile_approx("v", cut_probs, accuracy).alias("cuts")).collect()}
-        if wide is not None:
-            bucketed = _bucketize_wide(wide[0], wide[1], cuts)
-        else:
-            # refinement levels (rare): interpreted search over the group's cuts
-            cut_df = F.broadcast(spark.createDataFrame(list(cuts.items()), "g string, cuts array<double>"))
-            bucketed = (long.join(cut_df, "g")
-                        .select("g", "v", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("b")))
-        stats = bucketed.groupBy("g", "b").agg(F.count("*").alias("n"),
-                                               F.approx_count_distinct("v").alias("nd")).collect()
-        sizes = {(r["g"], r["b"]): (r["n"], r["nd"]) for r in stats}
+    if wide is not None:
+        bucketed = _bucketize_wide(wide[0], wide[1], cuts)
     else:
-        bucketed = long.withColumn("b", F.lit(0))
-        sizes = {(g, 0): (counts[g], 0) for g in groups}
+        # refinement levels (rare): interpreted search over the group's cuts (groups x parts numbers)
+        cut_df = F.broadcast(spark.createDataFrame([(g, cuts[g]) for g in groups], "g string, cuts array<double>"))
+        bucketed = (long.join(cut_df, "g")
+                    .select("g", "v", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("b")))
+    stats = bucketed.groupBy("g", "b").agg(F.count("*").alias("n"),
+                                           F.approx_count_distinct("v").alias("nd")).collect()
+    sizes = {(r["g"], r["b"]): (r["n"], r["nd"]) for r in stats}
 
     # rank -> (bucket, local rank) on the small group x bucket table
     small, big = [], {}
@@ -98,8 +93,8 @@ def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int
         for r in targets[g]:
             for b, start, size in offsets:
                 if start <= r < start + size:
-                    if sizes[(g, b)][1] > rows_per_bucket and depth + 1 < MAX_DEPTH:
-                        big.setdefault((g, b, size), set()).add((r - start, r))
+                    if sizes[(g, b)][1] > bucket_values:
+                        big.setdefault((g, b), set()).add((r - start, r))
                     else:
                         small.append((g, b, r - start, r))
                     break
@@ -129,41 +124,37 @@ def _select(long: DataFrame, targets: dict[str, set[int]], counts: dict[str, int
                     found[(r["g"], gr)] = r["v"]
     if big:
         # refine oversized buckets inside their own value range: group key g#b
-        sub_targets, sub_counts, back = {}, {}, {}
-        for (g, b, size), pairs in big.items():
+        sub_targets, back = {}, {}
+        for (g, b), pairs in big.items():
             key = f"{g}#{b}"
             sub_targets[key] = {lr for lr, _ in pairs}
-            sub_counts[key] = size
             for lr, gr in pairs:
                 back[(key, lr)] = (g, gr)
-        keys = list(sub_targets)
         sub = (bucketed.select(F.concat_ws("#", "g", F.col("b").cast("string")).alias("g"), "v")
-               .where(F.col("g").isin(keys)))
-        for (key, lr), v in _select(sub, sub_targets, sub_counts, rows_per_bucket, depth + 1, max_buckets).items():
+               .where(F.col("g").isin(list(sub_targets))))
+        # Cut points of the distinct values: with three or more some cut lies above the least, so each level splits the bucket.
+        sub_cuts = {g: c for g, (_, c) in _cuts(sub.distinct(), max(3, parts)).items()}
+        for (key, lr), v in _select(sub, sub_targets, sub_cuts, max(2, bucket_values), max(3, parts)).items():
             found[back[(key, lr)]] = v
     return found
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    rows_per_bucket: int = ROWS_PER_BUCKET, counts: dict[str, int] | None = None,
-                    max_buckets: int | None = None) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bucket_values: int = BUCKET_VALUES,
+                    counts: dict[str, int] | None = None, parts: int | None = None) -> dict[str, list[float | None]]:
     """{col: [quantile at each prob]} with missing (NULL/NaN/inf) values ignored.
 
-    ``counts`` may carry the known number of non-missing values per column
-    (saves one pass)."""
+    The same plan at every size: cut points, bucket sizes, selection in the wanted buckets.
+    ``counts`` (known non-missing counts) is accepted for callers that have them; the cut pass counts anyway.
+    """
     if not cols:
         return {}
     long = stack_columns(df, cols, name_col="g")
-    known = counts is not None and all(c in counts for c in cols)
-    n_bound = max(counts[c] for c in cols) if known else df.count()   # row count bounds every column's n
-    if n_bound <= rows_per_bucket:
-        return _small_quantiles(long, cols, probs)
-    if not known:
-        counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    facts = _cuts(long, parts)
     plan: dict[str, list[tuple[int, int, float] | None]] = {}
     targets: dict[str, set[int]] = {}
     for c in cols:
-        n = counts.get(c, 0)
+        n = facts[c][0] if c in facts else 0
         if n == 0:
             plan[c] = [None] * len(probs)
             continue
@@ -174,44 +165,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             entries.append((lo, hi, pos - lo))
             targets.setdefault(c, set()).update({lo, hi})
         plan[c] = entries
-    found = _select(long, targets, {c: counts.get(c, 0) for c in targets}, rows_per_bucket,
-                    max_buckets=max_buckets, wide=(df, cols))
+    found = _select(long, targets, {c: facts[c][1] if parts > 1 else [] for c in targets}, bucket_values, parts, wide=(df, cols))
     out: dict[str, list[float | None]] = {}
     for c in cols:
         out[c] = [None if e is None else _interp(found[(c, e[0])], found[(c, e[1])], e[2]) for e in plan[c]]
     return out
 
 
-def _small_quantiles(long: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Every column has at most ROWS_PER_BUCKET values: one shuffle by column, and each
-    column's values (bounded) are selected with numpy inside its task; only the
-    values at the wanted ranks reach the driver."""
-    qs = [float(q) for q in probs]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy(dtype=float)
-        n = len(v)
-        ranks = sorted({int(math.floor((n - 1) * q)) for q in qs} | {int(math.ceil((n - 1) * q)) for q in qs})
-        part = np.partition(v, ranks)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "r": ranks, "v": part[ranks], "n": n})
-
-    rows = long.groupBy("g").applyInPandas(pick, "g string, r long, v double, n long").collect()
-    got = {(r["g"], r["r"]): r["v"] for r in rows}
-    ns = {r["g"]: r["n"] for r in rows}
-    out = {}
-    for c in cols:
-        if c not in ns:
-            out[c] = [None] * len(probs)
-            continue
-        res = []
-        for q in probs:
-            p = (ns[c] - 1) * float(q)
-            lo, hi = int(math.floor(p)), int(math.ceil(p))
-            res.append(_interp(got[(c, lo)], got[(c, hi)], p - lo))
-        out[c] = res
-    return out
-
-
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                      accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """One-pass sketch (``percentile_approx``); rank error <= n / accuracy."""

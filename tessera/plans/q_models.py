@@ -218,8 +218,7 @@ def l5(spark, sf):
 @query("l6_svm_regress")
 def l6(spark, sf):
     d = _line_split(table(spark, sf, "lineitem"))
-    fm = svm.svm_regress(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, C=1.0, kernel="linear",
-                         iterations=30)
+    fm = svm.svm_regress(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, C=1.0, kernel="linear")
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
 
 

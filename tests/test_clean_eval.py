@@ -87,8 +87,9 @@ def test_auc_matches_mann_whitney(spark):
 
 
 def test_roc_drop_intermediate_across_ranges(spark, monkeypatch):
-    from tessera.functions import prefix
-    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 7)
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(spark.conf, "get", lambda key, *a, f=spark.conf.get: "17" if key == "spark.sql.shuffle.partitions" else f(key, *a))
+    assert conf
     # scores 0.00..0.99; positives in runs so many consecutive points are collinear
     s = np.repeat(np.arange(100) / 100.0, 2)
     y = np.array([(int(v * 100) // 10) % 2 for v in s])

@@ -10,8 +10,8 @@ def test_exact_quantiles_multi_bucket(spark):
     x = np.concatenate([rng.normal(size=3000), np.full(2000, 0.5)])   # a hot value: 40 % of rows
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.round(x * 3)}))
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]
-    for rpb in (10_000_000, 300):
-        q = exact_quantiles(df, ["x", "y"], probs, rows_per_bucket=rpb)
+    for parts, values in ((1, 10_000_000), (40, 300), (3, 10)):
+        q = exact_quantiles(df, ["x", "y"], probs, bucket_values=values, parts=parts)
         assert np.allclose(q["x"], np.quantile(x, probs))
         assert np.allclose(q["y"], np.quantile(np.round(x * 3), probs))
 
@@ -21,8 +21,8 @@ def test_exact_quantiles_recursive_refinement(spark):
     x = np.concatenate([rng.standard_cauchy(4000), np.full(1500, 0.25)])
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     probs = [0.0, 0.01, 0.3, 0.5, 0.77, 0.999, 1.0]
-    # at most 3 buckets per level and 100 distinct values per final bucket: forces several levels
-    q = exact_quantiles(df, ["x"], probs, rows_per_bucket=100, max_buckets=3)
+    # 3 buckets per level and 100 distinct values per final bucket: forces several levels
+    q = exact_quantiles(df, ["x"], probs, bucket_values=100, parts=3)
     assert np.allclose(q["x"], np.quantile(x, probs))
 
 
@@ -39,5 +39,14 @@ def test_quantiles_edge_frames(spark):
 def test_running_sums_many_ranges(spark):
     pdf = pd.DataFrame({"t": np.arange(1000, dtype=float), "v": np.arange(1000) % 7})
     df = spark.createDataFrame(pdf)
-    out = running_sums(df, "t", ["v"], descending=True, rows_per_range=50).toPandas().sort_values("t", ascending=False)
+    out = running_sums(df, "t", ["v"], descending=True, ranges=20).toPandas().sort_values("t", ascending=False)
     assert np.allclose(out["cum_v"].values, pdf.sort_values("t", ascending=False)["v"].cumsum().values)
+    one = running_sums(df, "t", ["v"], descending=True, ranges=1).toPandas().sort_values("t", ascending=False)
+    assert (one.reset_index(drop=True) == out.reset_index(drop=True)).all().all()
+
+
+def test_a_hot_least_value_is_refined(spark):
+    x = np.concatenate([np.zeros(5000), np.arange(1, 400)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = [0.0, 0.5, 0.93, 0.99, 1.0]
+    assert np.allclose(exact_quantiles(df, ["x"], probs, bucket_values=20, parts=2)["x"], np.quantile(x, probs))
