@@ -79,25 +79,29 @@ def _select(long: DataFrame, targets: dict[str, set[int]], cuts: dict[str, list[
         cut_df = F.broadcast(spark.createDataFrame([(g, cuts[g]) for g in groups], "g string, cuts array<double>"))
         bucketed = (long.join(cut_df, "g")
                     .select("g", "v", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("b")))
-    stats = bucketed.groupBy("g", "b").agg(F.count("*").alias("n"),
-                                           F.approx_count_distinct("v").alias("nd")).collect()
-    sizes = {(r["g"], r["b"]): (r["n"], r["nd"]) for r in stats}
+    sizes = {(r["g"], r["b"]): r["n"] for r in bucketed.groupBy("g", "b").agg(F.count("*").alias("n")).collect()}
 
     # rank -> (bucket, local rank) on the small group x bucket table
-    small, big = [], {}
+    wanted: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for g in groups:
-        offsets, acc = [], 0
+        acc = 0
         for b in sorted(b for (gg, b) in sizes if gg == g):
-            offsets.append((b, acc, sizes[(g, b)][0]))
-            acc += sizes[(g, b)][0]
-        for r in targets[g]:
-            for b, start, size in offsets:
-                if start <= r < start + size:
-                    if sizes[(g, b)][1] > bucket_values:
-                        big.setdefault((g, b), set()).add((r - start, r))
-                    else:
-                        small.append((g, b, r - start, r))
-                    break
+            for r in targets[g]:
+                if acc <= r < acc + sizes[(g, b)]:
+                    wanted.setdefault((g, b), []).append((r - acc, r))
+            acc += sizes[(g, b)]
+    # Only buckets with many rows can have many distinct values; those are counted.
+    many = [gb for gb in wanted if sizes[gb] > bucket_values]
+    values: dict[tuple[str, int], int] = {}
+    if many:
+        part = bucketed.join(F.broadcast(spark.createDataFrame(many, "g string, b int")), ["g", "b"])
+        values = {(r["g"], r["b"]): r["nd"] for r in part.groupBy("g", "b").agg(F.approx_count_distinct("v").alias("nd")).collect()}
+    small, big = [], {}
+    for gb, pairs in wanted.items():
+        if values.get(gb, 0) > bucket_values:
+            big[gb] = set(pairs)
+        else:
+            small += [(*gb, lr, gr) for lr, gr in pairs]
 
     found: dict[tuple[str, int], float] = {}
     if small:
@@ -150,7 +154,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bucket_v
         return {}
     long = stack_columns(df, cols, name_col="g")
     parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    facts = _cuts(long, parts)
+    # Counts and cut points of all columns in one row: no unpivot, no shuffle of values.
+    qs, accuracy = [i / parts for i in range(1, parts)] or [0.5], max(1000, 20 * parts)
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(nan_to_null(c)).alias(f"n{i}"), F.percentile_approx(nan_to_null(c), qs, accuracy).alias(f"c{i}"))]).collect()[0]
+    facts = {c: (row[f"n{i}"], sorted({float(x) for x in row[f"c{i}"] or []})) for i, c in enumerate(cols)}
     plan: dict[str, list[tuple[int, int, float] | None]] = {}
     targets: dict[str, set[int]] = {}
     for c in cols:

@@ -1,11 +1,10 @@
 """Profiling: semantic types (AutoType) and per-column summaries.
 
-All per-column facts come from ONE shuffle: every profiled column is
-unpivoted to (name, typed value) and reduced to distinct (name, value,
-count) rows (map-side combined).  A second aggregate keyed by column name
-then yields, for every column at once: rows, missing, distinct count, mode
-(ties -> smallest), the folded min/max used by the boolean test, and
-min/max/mean.  Quantiles (median, IQR) use the bounded exact selection of
+One wide aggregate gives every column's counts, missing values, min, max, mean
+and the folded min/max used by the boolean test.  Distinct counts (and the mode
+of text, ties -> smallest) come from one small sub-plan a column, which reads
+only that column in its own type and combines map-side; the sub-plans are one
+job.  Quantiles (median, IQR) use the bounded exact selection of
 :mod:`tessera.functions.quantiles`.  The driver only sees one row per column.
 """
 
@@ -31,7 +30,7 @@ STRING_AUTOTYPES = ("Boolean", "Binary", "Categorical", "Descriptive")
 # facts
 # ---------------------------------------------------------------------------
 def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> dict[str, dict]:
-    """{col: facts} from one distributed pass (see module doc).
+    """{col: facts} from a wide aggregate and a distinct count for each column (see module doc).
 
     ``approx=True`` replaces the exact distinct count by HyperLogLog++
     (``approx_count_distinct``), which needs no shuffle of distinct values;
@@ -42,35 +41,42 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
         return {}
     if approx:
         return _approx_facts(df, cols)
-    def typed(c):
-        dt = df.schema[c].dataType
+    # One wide aggregate over the scan for what needs no distinct values ...
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
         p = present(df, c)
-        lv = F.when(p, F.col(c).cast("long")) if isinstance(dt, INTEGRAL_TYPES) else F.lit(None).cast("long")
-        dv = (F.when(p, F.col(c).cast("double")) if isinstance(dt, NUMERIC_TYPES) and not isinstance(dt, INTEGRAL_TYPES)
-              else F.lit(None).cast("double"))
-        sv = (F.when(p, F.col(c).cast("string")) if not isinstance(dt, NUMERIC_TYPES) else F.lit(None).cast("string"))
-        return F.struct(F.lit(c).alias("name"), lv.alias("l"), dv.alias("d"), sv.alias("s"))
-
-    # typed value fields: numbers are grouped as numbers (no string formatting in the shuffle)
-    distinct = (df.select(F.explode(F.array(*[typed(c) for c in cols])).alias("p")).select("p.*")
-                .groupBy("name", "l", "d", "s").agg(F.count("*").alias("cnt")))
-    sv, num = F.col("s"), F.coalesce(F.col("d"), F.col("l").cast("double"))
-    has = F.col("l").isNotNull() | F.col("d").isNotNull() | sv.isNotNull()
-    rows = distinct.groupBy("name").agg(
-        F.sum("cnt").alias("n_rows"),
-        F.sum(F.when(has, F.col("cnt")).otherwise(0)).alias("n_present"),
-        F.count(F.when(has, 1)).alias("n_unique"),
-        F.min(F.when(sv.isNotNull(), F.struct((-F.col("cnt")).alias("k"), sv.alias("v"))))["v"].alias("mode"),
-        F.min(fold(sv)).alias("fmin"),
-        F.max(fold(sv)).alias("fmax"),
-        F.min(num).alias("dmin"),
-        F.max(num).alias("dmax"),
-        (F.sum(num * F.col("cnt")) / F.sum(F.when(num.isNotNull(), F.col("cnt")))).alias("dmean"),
-        F.min(sv).alias("smin"),
-        F.max(sv).alias("smax"),
-    ).collect()
-    got = {r["name"]: r.asDict() for r in rows}
-    return {c: _finish(df, c, got.get(c)) for c in cols}
+        aggs.append(F.count(F.when(p, 1)).alias(f"p{i}"))
+        if isinstance(df.schema[c].dataType, NUMERIC_TYPES):
+            num = F.when(p, F.col(c).cast("double"))
+            aggs += [F.min(num).alias(f"dmin{i}"), F.max(num).alias(f"dmax{i}"), F.avg(num).alias(f"dmean{i}")]
+        else:
+            text = F.when(p, F.col(c).cast("string"))
+            aggs += [F.min(text).alias(f"smin{i}"), F.max(text).alias(f"smax{i}"), F.min(fold(text)).alias(f"fmin{i}"), F.max(fold(text)).alias(f"fmax{i}")]
+    wide = df.agg(*aggs).collect()[0].asDict()
+    if not wide["n"]:
+        return {c: _finish(df, c, None) for c in cols}
+
+    # ... and for each column its distinct values in their own type, counted apart (no row x column explode);
+    # the sub-plans are one job, each reads one column and combines map-side.
+    def distinct(i, c):
+        part = df.where(present(df, c)).select(F.col(c).alias("v"))
+        if isinstance(df.schema[c].dataType, NUMERIC_TYPES):
+            return part.distinct().agg(F.lit(i).alias("i"), F.count("*").alias("n_unique"), F.lit(None).cast("string").alias("mode"))
+        values = part.groupBy("v").agg(F.count("*").alias("cnt"))
+        mode = F.min(F.struct((-F.col("cnt")).alias("k"), F.col("v").cast("string").alias("v")))["v"]
+        return values.agg(F.lit(i).alias("i"), F.count("*").alias("n_unique"), mode.alias("mode"))
+
+    parts = [distinct(i, c) for i, c in enumerate(cols)]
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionByName(x)
+    found = {r["i"]: r for r in whole.collect()}
+    out = {}
+    for i, c in enumerate(cols):
+        row = {"n_rows": wide["n"], "n_present": wide[f"p{i}"], "n_unique": found[i]["n_unique"], "mode": found[i]["mode"]}
+        row |= {k: wide.get(f"{k}{i}") for k in ("fmin", "fmax", "dmin", "dmax", "dmean", "smin", "smax")}
+        out[c] = _finish(df, c, row)
+    return out
 
 
 def _approx_facts(df: DataFrame, cols: list[str]) -> dict[str, dict]:
