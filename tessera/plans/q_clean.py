@@ -33,6 +33,14 @@ def s2(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
+@query("s2_write_csv_documents", "SELECT * FROM documents")
+def s2_documents(spark, sf):
+    """Whole texts with quotes and line ends, written and read again."""
+    path = scratch_path(spark, "s2-documents-csv")
+    IO.write_csv(table(spark, sf, "documents"), path)
+    return IO.read_csv(spark, path)
+
+
 @query("s3_preview", f"""(SELECT *, 'head' AS _part FROM lineitem ORDER BY {LK} LIMIT 10)
 UNION ALL (SELECT *, 'tail' AS _part FROM lineitem ORDER BY {', '.join(k + ' DESC' for k in LINE_KEYS)} LIMIT 10)""")
 def s3(spark, sf):
@@ -123,6 +131,12 @@ def d2b(spark, sf):
     return D.drop_duplicates(table(spark, sf, "events").select("user_id", "event_type"), keep=False)
 
 
+@query("d2_drop_duplicates_none_orders", """SELECT o_orderkey, o_custkey, o_orderdate FROM (
+  SELECT o_orderkey, o_custkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS n FROM orders) WHERE n = 1""")
+def d2_orders(spark, sf):
+    return D.drop_duplicates(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey", "o_orderdate"], keep=False)
+
+
 # ------------------------------------------------------------------ outliers / imputation
 _KEYS4 = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
@@ -131,6 +145,20 @@ def _k4(df):
     return ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+_SOME_MISSING = "(SELECT *, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_extendedprice END AS p FROM lineitem) AS m"
+
+
+@query("o1_cap_iqr_missing", f"""SELECT {_KEYS4}, {sql_sig("CASE WHEN p IS NULL THEN NULL ELSE least(greatest(p, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) END")}
+  AS p FROM {_SOME_MISSING}, (SELECT quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.75) AS q3 FROM {_SOME_MISSING}) AS q""")
+def o1_missing(spark, sf):
+    """NaN and NULL values are neither counted nor clipped."""
+    li = table(spark, sf, "lineitem")
+    p = (F.when(F.col("l_partkey") % 14 == 0, F.lit(float("nan"))).when(F.col("l_partkey") % 7 == 0, F.lit(None).cast("double"))
+         .otherwise(F.col("l_extendedprice")))
+    out = CL.cap_iqr(li.select(*_k4(li), p.alias("p")), "p")
+    return rounded(out.withColumn("p", F.when(F.isnan("p"), F.lit(None).cast("double")).otherwise(F.col("p"))))
+
+
 @query("o1_cap_iqr", f"""SELECT {_KEYS4}, {sql_sig("least(greatest(l_extendedprice, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1))")}
   AS l_extendedprice FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.25) q1,
   quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem) q""")
@@ -217,6 +245,12 @@ def e3(spark, sf):
 
 
 # ------------------------------------------------------------------ dates
+@query("t1_parse_datetime_month_first", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS o_orderdate FROM orders")
+def t1_month_first(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"))
+    return CL.parse_datetime(o, "o_orderdate")
+
+
 @query("t1_parse_datetime", with_fixtures("""SELECT o_orderkey, try_strptime(o_orderdate, '%d/%m/%Y') AS o_orderdate
   FROM date_strings""", "date_strings"))
 def t1(spark, sf):
