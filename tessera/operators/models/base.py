@@ -52,14 +52,26 @@ def finish_predictions(fm: FittedModel, out: DataFrame, keep: list[str]) -> Data
         return out.select(*cols, F.col("prediction").cast("double").alias("prediction"))
     pred = label_of(fm.labels, "prediction", "prediction")
     extra = []
-    if "probability" in out.columns:
-        arr = vector_to_array("probability")
+    if "probability" in out.columns or "rawPrediction" in out.columns and fm.problem == "classification_multi":
+        arr = vector_to_array("probability") if "probability" in out.columns else one_vs_rest_probability(fm)
         extra.append(arr.alias("probability"))
         if fm.problem == "classification_binary":
             extra.append(arr[1].alias("score"))
     return out.select(*cols, pred, *extra)
 
 
+def one_vs_rest_probability(fm: FittedModel):
+    """Array of class probabilities of a one-vs-rest model: the classes' own probabilities, scaled to add up to 1.
+
+    A class's own probability is 1 / (1 + exp(-(a * margin + b))); ``sigmoids`` holds (a, b) a class.
+    """
+    margins = vector_to_array("rawPrediction")
+    sigmoids = fm.extra.get("sigmoids") or [(2.0, 0.0)] * len(fm.labels)   # boosting: the log-odds are twice the margin
+    own = F.array(*[1.0 / (1.0 + F.exp(-(F.lit(a) * margins[i] + F.lit(b)))) for i, (a, b) in enumerate(sigmoids)])
+    total = F.aggregate(own, F.lit(0.0), lambda t, v: t + v)
+    return F.transform(own, lambda v: F.when(total > 0, v / total).otherwise(F.lit(1.0 / len(sigmoids))))
+
+
 def prepare_training(df: DataFrame, target: str, features: list[str], problem: str, scale: bool = True):
     """(frame with _label, scaler stats, labels, persisted base).
 

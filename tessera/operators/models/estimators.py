@@ -7,7 +7,8 @@ Parameter translations (scikit-learn names -> MLlib):
   (MLlib scales the L2 term by the label std);
 - max_depth None -> 30 (MLlib's limit); min_samples_split s -> minInstancesPerNode = ceil(s/2)
   (approximation: MLlib bounds children, not the parent);
-- boosting colsample_bytree -> featureSubsetStrategy per node (approximation).
+- boosting colsample_bytree -> featureSubsetStrategy per node (approximation);
+- max_bins: thresholds a feature that a tree looks at (MLlib's 32 unless given; an exact search has no such bound).
 All fits standardise features with population statistics first.
 """
 
@@ -15,8 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def _depth(d):
 def _forest(problem, p, n):
     args = dict(featuresCol="features", labelCol="_label", numTrees=int(p.get("n_estimators", 100)),
                 maxDepth=_depth(p.get("max_depth")), seed=int(p.get("random_state", 42)),
-                minInstancesPerNode=max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2)),
+                maxBins=int(p.get("max_bins", 32)), minInstancesPerNode=max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2)),
                 featureSubsetStrategy="sqrt" if problem != "regression" else "all")
     return RandomForestRegressor(**args) if problem == "regression" else RandomForestClassifier(**args)
 
@@ -41,7 +41,7 @@ def _boosted(problem, p, n):
     args = dict(featuresCol="features", labelCol="_label", maxIter=int(p.get("n_estimators", 100)),
                 maxDepth=int(p.get("max_depth", 6)), stepSize=float(p.get("learning_rate", 0.3)),
                 subsamplingRate=float(p.get("subsample", 1.0)), seed=int(p.get("random_state", 42)),
-                featureSubsetStrategy="all" if cs >= 1.0 else str(cs))
+                featureSubsetStrategy="all" if cs >= 1.0 else str(cs), maxBins=int(p.get("max_bins", 32)))
     if problem == "regression":
         return GBTRegressor(**args)
     if problem == "classification_binary":
@@ -59,15 +59,6 @@ def _logistic(problem, p, n):
                               tol=float(p.get("tol", 1e-4)))
 
 
-def _linear_svc(problem, p, n):
-    C = float(p.get("C", 1.0))
-    svc = LinearSVC(featuresCol="features", labelCol="_label", regParam=1.0 / (C * n), standardization=False,
-                    maxIter=int(p.get("max_iter", 100)))
-    if problem == "classification_multi":
-        return OneVsRest(classifier=svc, featuresCol="features", labelCol="_label")
-    return svc
-
-
 def _linear(problem, p, n, y_std=1.0):
     return LinearRegression(featuresCol="features", labelCol="_label", regParam=0.0, solver="normal",
                             standardization=False)
@@ -84,8 +75,7 @@ def _ridge(problem, p, n, y_std=1.0):
                             standardization=False, solver="normal")
 
 
-BUILDERS = {"random_forest": _forest, "boosted_trees": _boosted, "logistic": _logistic, "svm_linear": _linear_svc,
-            "linear": _linear, "lasso": _lasso, "ridge": _ridge}
+BUILDERS = {"random_forest": _forest, "boosted_trees": _boosted, "logistic": _logistic, "linear": _linear, "lasso": _lasso, "ridge": _ridge}
 
 
 def fit_mllib(kind: str, df: DataFrame, target: str, features: list[str], problem: str,

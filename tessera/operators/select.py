@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import hash_key, hash_unit
-from tessera.functions.prefix import running_sums
 from tessera.operators.explore import apply_standardize, standardize_stats
 
 MAX_CLASSES = 10_000
@@ -64,30 +63,25 @@ def label_of(labels: list, col: str = "prediction", out: str = "predicted_label"
 
 def assign_folds(df: DataFrame, key: list[str], k: int = 5, stratify: str | None = None, seed: int = 42,
                  out: str = "_fold") -> DataFrame:
-    """M4: k folds (2..10).
+    """M4: k folds (2..10) of sizes that differ by at most one, in all or (``stratify``) within each class.
 
-    Unstratified: fold = floor(hash * k).  Stratified: within each class, rows
-    ordered by (hash, key) get fold = rank mod k, so fold sizes per class
-    differ by at most one.  The rank is a distributed running count over
-    (class code, hash) — no window holds a whole class in one task.
+    Rows in the order of (hash, key) get fold = rank mod k.  The hash is uniform, so equal ranges of it hold
+    equal shares of the rows: a window numbers one range of one class, and the rows of the ranges before it
+    come from a table of counts.  No window holds a whole class and nothing reaches the driver.
     """
     if not 2 <= k <= 10:
         raise ValueError("k must be within 2..10")
-    if stratify is None:
-        return df.withColumn(out, F.floor(hash_unit(key, seed) * k).cast("int"))
-    labels = target_labels(df, stratify)
-    tagged, _ = index_target(df, stratify, labels, "_cls")
-    tagged = tagged.withColumn("_h", hash_key(key, seed)).withColumn(
-        "_ord", F.col("_cls") * F.lit(4294967296.0) + F.col("_h")).withColumn("_one", F.lit(1.0))
-    ranked = running_sums(tagged, "_ord", ["_one"], tiebreak=key)
-    counts = tagged.groupBy("_cls").agg(F.count("*").alias("_n")).collect()
-    starts, acc = {}, 0
-    for r in sorted(counts, key=lambda r: r["_cls"]):
-        starts[r["_cls"]] = acc
-        acc += r["_n"]
-    start = F.create_map(*itertools.chain.from_iterable((F.lit(c), F.lit(float(s))) for c, s in starts.items()))
-    rank = F.col("cum__one") - 1 - start[F.col("_cls")]
-    return ranked.withColumn(out, (rank % k).cast("int")).drop("_cls", "_h", "_ord", "_one", "cum__one")
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = ["__fold_class", "__fold_hash", "__fold_range"]
+    tagged = df.withColumn(own[0], F.col(stratify) if stratify else F.lit(0)).withColumn(own[1], hash_key(key, seed))
+    tagged = tagged.withColumn(own[2], F.floor(F.col(own[1]) / F.lit(4294967296.0 / ranges)).cast("int"))
+    earlier = Window.partitionBy("__class").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (tagged.groupBy(F.col(own[0]).alias("__class"), F.col(own[2]).alias("__range")).agg(F.count("*").alias("__n"))
+              .select("__class", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")))
+    rank = F.row_number().over(Window.partitionBy(own[0], own[2]).orderBy(own[1], *key)) - 1
+    joined = tagged.join(before, F.col(own[0]).eqNullSafe(F.col("__class")) & (F.col(own[2]) == F.col("__range")))
+    return (joined.withColumn(out, ((rank + F.col("__before")) % k).cast("int"))
+            .drop(*own, "__class", "__range", "__before"))
 
 
 def cv_summary(results: DataFrame, refit_metric: str, higher_is_better: bool = True) -> DataFrame:
@@ -118,68 +112,98 @@ def cv_results_table(results: DataFrame, metric: str, higher_is_better: bool = T
 # Default grids and allowed choices per model family.
 DEFAULT_GRIDS = {
     "knn": {"n_neighbors": [3, 5], "weights": ["uniform"], "metric": ["euclidean"]},
-    "random_forest": {"n_estimators": [50, 100], "max_depth": [5, 10], "min_samples_split": [2, 5]},
-    "boosted_trees": {"n_estimators": [50, 100], "max_depth": [3, 5], "learning_rate": [0.1], "subsample": [1.0],
+    "random_forest": {"n_estimators": [100, 200], "max_depth": [10, 20], "min_samples_split": [2, 5]},
+    "boosted_trees": {"n_estimators": [100, 200], "max_depth": [3, 5], "learning_rate": [0.1], "subsample": [1.0],
                       "colsample_bytree": [1.0]},
-    "svm": {"C": [1.0, 10.0], "kernel": ["linear"]},
+    "svm": {"C": [1.0, 10.0], "kernel": ["rbf"], "degree": [3], "gamma": ["scale"]},
     "logistic": {"C": [1.0], "penalty": ["l2"], "solver": ["lbfgs"]},
     "naive_bayes": {"var_smoothing": [1e-9]},
     "lasso": {"alpha": [0.1, 1.0]},
     "ridge": {"alpha": [0.1, 1.0]},
     "linear": {},
 }
+# Parameters that every grid of a family must name.
+NECESSARY = {
+    "knn": ["n_neighbors", "weights", "metric"],
+    "random_forest": ["n_estimators", "max_depth", "min_samples_split"],
+    "boosted_trees": ["n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree"],
+    "svm": ["C", "kernel"],
+    "logistic": ["C"],
+    "naive_bayes": ["var_smoothing"],
+    "lasso": ["alpha"],
+    "ridge": ["alpha"],
+    "linear": [],
+}
 KNN_METRICS = ["euclidean", "manhattan", "chebyshev", "cosine"]
 KNN_WEIGHTS = ["uniform", "distance"]
-SVM_KERNELS = ["linear", "poly", "rbf", "sigmoid"]
-# solver -> penalties it supports (scikit-learn's documented compatibility).
+# kernel -> the parameters it reads besides C.
+SVM_KERNELS = {"linear": [], "poly": ["degree", "gamma"], "rbf": ["gamma"], "sigmoid": ["gamma"]}
+# solver -> penalties it supports (scikit-learn's documented compatibility); None: no penalty.
 LOGISTIC_SOLVER_PENALTIES = {
-    "lbfgs": ["l2", "none"],
+    "lbfgs": ["l2", None],
     "liblinear": ["l1", "l2"],
-    "newton-cg": ["l2", "none"],
-    "newton-cholesky": ["l2", "none"],
-    "sag": ["l2", "none"],
-    "saga": ["l1", "l2", "elasticnet", "none"],
+    "newton-cg": ["l2", None],
+    "newton-cholesky": ["l2", None],
+    "sag": ["l2", None],
+    "saga": ["l1", "l2", "elasticnet", None],
 }
+ELASTICNET_L1_RATIOS = [0.1, 0.5, 0.9]
+
+
+def _combinations(spec: dict) -> list[dict]:
+    return [dict(zip(spec, vals)) for vals in itertools.product(*spec.values())]
 
 
 def build_param_grid(model: str, spec: dict | None = None) -> list[dict]:
-    """M8: all compatible combinations of the given lists; errors on empty lists."""
+    """M8: all compatible combinations of the given lists.
+
+    Errors: an unknown family, an empty list, a missing necessary parameter, an unknown choice, no combination
+    left.  Logistic: pairs of solver and penalty that do not go together are left out; elastic net takes the
+    given ``l1_ratio`` or 0.1, 0.5 and 0.9; without a penalty (None or 'none') C has no meaning, so there is one
+    candidate.  SVM: a kernel carries only the parameters that it reads.
+    """
+    if model not in DEFAULT_GRIDS:
+        raise ValueError(f"unknown model {model!r}")
     spec = dict(DEFAULT_GRIDS[model] if spec is None else spec)
     for name, vals in spec.items():
         if not isinstance(vals, (list, tuple)) or len(vals) == 0:
             raise ValueError(f"parameter {name!r} needs a non-empty list of values")
-    if model == "knn":
-        bad = [m for m in spec.get("metric", []) if m not in KNN_METRICS]
-        bad += [w for w in spec.get("weights", []) if w not in KNN_WEIGHTS]
-        if bad:
-            raise ValueError(f"unsupported values {bad}")
-    if model == "svm":
-        bad = [k for k in spec.get("kernel", []) if k not in SVM_KERNELS]
+    missing = [name for name in NECESSARY[model] if name not in spec]
+    if missing:
+        raise ValueError(f"missing parameters {missing}")
+    choices = {"knn": {"metric": KNN_METRICS, "weights": KNN_WEIGHTS}, "svm": {"kernel": SVM_KERNELS},
+               "logistic": {"solver": LOGISTIC_SOLVER_PENALTIES}}.get(model, {})
+    for name, allowed in choices.items():
+        bad = [v for v in spec.get(name, []) if v not in allowed]
         if bad:
-            raise ValueError(f"unsupported kernels {bad}")
-    names = list(spec)
-    combos = [dict(zip(names, vals)) for vals in itertools.product(*[spec[n] for n in names])] if names else [{}]
+            raise ValueError(f"unsupported values {bad} of {name!r}")
     if model == "logistic":
-        combos = [c for c in combos
-                  if c.get("penalty", "l2") in LOGISTIC_SOLVER_PENALTIES.get(c.get("solver", "lbfgs"), [])]
-        combos = [({k: v for k, v in c.items() if k != "l1_ratio"} if c.get("penalty") != "elasticnet" else c)
-                  for c in combos]
-        uniq = []
-        for c in combos:
-            if c not in uniq:
-                uniq.append(c)
-        combos = uniq
-    if model == "svm":
-        out = []
-        for c in combos:
-            c = dict(c)
-            if c.get("kernel") != "poly":
-                c.pop("degree", None)
-            if c.get("kernel") == "linear":
-                c.pop("gamma", None)
-            if c not in out:
-                out.append(c)
-        combos = out
-    if not combos:
+        combos = _logistic_grid(spec)
+    elif model == "svm":
+        others = {n: v for n, v in spec.items() if n not in ("kernel", "degree", "gamma")}
+        combos = [c for kernel in spec["kernel"] for c in _combinations(
+            {"kernel": [kernel], **others, **{n: spec[n] for n in SVM_KERNELS[kernel] if n in spec}})]
+    else:
+        combos = _combinations(spec)
+    unique = []
+    for c in combos:
+        if c not in unique:
+            unique.append(c)
+    if not unique:
         raise ValueError("no compatible parameter combination")
+    return unique
+
+
+def _logistic_grid(spec: dict) -> list[dict]:
+    rest = {n: v for n, v in spec.items() if n not in ("solver", "penalty", "l1_ratio")}
+    ratios = spec.get("l1_ratio", ELASTICNET_L1_RATIOS)
+    combos = []
+    for solver in spec.get("solver", ["lbfgs"]):
+        for penalty in [None if p == "none" else p for p in spec.get("penalty", ["l2"])]:
+            if penalty not in LOGISTIC_SOLVER_PENALTIES[solver]:
+                continue
+            pair = {"solver": [solver], "penalty": [penalty]}
+            if penalty == "elasticnet":
+                pair["l1_ratio"] = ratios
+            combos += _combinations({**pair, **rest, **({"C": [1.0]} if penalty is None else {})})
     return combos

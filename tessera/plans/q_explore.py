@@ -77,6 +77,16 @@ def a4(spark, sf):
     return rounded(X.kde(table(spark, sf, "lineitem"), "l_quantity", 500), 8)
 
 
+@query("a4_kde_continuous", f"""WITH s AS (SELECT count(o_totalprice) n, stddev_samp(o_totalprice) sd, min(o_totalprice) a,
+  max(o_totalprice) b FROM orders),
+g AS (SELECT range::INTEGER AS point, CASE WHEN range = 499 THEN b ELSE range * ((b - a) / 499) + a END AS x,
+  sd * pow(n, -0.2) AS h, n FROM range(500), s)
+SELECT point, {s8("any_value(x)")} AS x, {s8("sum(exp(-0.5 * pow((g.x - o_totalprice) / h, 2))) * (1.0 / (any_value(n) * any_value(h) * sqrt(2 * pi())))")}
+  AS density FROM g, orders GROUP BY point""")
+def a4_continuous(spark, sf):
+    return rounded(X.kde(table(spark, sf, "orders"), "o_totalprice", 500), 8)
+
+
 _BOX_Q = """(SELECT quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) med,
   quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem) q"""
 

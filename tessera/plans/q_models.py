@@ -10,7 +10,7 @@ from tessera.operators import search as S
 from tessera.operators import select as M
 from tessera.operators.models import bayes, estimators, knn, svm
 from tessera.plans.fixtures import LINE_KEYS, line_binary, supplier_missing, table, with_fixtures
-from tessera.plans.registry import query, rounded, sql_sig
+from tessera.plans.registry import query, round_sig, rounded, sql_sig
 
 MD5_UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
 CUST_SPLIT = MD5_UNIT.format("'42|' || CAST(c_custkey AS VARCHAR)")
@@ -56,7 +56,8 @@ def m3(spark, sf):
     return M.index_target(li, "l_returnflag")[0]
 
 
-@query("m4_assign_folds", f"""SELECT c_custkey, floor({CUST_SPLIT} * 5)::INTEGER AS _fold FROM customer""")
+@query("m4_assign_folds", """SELECT c_custkey, ((row_number() OVER (
+  ORDER BY ('0x' || substr(md5('42|' || CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT, c_custkey) - 1) % 5)::INTEGER AS _fold FROM customer""")
 def m4(spark, sf):
     return M.assign_folds(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 5, seed=42)
 
@@ -71,10 +72,12 @@ def m4b(spark, sf):
 
 # ------------------------------------------------------------------ M6, M7 on fold scores from lineitem
 _THRESH = [15, 25, 35]
-_LINE_HASH = MD5_UNIT.format("concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
-_FOLD_SQL = "fs AS (" + " UNION ALL ".join(
-    f"SELECT 'threshold={t}' AS params, floor({_LINE_HASH} * 5)::INTEGER AS fold, 'accuracy' AS metric, "
-    f"avg(((l_quantity > {t}) = (l_returnflag = 'R'))::INTEGER) AS score FROM lineitem GROUP BY 2"
+_LINE_KEY_HASH = "('0x' || substr(md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8))::BIGINT"
+_LINE_ORDER = f"{_LINE_KEY_HASH}, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_LINE_TEST = f"({_LINE_KEY_HASH} / 4294967296.0 < 0.2)"
+_FOLD_SQL = f"lf AS (SELECT *, ((row_number() OVER (ORDER BY {_LINE_ORDER}) - 1) % 5)::INTEGER AS fold FROM lineitem), fs AS (" + " UNION ALL ".join(
+    f"SELECT 'threshold={t}' AS params, fold, 'accuracy' AS metric, "
+    f"avg(((l_quantity > {t}) = (l_returnflag = 'R'))::INTEGER) AS score FROM lf GROUP BY 2"
     for t in _THRESH) + ")"
 
 
@@ -95,7 +98,6 @@ def _fold_scores(spark, sf):
   FROM fs GROUP BY 1, 2), best AS (SELECT params FROM st WHERE metric = 'accuracy' ORDER BY mean DESC, params LIMIT 1)
 SELECT st.params, metric, {sql_sig("mean")} AS mean, {s8("std")} AS std FROM st JOIN best ON st.params = best.params""")
 def m6(spark, sf):
-    from tessera.plans.registry import round_sig
     r = M.cv_summary(_fold_scores(spark, sf), "accuracy")
     return r.withColumns({"mean": round_sig("mean"), "std": round_sig("std", 8)})
 
@@ -104,7 +106,6 @@ def m6(spark, sf):
   FROM fs WHERE metric = 'accuracy' GROUP BY 1)
 SELECT rank() OVER (ORDER BY mean DESC) AS rank, {sql_sig("mean")} AS mean, {s8("std")} AS std, params FROM st""")
 def m7(spark, sf):
-    from tessera.plans.registry import round_sig
     r = M.cv_results_table(_fold_scores(spark, sf), "accuracy")
     return r.withColumns({"mean": round_sig("mean"), "std": round_sig("std", 8)})
 
@@ -245,11 +246,79 @@ def l10(spark, sf):
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
 
 
-@query("l11_ridge")
+def _normal_equations(alpha: float, where: str = "true") -> str:
+    """CTEs: ``st`` (means, deviations), ``b`` (standardised coefficients b1..b3 of price on the three features).
+
+    (R + alpha / n I) b = r sd(y), solved by Cramer's rule.
+    """
+    x = dict(zip("123", _REG_FEATS))
+    y = "l_extendedprice"
+    stats = ", ".join([f"avg({y}) my, stddev_pop({y}) sy, count(*)::DOUBLE n"]
+                      + [f"avg({c}) m{i}, stddev_pop({c}) s{i}, corr({c}, {y}) r{i}" for i, c in x.items()]
+                      + [f"corr({x[i]}, {x[j]}) c{i}{j}" for i, j in ("12", "13", "23")])
+
+    def det(m):
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    rows = [["g", "c12", "c13"], ["c12", "g", "c23"], ["c13", "c23", "g"]]
+    solved = [det([[f"r{i + 1}" if j == k else v for j, v in enumerate(row)] for i, row in enumerate(rows)]) for k in range(3)]
+    return f"""st0 AS (SELECT {stats} FROM lineitem WHERE {where}), st AS (SELECT *, 1 + {alpha} / n AS g FROM st0),
+b AS (SELECT {", ".join(f"sy * {s} / {det(rows)} AS b{k + 1}" for k, s in enumerate(solved))} FROM st)"""
+
+
+_RIDGE_PREDICTION = "my + " + " + ".join(f"b{i} * ({c} - m{i}) / s{i}" for i, c in enumerate(_REG_FEATS, 1))
+
+
+@query("l11_ridge", f"""WITH {_normal_equations(1.0, f"NOT {_LINE_TEST}")}
+SELECT {", ".join(LINE4)}, l_extendedprice, {sql_sig(_RIDGE_PREDICTION, 6)} AS prediction FROM lineitem, st, b WHERE {_LINE_TEST}""")
 def l11(spark, sf):
     d = _line_split(table(spark, sf, "lineitem"))
     fm = estimators.ridge(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, alpha=1.0)
-    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
+    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", round_sig("prediction", 6).alias("prediction"))
+
+
+def _stump_sql(y: str, value: str) -> str:
+    """Best single split of ``y`` on l_discount (least squares), as the rows' side means (``value``: SQL over ``m``)."""
+    return f"""WITH v AS (SELECT l_discount AS d, count(*)::DOUBLE c, sum({y})::DOUBLE s FROM lineitem GROUP BY 1),
+cut AS (SELECT d, sum(c) OVER w AS nl, sum(s) OVER w AS sl, sum(c) OVER () AS n, sum(s) OVER () AS s
+  FROM v WINDOW w AS (ORDER BY d ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT d, sl / nl AS lm, (s - sl) / (n - nl) AS rm FROM cut WHERE nl < n
+  ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, d LIMIT 1),
+p AS (SELECT {", ".join(LINE4)}, CASE WHEN l_discount <= d THEN lm ELSE rm END AS m FROM lineitem, best)
+SELECT {", ".join(LINE4)}, {sql_sig(value, 8)} AS value FROM p"""
+
+
+@query("l13_boosted_trees_stump", _stump_sql("l_extendedprice", "m"))
+def l13_stump(spark, sf):
+    """One boosting step of depth 1 is the best least-squares split."""
+    li = table(spark, sf, "lineitem").select(*LINE4, "l_discount", "l_extendedprice")
+    fm = estimators.boosted_trees(li, "l_extendedprice", ["l_discount"], "regression", n_estimators=1, max_depth=1)
+    return rounded(fm.transform(li).select(*LINE4, F.col("prediction").alias("value")), 8)
+
+
+@query("l12_boosted_trees_stump", _stump_sql("2 * (l_returnflag = 'R')::INTEGER - 1", "1 / (1 + exp(-2 * m))"))
+def l12_stump(spark, sf):
+    """The first boosting step fits labels -1 and 1; the log-odds are twice its value."""
+    li = table(spark, sf, "lineitem").select(*LINE4, "l_discount", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    fm = estimators.boosted_trees(li, "y", ["l_discount"], "classification_binary", n_estimators=1, max_depth=1)
+    return rounded(fm.transform(li).select(*LINE4, F.col("score").alias("value")), 8)
+
+
+@query("l12_boosted_trees_multi")
+def l12b(spark, sf):
+    d = _line_split(table(spark, sf, "lineitem"))
+    fm = estimators.boosted_trees(d.where("_split = 'train'"), "l_returnflag", _MULTI_FEATS, "classification_multi",
+                                  n_estimators=5, max_depth=3, learning_rate=0.1)
+    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_returnflag", "prediction", "probability")
+
+
+@query("l5_svm_classify_multi")
+def l5b(spark, sf):
+    d = _line_split(table(spark, sf, "lineitem"))
+    fm = svm.svm_classify(d.where("_split = 'train'"), "l_returnflag", _MULTI_FEATS, "classification_multi", C=1.0,
+                          kernel="poly", degree=2, coef0=1.0)
+    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_returnflag", "prediction", "probability")
 
 
 @query("l12_boosted_trees_classify")
@@ -268,22 +337,50 @@ def l13(spark, sf):
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
 
 
-@query("l14_coefficient_table")
+@query("l14_coefficient_table", f"""WITH {_normal_equations(0.0)}
+SELECT 'intercept' AS term, {s8("my")} AS coefficient FROM st
+""" + "\n".join(f"UNION ALL SELECT '{c}', {s8(f'b{i}')} FROM b" for i, c in enumerate(_REG_FEATS, 1)))
 def l14(spark, sf):
     li = table(spark, sf, "lineitem")
     fm = estimators.linear_regression(li, "l_extendedprice", _REG_FEATS)
-    return estimators.coefficient_table(fm)
-
-
-@query("l15_predict")
+    return rounded(estimators.coefficient_table(fm), 8)
+
+
+def _nb_ctes(feats: list[str], groups: str) -> str:
+    """CTEs ``c`` (a row a ``grp`` and class: prior, means, smoothed variances) from ``tr`` (grp, y, features), with
+    ``vs`` from ``groups``; features standardised, so the smoothing of a feature is vs times its variance."""
+    g = ", ".join(f"var_pop({f}) g{i}" for i, f in enumerate(feats))
+    c = ", ".join(f"avg({f}) m{i}, var_pop({f}) v{i}" for i, f in enumerate(feats))
+    jll = " - 0.5 * ".join(["ln(n / nt)"] + [f"(ln(2 * pi() * (v{i} / g{i} + vs)) + pow({f} - m{i}, 2) / g{i} / (v{i} / g{i} + vs))"
+                                             for i, f in enumerate(feats)])
+    return f"""gs AS (SELECT grp, count(*)::DOUBLE nt, {g} FROM tr GROUP BY grp),
+cs AS (SELECT grp, y AS cls, count(*)::DOUBLE n, {c} FROM tr GROUP BY grp, y),
+c AS (SELECT * FROM gs JOIN cs USING (grp), (VALUES {groups}) AS s(params, vs)),
+j AS (SELECT te.*, params, max({jll}) FILTER (cls = 0) AS j0, max({jll}) FILTER (cls = 1) AS j1
+  FROM te JOIN c USING (grp) GROUP BY ALL)"""
+
+
+@query("l15_predict", with_fixtures(f"""WITH tr AS (SELECT 0 AS grp, * FROM line_binary WHERE NOT {_LINE_TEST}),
+te AS (SELECT 0 AS grp, {", ".join(LINE4)}, y, {", ".join(_BIN_FEATS)} FROM line_binary WHERE {_LINE_TEST}),
+{_nb_ctes(_BIN_FEATS, "('', 1e-9)")}
+SELECT {", ".join(LINE4)}, y, (j1 > j0)::INTEGER AS prediction, {sql_sig("1 / (1 + exp(j0 - j1))", 6)} AS score FROM j""", "line_binary"))
 def l15(spark, sf):
     d = _bin_split(spark, sf)
     fm = bayes.gaussian_nb(d.where("_split = 'train'"), "y", _BIN_FEATS, "classification_binary")
-    return estimators.predict(fm, d.where("_split = 'test'")).select(*LINE4, "y", "prediction", "score")
+    return estimators.predict(fm, d.where("_split = 'test'")).select(*LINE4, "y", "prediction", round_sig("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ M5, A11, A12, A9, A10
-@query("m5_grid_search")
+_NB_FEATS = ["l_quantity", "l_discount"]
+_NB_GRID = """('{"var_smoothing": 1e-09}', 1e-9), ('{"var_smoothing": 1e-05}', 1e-5)"""
+_NB_SEARCH = f"""lf AS (SELECT *, ((row_number() OVER (PARTITION BY y ORDER BY {_LINE_ORDER}) - 1) % 5)::INTEGER AS fold FROM line_binary),
+tr AS (SELECT g.range::INTEGER AS grp, lf.* FROM lf, range(5) g WHERE fold <> g.range),
+te AS (SELECT fold AS grp, {", ".join(LINE4)}, y, {", ".join(_NB_FEATS)} FROM lf)"""
+
+
+@query("m5_grid_search", with_fixtures(f"""WITH {_NB_SEARCH},
+{_nb_ctes(_NB_FEATS, _NB_GRID)}
+SELECT params, grp AS fold, 'accuracy' AS metric, avg(((j1 > j0)::INTEGER = y)::INTEGER) AS score FROM j GROUP BY 1, 2""", "line_binary"))
 def m5(spark, sf):
     d = line_binary(spark, sf)
     res, _, _ = S.grid_search(d, "y", ["l_quantity", "l_discount"], "classification_binary", "naive_bayes",
@@ -323,6 +420,21 @@ def a9(spark, sf):
     return PC.pca(c, "c_custkey", ["c_acctbal", "c_nationkey", "c_custkey"], k=3)
 
 
+_PCA = ["c_acctbal", "c_nationkey", "c_custkey"]
+
+
+@query("a10_pca_reconstruction", "\nUNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {s8(f'corr({a}, {b}) * count(*) / (count(*) - 1)')} AS covariance FROM customer"
+    for a in _PCA for b in _PCA))
+def a10_reconstruction(spark, sf):
+    """With every component kept, the scaled loadings give back the covariance of the standardised features."""
+    c = table(spark, sf, "customer")
+    l = PC.pca_loadings(c, PC.pca_fit(c, _PCA, k=3))
+    a = l.select(F.col("feature").alias("feature_a"), "component", F.col("loading_scaled").alias("a"))
+    b = l.select(F.col("feature").alias("feature_b"), "component", F.col("loading_scaled").alias("b"))
+    return rounded(a.join(b, "component").groupBy("feature_a", "feature_b").agg(F.sum(F.col("a") * F.col("b")).alias("covariance")), 8)
+
+
 @query("a10_pca_loadings")
 def a10(spark, sf):
     c = table(spark, sf, "customer")

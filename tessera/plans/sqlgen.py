@@ -30,7 +30,6 @@ SCHEMAS = {
     "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
 }
 
-_BOOL_PAIRS_SQL = "(('false','true'),('f','t'),('no','yes'),('n','y'),('0','1'))"
 
 
 def _nulls(c):
