@@ -13,8 +13,9 @@ the replacement of another is drawn again with the next round's hash, until all
 are distinct.  From the third round on they grow, so the rounds end.
 
 Documents with equal lists of entities share one list of replacements; documents
-without entities are passed through.  Numbers that only look like cards (the
-check digit is wrong) stay.
+without entities are passed through.  Runs of digit groups are cut into cards,
+phone and social security numbers and the rest; numbers that only look like cards
+(the check digit is wrong) stay.
 
 Defined cases: a null text stays null; an empty text and texts without entities
 stay as they are; repeated rows are treated alike and all kept; an empty table
@@ -35,13 +36,15 @@ MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Doña|Госпожа|Г-жа"
 NEUTRAL = "Dr|Prof"
 SECRET = r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,}"
+#: Digit groups one blank or hyphen apart, 13 digits or more: may hold cards, phone numbers and social security numbers (``_segments``).
+RUN = r"(?<![\p{L}\d]|\d[.-])(?=\+?\d(?:[ -]?\+?\d){12})\+?\d++(?!\p{L}|\.\d)(?:[ -]\+?\d++(?!\p{L}|\.\d))*+"
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+(?<!-)",
     SECRET,
     r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])",
     r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?<![\p{L}\d.-])\d(?:[ -]?\d){12,18}(?![\p{L}\d])",
+    RUN,
     r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
@@ -106,22 +109,64 @@ def _typed(value: str) -> str:
             f"when {value} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then 'ip' "
             f"when {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn' "
             f"when {value} rlike '^[A-Z]{{2}}[0-9]{{2}}' then 'iban' "
-            f"when {value} rlike '^[0-9][0-9 -]+$' and length({d}) >= 13 then if({_LUHN.format(d=d)} = 0, 'card', 'none') "
+            f"when {value} rlike '^[+]?[0-9][0-9 +-]*$' then 'run' "
             f"else 'phone' end")
 
 
+def _segments(groups: str) -> str:
+    """SQL: ``array<struct<kind, value>>`` of a run from its groups (each with the separator before it).
+
+    From left to right, each group begins the first of these that fits, or is passed over: a number with a plus sign, a
+    social security number, a phone number of 3-3-4 digits, a card.  A card is one group or groups of four and more
+    digits (the last of three and more) with 13 to 19 digits, a right check digit and, unless it is one group or the
+    whole run, an issuer's first digits; every start and number of groups is tried.
+    """
+    text = lambda i, n: f"regexp_replace(array_join(slice({groups}, {i}, {n}), ''), '^[ -]', '')"
+    digits = lambda i, n: f"regexp_replace(array_join(slice({groups}, {i}, {n}), ''), '[^0-9]', '')"
+    fits = lambda i, n: f"{i} + {n} - 1 <= size({groups})"
+    card = lambda i: (
+        f"get(filter(array(4, 3, 1, 5, 2), c -> {fits(i, 'c')} and length({digits(i, 'c')}) between 13 and 19 and ("
+        f"{text(i, 'c')} rlike '^[0-9]+$|^(?:[3-6][0-9]|2[2-7])[0-9]{{2,}}(?:[ -][0-9]{{4,}})*[ -][0-9]{{3,}}$' "
+        f"or c = size({groups}) and {text(i, 'c')} rlike '^[0-9]{{4,}}(?:[ -][0-9]{{4,}})*[ -][0-9]+$') "
+        f"and {_LUHN.format(d=digits(i, 'c'))} = 0), 0)")
+    abroad = (
+        f"array_max(transform(filter(sequence(1, 6), n -> {fits('at', 'n')} and {text('at', 'n')} rlike '^[+][0-9]+(?:[ -][0-9]{{2,}})*$' "
+        f"and length({digits('at', 'n')}) between 5 and if(n = 1, 23, 15)), n -> struct("
+        f"{text('at', 'n')} rlike '^[+][0-9]{{1,3}}(?:[ -][0-9]{{3}}){{2}}[ -][0-9]{{4}}$' or {card('(at + n)')} is not null as whole, n as n))).n")
+    found = (
+        f"case when {text('at', 1)} like '+%' then named_struct('kind', 'phone', 'n', {abroad}) "
+        f"when {text('at', 3)} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' and element_at({groups}, at) not like '-%' "
+        f"and coalesce(get({groups}, at + 2), '') not like '-%' then named_struct('kind', 'ssn', 'n', 3) "
+        f"when {text('at', 3)} rlike '^[0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}$' then named_struct('kind', 'phone', 'n', 3) "
+        f"else named_struct('kind', 'card', 'n', {card('at')}) end")
+    passed = "named_struct('kind', 'none', 'n', 1)"
+    value = f"array_join(slice({groups}, at, f.n), '')"
+    step = (
+        f"if(at < a.next, a, element_at(transform(transform(array({found}), x -> if(x.n is null, {passed}, x)), f -> named_struct("
+        f"'next', at + f.n, 'out', concat(a.out, array(named_struct('kind', f.kind, 'value', {value}))))), 1))")
+    return (f"aggregate(sequence(1, size({groups})), named_struct('next', 1, 'out', cast(array() as array<struct<kind: string, value: string>>)), "
+            f"(a, at) -> {step}).out")
+
+
 def _parts(lists: DataFrame) -> DataFrame:
-    """``key, pos, part, prefix, type, value, norm``: a row for each mention, or for each word of a name."""
+    """``key, pos, segment, part, prefix, type, value, norm``: a row for each mention, segment of a run, or word of a name."""
     m = lists.select("key", F.posexplode("ents").alias("pos", "mention")).withColumn("kind", F.expr(_typed("mention")))
+    m = m.withColumn("groups", F.when(F.col("kind") == "run", F.split("mention", "(?=[ -])")))
+    one = "array(named_struct('kind', if(kind = 'run', 'none', kind), 'value', mention))"
+    m = m.withColumn("held", F.expr(f"if(kind = 'run', {_segments('groups')}, null)"))
+    m = m.withColumn("held", F.expr(f"if(exists(held, x -> x.kind <> 'none'), held, {one})"))
+    m = m.select("key", "pos", F.posexplode("held").alias("segment", "x")).select(
+        "key", "pos", "segment", F.col("x.kind").alias("kind"), F.col("x.value").alias("mention"))
     head = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^([^=:]*[=:]\s*[\"']?)(.*)$", 1)).when(
         F.col("kind") == "name", F.regexp_extract("mention", r"^(\S+ )(.*)$", 1)).otherwise("")
     m = m.withColumn("head", head).withColumn("rest", F.expr("substr(mention, length(head) + 1)"))
     words = F.when(F.col("kind") == "name", F.split("rest", " ")).otherwise(F.array("rest"))
-    m = m.withColumn("words", words).select("key", "pos", "kind", "head", F.size("words").alias("n"), F.posexplode("words").alias("part", "value"))
+    m = m.withColumn("words", words).select(
+        "key", "pos", "segment", "kind", "head", F.size("words").alias("n"), F.posexplode("words").alias("part", "value"))
     prefix = F.when(F.col("part") == 0, F.col("head")).otherwise(" ")
     gender = F.when(F.col("head").rlike(f"^({FEMALE})"), "f").when(F.col("head").rlike(f"^({MALE})"), "m").otherwise("n")
     kind = F.when(F.col("kind") != "name", F.col("kind")).when(F.col("part") == F.col("n") - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender))
-    m = m.select("key", "pos", "part", prefix.alias("prefix"), kind.alias("type"), "value")
+    m = m.select("key", "pos", "segment", "part", prefix.alias("prefix"), kind.alias("type"), "value")
     norm = (F.when(F.col("type") == "email", F.lower("value"))
             .when(F.col("type").isin("card", "ssn"), F.expr(_DIGITS.format(v="value")))
             .when(F.col("type") == "phone", F.expr(f"right({_DIGITS.format(v='value')}, 10)"))
@@ -212,8 +257,8 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     entities = materialize(parts.where("type <> 'none'").select("type", "norm").distinct(), "pii-entities")
     settled = assign_surrogates(entities, key)
     shown = parts.join(settled, ["type", "norm"], "left").withColumn("shown", F.concat("prefix", _rendered()))
-    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "shown"))), lambda x: x["shown"]), "")
-    whole = shown.groupBy("key", "pos").agg(word.alias("shown"), F.max((F.col("type") != "none").cast("int")).alias("real"))
+    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "part", "shown"))), lambda x: x["shown"]), "")
+    whole = shown.groupBy("key", "pos").agg(word.alias("shown"), F.sum(((F.col("type") != "none") & (F.col("part") == 0)).cast("int")).alias("real"))
     ready = whole.groupBy(F.col("key").alias(P + "key")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias(P + "new"),
         F.sum("real").cast("int").alias(P + "n"))

@@ -32,6 +32,34 @@ def test_type_and_format_are_kept(spark):
     assert one == two.replace("-", "") and luhn(one) and one != "4041894974608795"
 
 
+def test_numbers_next_to_each_other(spark):
+    """What stays is given as it is, ``#`` stands for a digit that belongs to an entity."""
+    shapes = {
+        "555-123-4567 555-123-4568": ("###-###-#### ###-###-####", 2), "2024-01-02 555-123-4567": ("2024-01-02 ###-###-####", 1),
+        "card 4111 1111 1111 1111 12/26": ("card #### #### #### #### 12/26", 1), "4111111111111111 123": ("################ 123", 1),
+        "4111 1111 1111 1111 123": ("#### #### #### #### 123", 1), "555-123-4567 2024": ("###-###-#### 2024", 1),
+        "2024-01-02 4111 1111 1111 1111": ("2024-01-02 #### #### #### ####", 1), "1999 2000 2001 2002 2003 2004 2005 2006 2007": (None, 0),
+        "4111 1111 1111 1111 5500-0000-0000-0004 3782 822463 10005": ("#### #### #### #### ####-####-####-#### #### ###### #####", 3),
+        "555-123-4567 4111 1111 1111 1111 555 123 4568": ("###-###-#### #### #### #### #### ### ### ####", 3),
+        "4111 1111 1111 1111 123-45-6789 2024": ("#### #### #### #### ###-##-#### 2024", 2),
+        "4111111111111111 10.20.30.40": ("################ IP", 2), "2024-01-02 12 30 45 4111-1111-1111-1112": (None, 0),
+        "+1 555-123-4567 4111 1111 1111 1111": ("+1 ###-###-#### #### #### #### ####", 2),
+        "+49 30 1234567 4111 1111 1111 1111": ("+4# ## ####### #### #### #### ####", 2), "12345678901234567890123 1 2": (None, 0)}
+    df = spark.createDataFrame(list(enumerate(shapes)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(df, "k").collect()}
+    for i, (old, (shape, n)) in enumerate(shapes.items()):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == n, (old, new)
+        assert re.fullmatch(re.escape(shape or old).replace(r"\#", r"\d").replace("IP", r"(\d+\.){3}\d+"), new), (old, new)
+        if shape:
+            for part in re.split(r"(?<=\d) (?=\d)|card ", old):
+                assert len(part) < 10 or part.startswith("2024") or part not in new, (old, new)
+    card = [re.search(r"4\d{15}", got[i]["text"].replace(" ", ""))[0] for i in (2, 3, 4, 9)]
+    assert len(set(card)) == 1 and luhn(card[0]) and card[0] != "4111111111111111"
+    phone = [re.search(r"\d{3}-\d{3}-\d{4}", got[i]["text"])[0] for i in (0, 1, 5, 9, 13)]
+    assert len(set(phone)) == 1 and phone[0] != "555-123-4567"
+
+
 def test_coreference_distinctness_and_gender(spark):
     got = replaced(spark, ["Mr. John Smith met Mrs. Anna Smith.", "SMITH? No, Dr. Smith; then Mr. John Miller.", "Госпожа Анна Иванова, Господин Иванов",
                            "bob@x.example.org BOB@X.EXAMPLE.ORG eve@x.example.org", "+1 (988) 555-2485 and 988-555-2485"])
