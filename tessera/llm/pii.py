@@ -2,7 +2,8 @@
 
 Entities (e-mail addresses, phone numbers, payment cards, social security
 numbers, bank accounts, IPv4 addresses, access keys, passwords and tokens that
-are assigned, and names after a title) are found by one regular expression.
+are assigned, and names after a title) are found by one regular expression; the
+words of such a name are replaced in the rest of the document too, if spelt alike.
 Each gets a replacement that is drawn by a keyed hash of its normal form, so a
 mention in any spelling and document gets the same one (coreference), and that
 keeps type, format (digits, letters, case, separators, length), script (Latin or
@@ -35,11 +36,17 @@ P = "__pii_"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Doña|Госпожа|Г-жа"
 NEUTRAL = "Dr|Prof"
-SECRET = r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_\-]{8,}"
+_ASSIGNED = r"\s{0,2}[=:]\s{0,2}"
+_UNQUOTED_END = r"[^\s\"'.,;:!?)\]}>]"  # punctuation after a value is not of it
+#: A value goes to the closing quote or to white space; a row of stars, dots or the like is no value.
+SECRET = (
+    r"(?<![\p{L}\p{N}])(?:(?i:password|passwd|pwd)" + _ASSIGNED + r"(?![\"']?(?:\*+|\.+|x+|X+|•+|-+|_+|#+)[\"']?(?!\S))"
+    r"(?:\"[^\"\r\n]{4,200}(?=\")|'[^'\r\n]{4,200}(?=')|[\"'][^\s\"']{4,}|[^\s\"']\S{2,}" + _UNQUOTED_END + r")"
+    r"|(?i:secret|token|api[_-]?key)" + _ASSIGNED + r"(?:[\"'][^\s\"']{8,}|[^\s\"']\S{6,}" + _UNQUOTED_END + r"))")
 #: Digit groups one blank or hyphen apart, 13 digits or more: may hold cards, phone numbers and social security numbers (``_segments``).
 RUN = r"(?<![\p{L}\d]|\d[.-])(?=\+?\d(?:[ -]?\+?\d){12})\+?\d++(?!\p{L}|\.\d)(?:[ -]\+?\d++(?!\p{L}|\.\d))*+"
 PATTERN = "|".join([
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+(?<!-)",
+    r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+(?<!-)",
     SECRET,
     r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])",
     r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
@@ -157,7 +164,8 @@ def _parts(lists: DataFrame) -> DataFrame:
     m = m.withColumn("held", F.expr(f"if(exists(held, x -> x.kind <> 'none'), held, {one})"))
     m = m.select("key", "pos", F.posexplode("held").alias("segment", "x")).select(
         "key", "pos", "segment", F.col("x.kind").alias("kind"), F.col("x.value").alias("mention"))
-    head = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^([^=:]*[=:]\s*[\"']?)(.*)$", 1)).when(
+    head = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^([^=:]*[=:]\s*[\"']?)", 1)).when(
+        F.col("kind") == "email", F.regexp_extract("mention", r"^([._%+-]*)", 1)).when(
         F.col("kind") == "name", F.regexp_extract("mention", r"^(\S+ )(.*)$", 1)).otherwise("")
     m = m.withColumn("head", head).withColumn("rest", F.expr("substr(mention, length(head) + 1)"))
     words = F.when(F.col("kind") == "name", F.split("rest", " ")).otherwise(F.array("rest"))
@@ -256,17 +264,25 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts = materialize(_parts(lists), "pii-parts")
     entities = materialize(parts.where("type <> 'none'").select("type", "norm").distinct(), "pii-entities")
     settled = assign_surrogates(entities, key)
-    shown = parts.join(settled, ["type", "norm"], "left").withColumn("shown", F.concat("prefix", _rendered()))
+    shown = parts.join(settled, ["type", "norm"], "left").withColumn("bare", _rendered()).withColumn("shown", F.concat("prefix", "bare"))
     word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "part", "shown"))), lambda x: x["shown"]), "")
     whole = shown.groupBy("key", "pos").agg(word.alias("shown"), F.sum(((F.col("type") != "none") & (F.col("part") == 0)).cast("int")).alias("real"))
     ready = whole.groupBy(F.col("key").alias(P + "key")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias(P + "new"),
         F.sum("real").cast("int").alias(P + "n"))
-    ready = materialize(ready, "pii-ready")
+    first = shown.where("type = 'surname' or type like 'given%'").groupBy("key", "value").agg(F.min(F.struct("pos", "bare")).alias("first"))
+    names = first.groupBy(F.col("key").alias(P + "key")).agg(F.map_from_entries(F.collect_list(F.struct("value", "first"))).alias(P + "names"))
+    ready = materialize(ready.join(names, P + "key", "left"), "pii-ready")
     pieces = F.split(F.col(text), PATTERN, -1)
     changed = found.join(ready, P + "key").withColumn(P + "pieces", pieces)
-    rebuilt = F.expr(f"array_join(transform(sequence(0, size({P}pieces) - 1), i -> concat(get({P}pieces, i), coalesce(get({P}new, i), ''))), '')")
-    changed = changed.withColumn(text, rebuilt).withColumn("n_entities", F.col(P + "n"))
+    # Words of a name that was found before, in the text after it: ``to`` is null for other words.
+    later = (f"transform({P}pieces, (piece, i) -> if({P}names is null, null, transform(regexp_extract_all(piece, '[\\\\p{{L}}\\\\p{{M}}]+|[^\\\\p{{L}}\\\\p{{M}}]+', 0), "
+             f"w -> struct(w as word, if({P}names[w].pos < i, {P}names[w].bare, null) as to))))")
+    changed = changed.withColumn(P + "later", F.expr(later))
+    piece = f"if({P}names is null, get({P}pieces, i), array_join(transform(get({P}later, i), x -> coalesce(x.to, x.word)), ''))"
+    rebuilt = F.expr(f"array_join(transform(sequence(0, size({P}pieces) - 1), i -> concat({piece}, coalesce(get({P}new, i), ''))), '')")
+    again = F.expr(f"if({P}names is null, 0, aggregate({P}later, 0, (n, x) -> n + size(filter(x, y -> y.to is not null))))")
+    changed = changed.withColumn(text, rebuilt).withColumn("n_entities", F.col(P + "n") + again)
     calm = base.where(~some).withColumn("n_entities", F.lit(0))
     return drop_scratch(changed, P).select(*columns, "n_entities").unionByName(calm.select(*columns, "n_entities"))
 

@@ -60,6 +60,23 @@ def test_numbers_next_to_each_other(spark):
     assert len(set(phone)) == 1 and phone[0] != "555-123-4567"
 
 
+def test_secrets_addresses_and_later_names(spark):
+    got = replaced(spark, [
+        "password=P@ssw0rd!2024 x", "password: hunter2.", "pwd=Tr0ub4dor&3x, ok", 'passwd = "two words" end', "password: ******** token: short", "secret=Ab+/_-12.&$yz!",
+        "list -jane@example.com, .jane@example.com jane@example.com", "Smith: Mr. John Smith came. Smith's wife saw John, not Smithson or smith."])
+    shapes = [r"password=[A-Z]@[a-z]{3}\d[a-z]{2}!\d{4} x", r"password: [a-z]{6}\d\.", r"pwd=[A-Z][a-z]\d[a-z]{2}\d[a-z]{3}&\d[a-z], ok",
+              r'passwd = "[a-z]{3} [a-z]{5}" end', r"password: \*{8} token: short", r"secret=[A-Z][a-z]\+/_-\d\d\.&\$[a-z]{2}!",
+              r"list -(\w{4}@\w{7}\.com), \.(\w{4}@\w{7}\.com) (\w{4}@\w{7}\.com)", r"Smith: Mr\. (\w+no) (\w+son) came\. (\w+)'s wife saw (\w+), not Smithson or smith\."]
+    for new, shape in zip(got, shapes):
+        assert re.fullmatch(shape, new), (new, shape)
+    assert not re.search("ssw0rd|hunter|ub4dor|words|yz|jane|John", " ".join(got))
+    assert len(set(re.fullmatch(shapes[6], got[6]).groups())) == 1
+    m = re.fullmatch(shapes[7], got[7])
+    assert m[3] == m[2] and m[4] == m[1]
+    counted = pii.replace_pii(spark.createDataFrame([(1, "Mr. John Smith came. Smith and John.")], "doc_id long, text string"), "k")
+    assert counted.first()["n_entities"] == 3
+
+
 def test_coreference_distinctness_and_gender(spark):
     got = replaced(spark, ["Mr. John Smith met Mrs. Anna Smith.", "SMITH? No, Dr. Smith; then Mr. John Miller.", "Госпожа Анна Иванова, Господин Иванов",
                            "bob@x.example.org BOB@X.EXAMPLE.ORG eve@x.example.org", "+1 (988) 555-2485 and 988-555-2485"])
