@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, crf, ctph, html_text, mixing, packing, pii, simhash, toxicity, warc
+from tessera.llm import ann, crf, ctph, html_text, licenses, mixing, orchard, packing, pii, simhash, toxicity, warc, whitening
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,9 @@ _query(warc.op7_warc_zstd, "pages")
 _query(toxicity.op8_toxicity_grammar, "documents", "labels")
 _query(mixing.op9_mix_sources, "documents")
 _query(ann.op10_ann_kmeans_tree, "embeddings")
+_query(orchard.op11_orchard_clusters, "embeddings")
+_query(whitening.op12_whitening_qr, "embeddings")
+_query(licenses.op13_license_rules, "documents")
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
