@@ -258,7 +258,7 @@ def _families() -> str:
     for short, words in GNU.items():
         last = words.split()[-1]
         label = short + "{v}"
-        out += [f"{label}-or-later | notice | {last} license/licence version later | (?:gnu )?{words} licen[sc]e ~(?:either )?version (?P<v>#) (?:of the licen[sc]e )?or (?:at your option )?any later version",
+        out += [f"{label}-or-later | notice | {last} license/licence version later | (?:gnu )?{words} licen[sc]e (?:as published by the free software foundation )?(?:either )?version (?P<v>#) (?:of the licen[sc]e )?or (?:at your option )?any later version",
                 f"{label}-or-later | title | {short} later | {short}(?: v)? ?(?P<v>#) or later",
                 f"{label}-only | title | {short} only | {short}(?: v)? ?(?P<v>#) only",
                 f"{label} | notice | {last} license/licence licensed/released/terms | (?:licensed|released|distributed|available|published|redistribute ~|modify it) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?{words} licen[sc]e(?: {short})?(?:(?: as published by the free software foundation)?(?: either)? version| v)?(?: (?P<v>#))?",

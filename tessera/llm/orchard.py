@@ -87,7 +87,7 @@ def first_centroids(rows: DataFrame, k: int, seed: str = SEED) -> np.ndarray:
     """The ``k`` rows with the smallest sha256 of ``seed:id``, in the order of the hashes (a top-k report of ``k`` rows)."""
     by = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     first = rows.select("x", by.alias("h")).orderBy(F.asc_nulls_last("h"), "x").limit(k).collect()
-    return np.array([r["x"] for r in first], dtype=np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], dtype=np.int64)
 
 
 def _partial_sums(search, dims: int):
@@ -146,7 +146,7 @@ def cluster_vectors(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS,
     rows = materialize(integer_vectors(vectors, vec_id, embedding, dims, factor), "orchard-vectors")
     centroids = first_centroids(rows, k, seed)
     if not len(centroids):
-        return rows.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), centroids.reshape(0, dims)
+        return rows.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), np.zeros((0, dims), dtype=np.int64)
     for _ in range(rounds):
         moved = refine(rows, centroids)
         if (moved == centroids).all():

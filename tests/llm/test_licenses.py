@@ -81,7 +81,7 @@ def test_odd_rows(spark, odd_documents):
     got = {}
     for r in licenses.op13_license_rules(odd_documents).collect():
         got.setdefault(r["doc_id"], []).append(r)
-    assert len(got[6]) == 2 and got[None][0]["n_words"] == 12
+    assert len(got[6]) == 2 and got[None][0]["n_words"] == 13
     assert columns(got[1][0]) == columns(got[2][0]) == (0, 0, None, None, "") and got[1][0]["labels"] == "" and got[1][0]["score"] == 0
     assert got[3][0]["n_words"] == 60_000 and got[7][0]["n_words"] == 3
     assert licenses.op13_license_rules(odd_documents.where("false")).collect() == []
