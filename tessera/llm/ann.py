@@ -10,18 +10,22 @@ How many leaves are visited is calibrated: for ``CALIBRATION`` queries the exact
 neighbours are found by brute force over all rows, and the visits are widened
 until the mean recall reaches ``RECALL``.
 
-The search itself is a join by leaf.  Leaves are dealt to shards of bounded size
-and the queries of a leaf to chunks, so no task holds more than a block of each;
-a block gives each of its queries the best ``k`` it has, and the best of all
+A query whose visited leaves hold too few vectors goes on down its queue until they hold ``k`` besides its own.
+
+The search itself is a join by leaf.  A leaf's vectors are dealt to shards and the
+queries that visit it to chunks, so no task holds more than a block of each; a shard is
+copied only to the chunks of its own leaf, and not at all if no query visits the leaf.
+A block gives each of its queries the best ``k`` it has, and the best of all
 blocks are the answer.  Scores are computed again in double precision, one
 vector at a time, so equal vectors score alike and ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, all zero, or have null or
 non-finite components take no part, nor do rows without an id, nor vectors that
 have not the commonest length (of two, the smaller); an id that repeats is one
-vector, the smallest in array order; fewer than ``k`` candidates are all
-returned if their leaves are visited, and if there are not more than ``k``
-candidates every leaf is; without queries or vectors the result is empty.
+vector, the smallest in array order; every query gets ``k`` rows, or all
+candidates if there are fewer; equal scores go to the smaller id; without queries
+or vectors the result is empty.  Texts are not read.  Columns of the input other than the id and
+the vector are not read, so their names cannot clash with the result's.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ from tessera.llm.common import hash_fraction, materialize
 
 K = 20
 FIT_ROWS = 20_000
-MAX_LEAVES = 4096
+LEAF_ROWS, MAX_LEAVES = 256, 4096
 BRANCHES = 8
 CALIBRATION = 200
 RECALL = 0.97
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 8192
 
 
 class Tree:
@@ -104,19 +108,21 @@ class Tree:
             todo += [(kid, rows[own == j]) for j, kid in enumerate(kids) if (own == j).any()]
         return out
 
-    def best_bins(self, queries: np.ndarray, visits: int) -> list[list[int]]:
-        """The first ``visits`` leaves of each query, best bin first."""
+    def best_bins(self, queries: np.ndarray, visits: int, sizes: np.ndarray | None = None, need: int = 0) -> list[list[int]]:
+        """The leaves each query visits, best bin first: ``visits`` of them, and more while those hold fewer than ``need`` vectors."""
         near = queries @ self.points.T
+        held = np.zeros(self.leaves, dtype=np.int64) if sizes is None else sizes
         out = []
         for row in near.tolist():
-            queue, found = [(0.0, 0)], []
-            while queue and len(found) < visits:
+            queue, found, have = [(0.0, 0)], [], 0
+            while queue and (len(found) < visits or have < need):
                 _, node = heapq.heappop(queue)
                 if self.children[node]:
                     for kid in self.children[node]:
                         heapq.heappush(queue, (-row[kid], kid))
                 else:
                     found.append(self.leaf[node])
+                    have += held[self.leaf[node]]
             out.append(found)
         return out
 
@@ -189,7 +195,7 @@ def brute_force(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
 
 
 def build(vectors: DataFrame, fit_rows: int = FIT_ROWS, leaves: int | None = None) -> tuple[Tree, int] | None:
-    """The tree and the number of vectors; the number of leaves follows the cube root of the rows."""
+    """The tree and the number of vectors: a leaf for every ``LEAF_ROWS`` rows, at most ``MAX_LEAVES``."""
     n = vectors.count()
     if not n:
         return None
@@ -198,7 +204,7 @@ def build(vectors: DataFrame, fit_rows: int = FIT_ROWS, leaves: int | None = Non
     if not len(sample):
         sample = vectors.orderBy("vec_id").limit(1).toPandas()
     if leaves is None:
-        leaves = max(1, min(MAX_LEAVES, round(2 * n ** (1 / 3))))
+        leaves = max(1, min(MAX_LEAVES, n // LEAF_ROWS))
     return Tree.fit(_matrix(sample["v"]), leaves), n
 
 
@@ -245,31 +251,36 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, lea
 
     placed = materialize(rows.mapInPandas(leaf_of, "vec_id long, v array<double>, leaf int"), "ann-leaves")
     asked = rows.where(is_query)
-    visits = tree.leaves if n <= k + 1 else calibrate(placed, asked, tree, k, recall)
+    visits = calibrate(placed, asked, tree, k, recall)
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
-    shards = {leaf: -(-size // VECTOR_BLOCK) for leaf, size in sizes.items()}
-    chunks = max(1, -(-asked.count() // QUERY_BLOCK))
+    held = np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)], dtype=np.int64)
 
-    def blocks_of(batches):
+    def bins_of(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            bins = shared.value.best_bins(_matrix(batch["v"]), visits)
-            places = [(i, leaf, s) for i, own in enumerate(bins) for leaf in own for s in range(shards.get(leaf, 0))]
-            for a in range(0, len(places), 20_000):
-                at, leaf, shard = (np.array(x) for x in zip(*places[a:a + 20_000]))
-                yield pd.DataFrame({"query_id": batch["vec_id"].to_numpy()[at], "q": batch["v"].to_numpy()[at], "leaf": leaf, "shard": shard})
-
-    of_leaf = F.create_map(*[F.lit(int(x)) for kv in sorted(shards.items()) for x in kv])
-    blocks = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.element_at(of_leaf, F.col("leaf"))).cast("int"))
-    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    questions = asked.select("vec_id", "v").mapInPandas(blocks_of, "query_id long, q array<double>, leaf int, shard int")
-    questions = questions.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+            if len(batch):
+                yield pd.DataFrame({"query_id": batch["vec_id"], "q": batch["v"], "leaf": shared.value.best_bins(_matrix(batch["v"]), visits, held, k + 1)})
+
+    routed = materialize(asked.select("vec_id", "v").mapInPandas(bins_of, "query_id long, q array<double>, leaf array<int>"), "ann-queries")
+    blocks, questions = blocks_of(placed, routed, sizes)
     keys = ["leaf", "shard", "chunk"]
     found = blocks.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInPandas(
         _block_search(k), "query_id long, vec_id long, score double")
     return _ranked(found, k)
 
 
+def blocks_of(placed: DataFrame, routed: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries by (leaf, shard, chunk): a leaf has shards by its vectors and chunks by the queries that visit it."""
+    visits = routed.select(F.explode("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()  # a row a leaf
+    dealt = [(r["leaf"], -(-sizes.get(r["leaf"], 0) // VECTOR_BLOCK), -(-r["n"] // QUERY_BLOCK)) for r in visits if sizes.get(r["leaf"])]
+    parts = F.broadcast(placed.sparkSession.createDataFrame(dealt, "leaf int, shards int, chunks int"))  # at most MAX_LEAVES rows
+    blocks = placed.join(parts, "leaf").select(
+        "vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    questions = routed.select("query_id", "q", F.explode("leaf").alias("leaf")).join(parts, "leaf").select(
+        "query_id", "q", "leaf", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    return blocks, questions
+
+
 def op10_ann_kmeans_tree(vectors: DataFrame) -> DataFrame:
     return search(vectors.select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)

@@ -53,7 +53,8 @@ class WordTokenizer:
     tabs and line ends, and between a letter and a mark after it, because the
     vocabulary's pre-tokenizer drops white space and parts letters from marks.
     Pieces are found and hashed (64 bits) with array operations on the bytes;
-    only pieces with a new hash become strings.  Words of letters end with the
+    only pieces with a new hash become strings.  Each piece is compared, byte by byte, with the remembered one of
+    its hash; a text with a piece that differs is encoded whole.  Words of letters end with the
     one token that has the word-end mark, so that many are encoded in one call
     and parted there.
     """
@@ -71,6 +72,7 @@ class WordTokenizer:
     def clear(self) -> None:
         self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)  # by ascending hash
         self.flat = np.zeros(0, np.uint32)
+        self.text, self.text_start, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the bytes of each piece
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after another and the number of each."""
@@ -96,12 +98,30 @@ class WordTokenizer:
         self.hashes = np.insert(self.hashes, at, hashes)
         self.start, self.size = np.insert(self.start, at, starts + len(self.flat)), np.insert(self.size, at, sizes)  # fewer than 2**31 ids
         self.flat = np.concatenate([self.flat, ids])
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        lengths = np.array([len(r) for r in raw], dtype=np.int64)
+        self.text_start, self.text_size = np.insert(self.text_start, at, len(self.text) + np.cumsum(lengths) - lengths), np.insert(self.text_size, at, lengths)
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw), dtype=np.uint8)])
+
+    def _differ(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Ranges of bytes that are not the remembered piece of the same hash."""
+        size = stop - begin
+        wrong = size != self.text_size[piece]
+        own = np.flatnonzero(~wrong)
+        if len(own):
+            size, first = size[own], np.cumsum(size[own]) - size[own]
+            step = np.arange(int(size.sum()))
+            unlike = data[np.repeat(begin[own] - first, size) + step] != self.text[np.repeat(self.text_start[piece[own]] - first, size) + step]
+            if unlike.any():
+                wrong[own] = np.add.reduceat(unlike, first) > 0
+        return np.flatnonzero(wrong)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and the number of ids of each text."""
         odd = [i for i, t in enumerate(texts) if "<|" in t]  # may hold a special token, which is matched before lower-casing
         plain = [b"" if "<|" in t else t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower() changes A-Z only
-        ids, counts = self._encode_bytes(plain, end_id)
+        ids, counts, unlike = self._encode_bytes(plain, end_id)
+        odd = sorted({*odd, *unlike})
         if not odd:
             return ids, counts
         each = np.split(ids, np.cumsum(counts)[:-1])
@@ -109,7 +129,8 @@ class WordTokenizer:
             each[i] = np.array([*e.ids, end_id], dtype=np.uint32)
         return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
 
-    def _encode_bytes(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_bytes(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """As ``encode``, and the texts with a piece that shares the hash of another one, whose ids are not right."""
         if len(self.hashes) > REMEMBERED:
             self.clear()
         raw = b"\n".join([b"", *texts, b""])  # so that each text stands between line ends
@@ -134,8 +155,9 @@ class WordTokenizer:
             self._learn(distinct[~known], [raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(begin[at].tolist(), stop[at].tolist())])
             place = np.searchsorted(self.hashes, distinct)
         piece = place[where]
-        sizes = self.size[piece].astype(np.int64)
         text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
+        unlike = set(np.searchsorted(text_ends, begin[self._differ(data, begin, stop, piece)], side="right").tolist())
+        sizes = self.size[piece].astype(np.int64)
         pieces_before = np.searchsorted(begin, np.concatenate([[0], text_ends]))
         before = np.concatenate([[0], np.cumsum(sizes)])
         totals = np.diff(before[pieces_before]) + 1
@@ -144,7 +166,7 @@ class WordTokenizer:
         at = before[:-1] + np.repeat(np.arange(len(texts)), np.diff(pieces_before))
         step = np.arange(int(sizes.sum())) - np.repeat(before[:-1], sizes)
         out[np.repeat(at, sizes) + step] = self.flat[np.repeat(self.start[piece], sizes) + step]
-        return out, totals
+        return out, totals, unlike
 
 
 def _range_hashes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -37,6 +37,8 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SHARD_SIZE = 8192
+#: Parts of a join key that may be hot (the centre of a large component).
+SALTS = 16
 P = "__sim_"
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -197,6 +199,13 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, shard_size: int = SHARD
     return found.distinct()
 
 
+def with_fact(rows: DataFrame, facts: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """The rows joined to the one row of their key; a hash of ``by`` deals a key's rows to ``salts`` parts, so none is one task's input."""
+    dealt = rows.withColumn(P + "salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = facts.withColumn(P + "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, P + "salt"]).drop(P + "salt")
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``node, root`` for all nodes of the links ``a, b``: alternating large-star and small-star steps until nothing changes."""
     unsigned = lambda c: F.col(c)  # noqa: E731  any total order serves
@@ -205,10 +214,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where(unsigned("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_fact(both, low, "a", "b").where(unsigned("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
+        small = with_fact(large, low, "a", "b").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
         small = small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
         edges = materialize(small, "cc")
@@ -216,6 +225,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still changed after {rounds} rounds; give more rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -230,7 +241,7 @@ def near_duplicates(fingerprinted: DataFrame, doc_id: str = "doc_id", fp: str =
     roots = components(links(distinct.select("fp"), radius, shard_size))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("id"))
-    named = materialize(named.join(lowest, "root").select(
+    named = materialize(with_fact(named, lowest, "root", "fp").select(
         F.col("fp").alias(P + "fp"), F.col("root").alias("component_key"), F.col("id").alias("component_id")), "sim-names")
     return rest.join(named, F.col(fp) == F.col(P + "fp")).drop(P + "fp")
 

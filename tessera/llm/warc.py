@@ -180,7 +180,9 @@ def plan_records(pages: DataFrame, html: str = "html", url: str = "url", page_id
     base = base.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
     groups = base.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     groups = groups.where("n > 1 and last is not null").select("digest", "last")
-    planned = base.join(groups, "digest", "left")
+    # Pages below the bound have no digest; a key of their own keeps them from meeting in one task.
+    alone = F.concat(F.lit("page "), F.xxhash64("page_id", "url", "html").cast("string"))
+    planned = base.withColumn("digest", F.coalesce("digest", alone)).join(groups, "digest", "left")
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return planned.select("page_id", "url", "html", refers.alias("refers_to"))
 

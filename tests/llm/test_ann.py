@@ -75,3 +75,36 @@ def test_odd_rows(spark):
     assert ann.op10_ann_kmeans_tree(df.where("false")).collect() == []
     assert ann.search(df.where("vec_id = 7"), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.search(df.where("vec_id = 20"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_every_query_gets_k_rows_where_leaves_are_small(spark):
+    rng = np.random.RandomState(3)
+    centers = rng.randn(20, 8) * 5
+    of = [g for g in range(10) for _ in range(590)] + [g for g in range(10, 20) for _ in range(10)]
+    order = rng.permutation(len(of))
+    df = spark.createDataFrame([(i, centers[of[j]].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    got = collected(ann.op10_ann_kmeans_tree(df))
+    assert len(got) == 300 and all(len(v) == 20 for v in got.values())
+    few = collected(ann.search(df.where("vec_id < 15"), F.col("vec_id") % 5 == 0, leaves=8))
+    assert len(few) == 3 and all(len(v) == 14 for v in few.values())  # fewer candidates than k: all of them
+
+
+def test_vectors_are_copied_to_chunks_of_their_own_leaf(spark, monkeypatch):
+    monkeypatch.setattr(ann, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    copies = []
+    for n in (1280, 2560, 5120):  # as many leaves as there are groups of 64
+        leaves = n // 64
+        placed = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"), (F.col("id") % leaves).cast("int").alias("leaf"))
+        routed = placed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.array(
+            "leaf", ((F.col("leaf") + 1) % leaves).cast("int")).alias("leaf"))
+        blocks, questions = ann.blocks_of(placed, routed, {leaf: 64 for leaf in range(leaves)})
+        copies.append((blocks.count(), questions.count()))
+        asked = {r["leaf"] for r in questions.select("leaf").distinct().collect()}
+        assert {r["leaf"] for r in blocks.select("leaf").distinct().collect()} == asked  # leaves without queries are not copied
+    assert copies[1] == tuple(2 * c for c in copies[0]) and copies[2] == tuple(4 * c for c in copies[0])
+
+
+def test_odd_columns_of_the_query(spark):
+    df = spark.createDataFrame([(0, [1.0], 5, "x"), (20, [2.0], 5, "x"), (3, [-1.0], 5, "x")], "vec_id long, embedding array<double>, rank int, leaf string")
+    assert collected(ann.op10_ann_kmeans_tree(df)) == {0: [(20, 2.0), (3, -1.0)], 20: [(0, 2.0), (3, -2.0)]}

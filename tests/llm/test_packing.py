@@ -21,6 +21,20 @@ def test_word_by_word_equals_whole_texts():
     assert [ids[e - n:e].tolist() for e, n in zip(ends, counts)] == plain_ids(texts)
 
 
+def test_pieces_with_one_hash_keep_their_own_ids():
+    """Thue-Morse strings and their complements collide under any polynomial hash modulo 2^64."""
+    for size in (1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() & 1] for i in range(size))
+        two = one.translate(str.maketrans("ab", "ba"))
+        data = np.frombuffer((one + two).encode(), dtype=np.uint8)
+        h = packing._range_hashes(data, np.array([0, size]), np.array([size, 2 * size]))
+        assert h[0] == h[1]
+        t = packing.WordTokenizer(packing.default_tokenizer())
+        for texts in ([one, two, "plain " + two, one + " " + two], [two, one], ["an ordinary text"]):
+            ids, counts = t.encode(texts, 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == plain_ids(texts)
+
+
 def test_hilbert_curve_moves_one_step_at_a_time():
     for dims, bits in ((2, 4), (4, 2)):
         points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -82,6 +83,13 @@ def test_split_shards_lose_no_link(spark):
         assert got == want
 
 
+def test_too_few_rounds_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        simhash.components(edges, rounds=2)
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = simhash.op1_simhash_bk(odd_documents).collect()
     assert len(rows) == 10
