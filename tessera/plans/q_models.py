@@ -11,6 +11,7 @@ from tessera.operators import select as M
 from tessera.operators.models import bayes, estimators, knn, svm
 from tessera.plans.fixtures import LINE_KEYS, line_binary, supplier_missing, table, with_fixtures
 from tessera.plans.registry import query, round_sig, rounded, sql_sig
+from tessera.plans.sqlgen import tree_ctes
 
 MD5_UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
 CUST_SPLIT = MD5_UNIT.format("'42|' || CAST(c_custkey AS VARCHAR)")
@@ -196,7 +197,7 @@ def _bin_split(spark, sf):
 def l3(spark, sf):
     d = _bin_split(spark, sf)
     fm = estimators.random_forest(d.where("_split = 'train'"), "y", _BIN_FEATS, "classification_binary",
-                                  n_estimators=50, max_depth=10, min_samples_split=2)
+                                  key=LINE4, n_estimators=100, max_depth=10, min_samples_split=2)
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "y", "prediction", "score")
 
 
@@ -204,7 +205,7 @@ def l3(spark, sf):
 def l4(spark, sf):
     d = _line_split(table(spark, sf, "lineitem"))
     fm = estimators.random_forest(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, "regression",
-                                  n_estimators=50, max_depth=10)
+                                  key=LINE4, n_estimators=100, max_depth=10)
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
 
 
@@ -239,13 +240,6 @@ def l7b(spark, sf):
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_returnflag", "prediction")
 
 
-@query("l10_lasso")
-def l10(spark, sf):
-    d = _line_split(table(spark, sf, "lineitem"))
-    fm = estimators.lasso(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, alpha=1.0)
-    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
-
-
 def _normal_equations(alpha: float, where: str = "true") -> str:
     """CTEs: ``st`` (means, deviations), ``b`` (standardised coefficients b1..b3 of price on the three features).
 
@@ -278,6 +272,42 @@ def l11(spark, sf):
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", round_sig("prediction", 6).alias("prediction"))
 
 
+def _lasso_sql(alpha: float) -> str:
+    """The minimum, found among the 27 sign patterns of three coefficients by its optimality conditions."""
+    signs = ", ".join(f"({a}, {b}, {c})" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
+    m = [[f"(CASE WHEN z{i} = 0 THEN {int(i == j)} ELSE c{min(i, j)}{max(i, j)} END)" for j in (1, 2, 3)] for i in (1, 2, 3)]
+    rhs = [f"(CASE WHEN z{i} = 0 THEN 0 ELSE r{i} * sy - {alpha} * z{i} END)" for i in (1, 2, 3)]
+
+    def det(x):
+        (a, b, c), (d, e, f), (g, h, i) = x
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    solved = [det([[rhs[i] if j == k else v for j, v in enumerate(row)] for i, row in enumerate(m)]) for k in range(3)]
+    optimal = " AND ".join(f"CASE WHEN z{i} = 0 THEN abs(r{i} * sy - c{min(i, 1)}{max(i, 1)} * b1 - c{min(i, 2)}{max(i, 2)} * b2 - c{min(i, 3)}{max(i, 3)} * b3)"
+                           f" <= {alpha} ELSE sign(b{i}) = z{i} END" for i in (1, 2, 3))
+    moments = _normal_equations(0.0, f"NOT {_LINE_TEST}").split(",\nb AS")[0]
+    return f"""WITH {moments}, sg(z1, z2, z3) AS (VALUES {signs}),
+e AS (SELECT *, 1 AS c11, 1 AS c22, 1 AS c33 FROM st, sg), f AS (SELECT *, {det(m)} AS whole FROM e),
+g AS (SELECT *, {", ".join(f"{x} / whole AS b{k + 1}" for k, x in enumerate(solved))} FROM f),
+b AS (SELECT b1, b2, b3 FROM g WHERE {optimal} LIMIT 1)
+SELECT {", ".join(LINE4)}, l_extendedprice, {sql_sig(_RIDGE_PREDICTION, 8)} AS prediction FROM lineitem, st, b WHERE {_LINE_TEST}"""
+
+
+@query("l10_lasso", _lasso_sql(1.0))
+def l10(spark, sf):
+    d = _line_split(table(spark, sf, "lineitem"))
+    fm = estimators.lasso(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, alpha=1.0)
+    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", round_sig("prediction", 8).alias("prediction"))
+
+
+@query("l10_lasso_sparse", _lasso_sql(300.0))
+def l10_sparse(spark, sf):
+    """A penalty that sets coefficients to zero."""
+    d = _line_split(table(spark, sf, "lineitem"))
+    fm = estimators.lasso(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, alpha=300.0)
+    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", round_sig("prediction", 8).alias("prediction"))
+
+
 def _stump_sql(y: str, value: str) -> str:
     """Best single split of ``y`` on l_discount (least squares), as the rows' side means (``value``: SQL over ``m``)."""
     return f"""WITH v AS (SELECT l_discount AS d, count(*)::DOUBLE c, sum({y})::DOUBLE s FROM lineitem GROUP BY 1),
@@ -293,7 +323,7 @@ SELECT {", ".join(LINE4)}, {sql_sig(value, 8)} AS value FROM p"""
 def l13_stump(spark, sf):
     """One boosting step of depth 1 is the best least-squares split."""
     li = table(spark, sf, "lineitem").select(*LINE4, "l_discount", "l_extendedprice")
-    fm = estimators.boosted_trees(li, "l_extendedprice", ["l_discount"], "regression", n_estimators=1, max_depth=1)
+    fm = estimators.boosted_trees_mllib(li, "l_extendedprice", ["l_discount"], "regression", n_estimators=1, max_depth=1)
     return rounded(fm.transform(li).select(*LINE4, F.col("prediction").alias("value")), 8)
 
 
@@ -301,15 +331,97 @@ def l13_stump(spark, sf):
 def l12_stump(spark, sf):
     """The first boosting step fits labels -1 and 1; the log-odds are twice its value."""
     li = table(spark, sf, "lineitem").select(*LINE4, "l_discount", (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    fm = estimators.boosted_trees(li, "y", ["l_discount"], "classification_binary", n_estimators=1, max_depth=1)
+    fm = estimators.boosted_trees_mllib(li, "y", ["l_discount"], "classification_binary", n_estimators=1, max_depth=1)
     return rounded(fm.transform(li).select(*LINE4, F.col("score").alias("value")), 8)
 
 
+_SMALL_FEATS = ["l_quantity", "l_discount", "l_tax"]   # at most 256 values each, so bins lose no cut
+
+
+def _forest_tree_sql(src: str, keys: str, stats: dict[str, str], score, impure: str, value: str) -> str:
+    """One tree of depth 3 over all rows, without resampling."""
+    ctes = tree_ctes("a", src, _SMALL_FEATS, stats, score, 3, node_ok=impure)
+    sums = ", ".join(f"sum({e}) AS {k}" for k, e in stats.items())
+    return f"""WITH {ctes}, leaf AS (SELECT node, {sums} FROM a3 GROUP BY node)
+SELECT {keys}, {value} FROM a3 JOIN leaf USING (node)"""
+
+
+@query("l3_random_forest_tree", _forest_tree_sql(
+    "(SELECT *, (l_returnflag = 'R')::INTEGER AS y FROM lineitem)", ", ".join(LINE4), {"c0": "(1 - y)::DOUBLE", "c1": "y::DOUBLE"},
+    lambda p: f"({p}c0 * {p}c0 + {p}c1 * {p}c1) / ({p}c0 + {p}c1)", "t_c0 > 0 AND t_c1 > 0 AND t_c0 + t_c1 >= 2", sql_sig("c1 / (c0 + c1)", 8) + " AS value"))
+def l3_tree(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINE4, "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    fm = estimators.random_forest(li, "y", _SMALL_FEATS, "classification_binary", key=LINE4, n_estimators=1, max_depth=3, bootstrap=False, max_features=None)
+    return rounded(fm.transform(li).select(*LINE4, F.col("score").alias("value")), 8)
+
+
+@query("l4_random_forest_tree", _forest_tree_sql(
+    "(SELECT *, l_extendedprice::DOUBLE AS y FROM lineitem)", ", ".join(LINE4), {"n": "1::DOUBLE", "s": "y"},
+    lambda p: f"{p}s * {p}s / {p}n", "t_n >= 2", sql_sig("s / n", 8) + " AS value"))
+def l4_tree(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINE4, "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    fm = estimators.random_forest(li, "l_extendedprice", _SMALL_FEATS, "regression", key=LINE4, n_estimators=1, max_depth=3, bootstrap=False)
+    return rounded(fm.transform(li).select(*LINE4, F.col("prediction").alias("value")), 8)
+
+
+def _boosting_sql(src: str, start: str, grads: list[tuple[str, str]], value: str, rounds: int = 2, depth: int = 2, eta: float = 0.1) -> str:
+    """``rounds`` rounds of second-order boosting; ``grads`` has (gradient, hessian) of each output over margins m0, m1, ..."""
+    m = [f"m{k}" for k in range(len(grads))]
+    ctes = [f"r0 AS (SELECT *, row_number() OVER () AS rid, {', '.join(f'({start})::DOUBLE AS {c}' for c in m)} FROM {src})"]
+    for r in range(rounds):
+        ctes.append(f"g{r} AS (SELECT *, {', '.join(f'{g} AS g_{k}, {h} AS h_{k}' for k, (g, h) in enumerate(grads))} FROM r{r})")
+        for k in range(len(grads)):
+            p = f"t{r}_{k}_"
+            ctes.append(tree_ctes(p, f"g{r}", _SMALL_FEATS, {"g": f"g_{k}", "h": f"h_{k}"}, lambda s: f"{s}g * {s}g / ({s}h + 1)", depth,
+                                  valid="l_h >= 1 AND r_h >= 1", node_ok="gain > 1e-6"))
+            ctes.append(f"{p}leaf AS (SELECT node, -{eta} * sum(g_{k}) / (sum(h_{k}) + 1) AS w FROM {p}{depth} GROUP BY node)")
+        join = " ".join(f"JOIN (SELECT rid, w AS w{k} FROM t{r}_{k}_{depth} JOIN t{r}_{k}_leaf USING (node)) USING (rid)" for k in range(len(grads)))
+        ctes.append(f"r{r + 1} AS (SELECT * REPLACE ({', '.join(f'{c} + w{k} AS {c}' for k, c in enumerate(m))}) FROM r{r} {join})")
+        if r + 1 < rounds:
+            ctes[-1] = ctes[-1].replace("SELECT * REPLACE", f"SELECT * EXCLUDE ({', '.join(f'w{k}' for k in range(len(grads)))}) REPLACE")
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(LINE4)}, {value} FROM r{rounds}"
+
+
+_TWO_ROUNDS = dict(key=LINE4, n_estimators=2, max_depth=2, learning_rate=0.1)
+
+
+@query("l13_boosted_trees_two_rounds", _boosting_sql(
+    "(SELECT *, l_extendedprice::DOUBLE AS y FROM lineitem)", "avg(l_extendedprice) OVER ()", [("(m0 - y)", "1.0::DOUBLE")], sql_sig("m0", 8) + " AS value"))
+def l13_two(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINE4, *_SMALL_FEATS, "l_extendedprice")
+    fm = estimators.boosted_trees(li, "l_extendedprice", _SMALL_FEATS, "regression", **_TWO_ROUNDS)
+    return rounded(fm.transform(li).select(*LINE4, F.col("prediction").alias("value")), 8)
+
+
+_SIGMOID = "(1 / (1 + exp(-m0)))"
+
+
+@query("l12_boosted_trees_two_rounds", _boosting_sql(
+    "(SELECT *, (l_returnflag = 'R')::DOUBLE AS y FROM lineitem)", "ln(avg((l_returnflag = 'R')::INTEGER) OVER () / (1 - avg((l_returnflag = 'R')::INTEGER) OVER ()))",
+    [(f"({_SIGMOID} - y)", f"({_SIGMOID} * (1 - {_SIGMOID}))")], sql_sig(_SIGMOID, 8) + " AS value"))
+def l12_two(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINE4, *_SMALL_FEATS, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    fm = estimators.boosted_trees(li, "y", _SMALL_FEATS, "classification_binary", **_TWO_ROUNDS)
+    return rounded(fm.transform(li).select(*LINE4, F.col("score").alias("value")), 8)
+
+
+_SOFTMAX = [f"(exp(m{k}) / (exp(m0) + exp(m1) + exp(m2)))" for k in range(3)]
+
+
+@query("l12_boosted_trees_multi_two_rounds", _boosting_sql(
+    "lineitem", "0", [(f"({p} - (l_returnflag = '{c}')::INTEGER)", f"(2 * {p} * (1 - {p}))") for p, c in zip(_SOFTMAX, "ANR")],
+    ", ".join(f"{sql_sig(p, 8)} AS p_{c}" for p, c in zip(_SOFTMAX, "ANR"))))
+def l12_multi_two(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINE4, *_SMALL_FEATS, "l_returnflag")
+    fm = estimators.boosted_trees(li, "l_returnflag", _SMALL_FEATS, "classification_multi", **_TWO_ROUNDS)
+    return rounded(fm.transform(li).select(*LINE4, *[F.col("probability")[k].alias(f"p_{c}") for k, c in enumerate("ANR")]), 8)
+
+
 @query("l12_boosted_trees_multi")
 def l12b(spark, sf):
     d = _line_split(table(spark, sf, "lineitem"))
     fm = estimators.boosted_trees(d.where("_split = 'train'"), "l_returnflag", _MULTI_FEATS, "classification_multi",
-                                  n_estimators=5, max_depth=3, learning_rate=0.1)
+                                  key=LINE4, n_estimators=100, max_depth=3, learning_rate=0.1)
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_returnflag", "prediction", "probability")
 
 
@@ -325,7 +437,7 @@ def l5b(spark, sf):
 def l12(spark, sf):
     d = _bin_split(spark, sf)
     fm = estimators.boosted_trees(d.where("_split = 'train'"), "y", _BIN_FEATS, "classification_binary",
-                                  n_estimators=20, max_depth=3, learning_rate=0.1)
+                                  key=LINE4, n_estimators=100, max_depth=3, learning_rate=0.1)
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "y", "prediction", "score")
 
 
@@ -333,7 +445,7 @@ def l12(spark, sf):
 def l13(spark, sf):
     d = _line_split(table(spark, sf, "lineitem"))
     fm = estimators.boosted_trees(d.where("_split = 'train'"), "l_extendedprice", _REG_FEATS, "regression",
-                                  n_estimators=20, max_depth=3, learning_rate=0.1)
+                                  key=LINE4, n_estimators=100, max_depth=3, learning_rate=0.1)
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
 
 
@@ -398,6 +510,39 @@ def m5b(spark, sf):
     return res
 
 
+_RIDGE_ALPHAS = [0.01, 1.0, 100.0, 10000.0]
+
+
+def _ridge_search_sql() -> str:
+    """Fold scores of every alpha, each fold's coefficients from its own normal equations."""
+    x = dict(zip("123", _REG_FEATS))
+    y = "l_extendedprice"
+    stats = ", ".join(["grp", f"avg({y}) my, stddev_pop({y}) sy, count(*)::DOUBLE n"] + [f"avg({c}) m{i}, stddev_pop({c}) s{i}, corr({c}, {y}) r{i}" for i, c in x.items()]
+                      + [f"corr({x[i]}, {x[j]}) c{i}{j}" for i, j in ("12", "13", "23")])
+
+    def det(m):
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    rows = [["g", "c12", "c13"], ["c12", "g", "c23"], ["c13", "c23", "g"]]
+    solved = [det([[f"r{i + 1}" if j == k else v for j, v in enumerate(row)] for i, row in enumerate(rows)]) for k in range(3)]
+    grid = ", ".join(f"""('{{"alpha": {a}}}', {a})""" for a in _RIDGE_ALPHAS)
+    return f"""WITH lf AS (SELECT *, ((row_number() OVER (ORDER BY {_LINE_ORDER}) - 1) % 5)::INTEGER AS fold FROM lineitem),
+st0 AS (SELECT {stats} FROM (SELECT g.range::INTEGER AS grp, lf.* FROM lf, range(5) g WHERE fold <> g.range) GROUP BY grp),
+st AS (SELECT *, 1 + alpha / n AS g FROM st0, (VALUES {grid}) AS v(params, alpha)),
+b AS (SELECT *, {", ".join(f"sy * {e} / {det(rows)} AS b{k + 1}" for k, e in enumerate(solved))} FROM st),
+p AS (SELECT params, fold, {y} AS y, {_RIDGE_PREDICTION} AS p FROM lf JOIN b ON fold = grp),
+e AS (SELECT params, fold, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2 FROM p GROUP BY 1, 2)
+""" + " UNION ALL ".join(f"SELECT params, fold, '{m}' AS metric, {s8(m)} AS score FROM e" for m in ("mae", "rmse", "r2"))
+
+
+@query("m5_grid_search_ridge", _ridge_search_sql())
+def m5c(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINE4, *_REG_FEATS, "l_extendedprice")
+    res, _, _ = S.grid_search(li, "l_extendedprice", _REG_FEATS, "regression", "ridge", [{"alpha": a} for a in _RIDGE_ALPHAS], LINE4, k=5, refit=False)
+    return rounded(res, 8)
+
+
 @query("a11_halving_search")
 def a11(spark, sf):
     d = line_binary(spark, sf)
@@ -406,12 +551,17 @@ def a11(spark, sf):
     return res
 
 
-# A12 (feature_importance) is not registered this round: with the reference's grid
-# (60 forest candidates, 5 folds, successive halving) it is ~450 forest fits; see README.
+@query("a12_feature_importance")
 def a12(spark, sf):
+    """The whole grid: 60 forest candidates, 5 folds, successive halving, importances of the winner."""
     c = table(spark, sf, "customer")
-    return S.feature_importance(c, "c_acctbal", ["c_nationkey", "c_custkey"], "regression", ["c_custkey"],
-                                parallelism=4)
+    return S.feature_importance(c, "c_acctbal", ["c_nationkey", "c_custkey"], "regression", ["c_custkey"])
+
+
+@query("a12_feature_importance_classes")
+def a12b(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.dayofyear("o_orderdate").alias("o_day"), "o_orderstatus")
+    return S.feature_importance(o, "o_orderstatus", ["o_custkey", "o_totalprice", "o_day"], "classification_multi", ["o_orderkey"])
 
 
 @query("a9_pca")

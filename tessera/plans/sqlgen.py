@@ -106,3 +106,29 @@ def autotype_table_sql(table: str, source: str | None = None) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{c}' AS variable, {dtype_sql(c, k)} AS dtype, {autotype_sql(c, k)} AS autotype, "
         f"count(DISTINCT {c}) AS n_unique FROM {src}" for c, k in SCHEMAS[table])
+
+
+def tree_ctes(p: str, src: str, feats: list[str], stats: dict[str, str], score, depth: int, valid: str = "true", node_ok: str = "true") -> str:
+    """CTEs ``{p}0`` .. ``{p}{depth}``: the rows of ``src`` with their tree node after each level (negative once the node is a leaf).
+
+    A level takes the cut with the largest ``score(left) + score(right) - score(node)`` (ties: first feature, smallest value) of each node;
+    ``score`` maps a prefix (l_, r_, t_) to SQL over the sums ``stats``; ``valid`` limits cuts and ``node_ok`` nodes or gains.
+    """
+    out = [f"{p}0 AS (SELECT *, 1::BIGINT AS node FROM {src})"]
+    numbers, values = ", ".join(str(i) for i in range(len(feats))), ", ".join(f"{f}::DOUBLE" for f in feats)
+    each = lambda form: ", ".join(form.format(s=s) for s in stats)
+    for k in range(depth):
+        out += [
+            f"{p}c{k} AS (SELECT node, f, v, {', '.join(f'sum({e}) AS {s}' for s, e in stats.items())} FROM (SELECT *, unnest([{numbers}]) AS f,"
+            f" unnest([{values}]) AS v FROM {p}{k} WHERE node > 0) GROUP BY node, f, v)",
+            f"{p}w{k} AS (SELECT node, f, v, lead(v) OVER w IS NULL AS last, {each('sum({s}) OVER w AS l_{s}')},"
+            f" {each('sum({s}) OVER (PARTITION BY node, f) AS t_{s}')} FROM {p}c{k} WINDOW w AS (PARTITION BY node, f ORDER BY v))",
+            f"{p}g{k} AS (SELECT *, {score('l_')} + {score('r_')} - {score('t_')} AS gain FROM (SELECT *, {each('t_{s} - l_{s} AS r_{s}')} FROM {p}w{k}"
+            f" WHERE NOT last) WHERE {valid})",
+            f"{p}b{k} AS (SELECT node, f AS bf, v AS bv FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS rn FROM {p}g{k}"
+            f" WHERE {node_ok}) WHERE rn = 1)",
+            f"{p}{k + 1} AS (SELECT d.* EXCLUDE (node), CASE WHEN bf IS NULL THEN -abs(d.node) ELSE 2 * d.node + (CASE bf"
+            f" {' '.join(f'WHEN {i} THEN {f}::DOUBLE' for i, f in enumerate(feats))} END > bv)::INTEGER END AS node"
+            f" FROM {p}{k} d LEFT JOIN {p}b{k} USING (node))",
+        ]
+    return ", ".join(out)
