@@ -135,13 +135,13 @@ def label_encode(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
     return joined.select(*[F.col("__code").alias(c) if c == col else df[c] for c in df.columns])
 
 
-def one_hot(df: DataFrame, col: str, max_values: int | None = None) -> DataFrame:
+def one_hot(df: DataFrame, col: str, max_values: int = 10_000) -> DataFrame:
     """Drop ``col``, add boolean ``{col}_{value}`` per sorted distinct value; NULL -> all false.
 
-    The result has a column for each value; ``max_values`` makes more of them an error.
+    The result has a column for each value; more than ``max_values`` of them is an error, found before they are all collected.
     """
-    vals = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
-    if max_values is not None and len(vals) > max_values:
+    vals = sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(max_values + 1).collect())
+    if len(vals) > max_values:
         raise ValueError(f"{col} has more than {max_values} distinct values")
     keep = [F.col(c) for c in df.columns if c != col]
     dummies = [F.coalesce(F.col(col) == F.lit(v), F.lit(False)).alias(f"{col}_{v}") for v in vals]

@@ -13,15 +13,18 @@ All fits but the trees standardise features with population statistics first.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.models import boosting, forest, gram
+from tessera.operators.models import boosting, forest, gram, newton
 from tessera.operators.models.base import OUTPUT_COLS, FittedModel, prepare_training
-from tessera.operators.select import index_target, label_of, target_labels
+from tessera.operators.select import apply_scaler, index_target, label_of, target_labels
 
 
 def _boosted_mllib(problem, p, n):
@@ -157,8 +160,54 @@ def predict_boosted(fm: FittedModel, df: DataFrame) -> DataFrame:
 
 
 def logistic_regression(df, target, features, problem="classification_binary", **params):
-    """L7."""
-    return fit_mllib("logistic", df, target, features, problem, params)
+    """Newton steps for smooth penalties (l2, none), MLlib's for l1 and elastic net."""
+    penalty = params.get("penalty", "l2")
+    if penalty not in ("l2", "none", None):
+        return fit_mllib("logistic", df, target, features, problem, params)
+    d, stats, labels, base = prepare_training(df, target, features, problem)
+    try:
+        rows = apply_scaler(stats, base)
+        rows, _ = index_target(rows, target, labels)
+        rows = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col("_label").alias("y"))
+        n = base.count()
+        if not n:
+            raise ValueError("no rows to learn from")
+        w = newton.fit(rows, len(features), n, len(labels), float(params.get("C", 1.0)) if penalty == "l2" else None)
+    finally:
+        base.unpersist()
+    model = LogisticFit(w, DenseVector(w[0, 1:]) if len(w) == 1 else None, float(w[0, 0]) if len(w) == 1 else None)
+    return FittedModel("logistic", problem, features, stats, labels, model, {"params": params, "predict": predict_logistic})
+
+
+@dataclass
+class LogisticFit:
+    """Weights (a row a class; one row for two classes), intercepts first; ``coefficients`` and ``intercept`` of two classes as MLlib names them."""
+
+    weights: np.ndarray
+    coefficients: DenseVector | None
+    intercept: float | None
+
+
+def predict_logistic(fm: FittedModel, df: DataFrame) -> DataFrame:
+    """Probabilities as column expressions (missing where a feature is), and the label of the largest (ties: the first)."""
+    z = [(F.col(f"`{c}`").cast("double") - F.lit(fm.scaler[c][0])) / F.lit(fm.scaler[c][1]) for c in fm.features]
+
+    def margin(w):
+        out = F.lit(float(w[0]))
+        for b, x in zip(w[1:], z):
+            out = out + F.lit(float(b)) * x
+        return out
+
+    margins = [margin(w) for w in fm.model.weights]
+    if len(margins) == 1:
+        p = 1.0 / (1.0 + F.exp(-margins[0]))
+        values = F.array(1.0 - p, p)
+    else:
+        top = F.greatest(*margins)
+        e = [F.exp(m - top) for m in margins]
+        total = sum(e[1:], e[0])
+        values = F.array(*[v / total for v in e])
+    return _predicted(fm, df, values)
 
 
 def linear_regression(df, target, features, **params):

@@ -10,7 +10,7 @@ from tessera.operators import search as S
 from tessera.operators import select as M
 from tessera.operators.models import bayes, estimators, knn, svm
 from tessera.plans.fixtures import LINE_KEYS, line_binary, supplier_missing, table, with_fixtures
-from tessera.plans.registry import query, round_sig, rounded, sql_sig
+from tessera.plans.registry import query, round_half_away, round_sig, rounded, sql_sig
 from tessera.plans.sqlgen import tree_ctes
 
 MD5_UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
@@ -224,6 +224,54 @@ def l6(spark, sf):
     return fm.transform(d.where("_split = 'test'")).select(*LINE4, "l_extendedprice", "prediction")
 
 
+def _logistic_sql(c: float, steps: int = 8) -> str:
+    """Newton's method written out: each step sums gradient and Hessian of C * loss + |w|^2 / 2 and solves the 4 x 4 system by elimination."""
+    k = range(4)
+    z = ["1.0::DOUBLE"] + [f"((d.{f} - m{i}) / v{i})" for i, f in enumerate(_BIN_FEATS, 1)]
+    stats = ", ".join(f"avg({f}) AS m{i}, stddev_pop({f}) AS v{i}" for i, f in enumerate(_BIN_FEATS, 1))
+    ctes = [f"st AS (SELECT {stats} FROM line_binary WHERE NOT {_LINE_TEST})",
+            f"x AS (SELECT {', '.join(f'{e} AS x{i}' for i, e in enumerate(z))}, y FROM line_binary d, st WHERE NOT {_LINE_TEST})",
+            "w0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3)"]
+    for s in range(steps):
+        p = "1 / (1 + exp(-(" + " + ".join(f"w{i} * x{i}" for i in k) + ")))"
+        sums = [f"{c} * sum((p - y) * x{i}) + {'0' if i == 0 else f'any_value(w{i})'} AS g{i}" for i in k]
+        sums += [f"{c} * sum(p * (1 - p) * x{i} * x{j}) + {int(i == j and i > 0)} AS h{i}{j}" for i in k for j in k if j >= i]
+        ctes.append(f"n{s} AS (SELECT {', '.join(sums)}, {', '.join(f'any_value(w{i}) AS w{i}' for i in k)} FROM (SELECT *, {p} AS p FROM x, w{s}))")
+        # H = L D L': then forward, diagonal and backward substitution
+        e = []
+        for j in k:
+            e.append(f"h{j}{j}" + "".join(f" - l{j}{m} * l{j}{m} * d{m}" for m in range(j)) + f" AS d{j}")
+            e += [f"(h{j}{i}" + "".join(f" - l{i}{m} * l{j}{m} * d{m}" for m in range(j)) + f") / d{j} AS l{i}{j}" for i in range(j + 1, 4)]
+        e += [f"g{i}" + "".join(f" - l{i}{m} * f{m}" for m in range(i)) + f" AS f{i}" for i in k]
+        e += [f"f{i} / d{i}" + "".join(f" - l{m}{i} * b{m}" for m in range(i + 1, 4)) + f" AS b{i}" for i in reversed(k)]
+        nested = f"n{s}"
+        for at, column in enumerate(e):
+            nested = f"(SELECT *, {column} FROM {nested}) AS q{at}"
+        ctes.append(f"w{s + 1} AS (SELECT {', '.join(f'w{i} - b{i} AS w{i}' for i in k)} FROM {nested})")
+    score = "1 / (1 + exp(-(" + " + ".join(f"w{i} * {e}" for i, e in enumerate(z)) + ")))"
+    return f"""WITH {", ".join(ctes)}, t AS (SELECT {", ".join(LINE4)}, y, {score} AS score FROM line_binary d, st, w{steps} WHERE {_LINE_TEST})
+SELECT {", ".join(LINE4)}, y, {sql_sig("score", 7)} AS score FROM t"""
+
+
+@query("l7_logistic_newton", with_fixtures(_logistic_sql(1.0), "line_binary"))
+def l7_newton(spark, sf):
+    d = _bin_split(spark, sf)
+    fm = estimators.logistic_regression(d.where("_split = 'train'"), "y", _BIN_FEATS, "classification_binary", C=1.0, penalty="l2")
+    return fm.transform(d.where("_split = 'test'")).select(*LINE4, "y", round_sig("score", 7).alias("score"))
+
+
+@query("l7_logistic_multi_balance", f"""SELECT l_returnflag, count(*)::DOUBLE AS n, {", ".join(s8(f"sum({f})") + f" AS sum_{f}" for f in _MULTI_FEATS)}
+  FROM lineitem GROUP BY l_returnflag""")
+def l7_balance(spark, sf):
+    """At the maximum without a penalty, each class's probabilities add up to its rows and its weighted feature sums to its rows' sums."""
+    li = table(spark, sf, "lineitem").select(*LINE4, "l_returnflag", *_MULTI_FEATS)
+    fm = estimators.logistic_regression(li, "l_returnflag", _MULTI_FEATS, "classification_multi", penalty=None)
+    each = fm.transform(li).select(*_MULTI_FEATS, F.posexplode("probability").alias("at", "p"))
+    sums = each.groupBy("at").agg(F.round(F.sum("p"), 3).alias("n"), *[F.sum(F.col("p") * F.col(f)).alias(f"sum_{f}") for f in _MULTI_FEATS])
+    label = F.array(*[F.lit(v) for v in fm.labels])
+    return sums.select(F.get(label, F.col("at")).alias("l_returnflag"), "n", *[round_sig(f"sum_{f}", 8).alias(f"sum_{f}") for f in _MULTI_FEATS])
+
+
 @query("l7_logistic_regression")
 def l7(spark, sf):
     d = _bin_split(spark, sf)
@@ -490,6 +538,33 @@ tr AS (SELECT g.range::INTEGER AS grp, lf.* FROM lf, range(5) g WHERE fold <> g.
 te AS (SELECT fold AS grp, {", ".join(LINE4)}, y, {", ".join(_NB_FEATS)} FROM lf)"""
 
 
+_PLANNED = ("knn", "random_forest", "boosted_trees", "svm", "logistic", "naive_bayes", "lasso", "ridge", "linear")
+_GRID_SQL = {
+    "knn": [f'{{"metric": "euclidean", "n_neighbors": {k}, "weights": "uniform"}}' for k in (3, 5)],
+    "random_forest": [f'{{"max_depth": {d}, "min_samples_split": {s}, "n_estimators": {n}}}' for n in (100, 200) for d in (10, 20) for s in (2, 5)],
+    "boosted_trees": [f'{{"colsample_bytree": 1.0, "learning_rate": 0.1, "max_depth": {d}, "n_estimators": {n}, "subsample": 1.0}}' for n in (100, 200) for d in (3, 5)],
+    "svm": [f'{{"C": {c}, "gamma": "scale", "kernel": "rbf"}}' for c in ("1.0", "10.0")],
+    "logistic": ['{"C": 1.0, "penalty": "l2", "solver": "lbfgs"}'], "naive_bayes": ['{"var_smoothing": 1e-09}'],
+    "lasso": [f'{{"alpha": {a}}}' for a in (0.1, 1.0)], "ridge": [f'{{"alpha": {a}}}' for a in (0.1, 1.0)], "linear": ["{}"]}
+_GRID_VALUES = ", ".join(f"('{m}', '{p}')" for m, ps in _GRID_SQL.items() for p in ps)
+
+
+@query("m8_param_grid", f"""WITH f AS (SELECT ((row_number() OVER (
+  ORDER BY ('0x' || substr(md5('42|' || CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT, c_custkey) - 1) % 5)::INTEGER AS fold FROM customer),
+n AS (SELECT g.range::INTEGER AS fold, count(*) FILTER (f.fold <> g.range) AS train_rows, count(*) FILTER (f.fold = g.range) AS test_rows
+  FROM f, range(5) g GROUP BY g.range)
+SELECT model, params, fold, train_rows, test_rows FROM (VALUES {_GRID_VALUES}) AS v(model, params), n""")
+def m8(spark, sf):
+    """The fits that a default search of each family plans: candidate, fold, and the rows of both sides."""
+    folds = M.assign_folds(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 5, seed=42)
+    total = folds.groupBy("_fold").agg(F.count("*").alias("test_rows"))
+    grid = [(m, S.json.dumps(p, sort_keys=True)) for m in _PLANNED for p in M.build_param_grid(m)]
+    cands = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("params")) for m, p in grid])
+    sizes = total.join(total.groupBy().agg(F.sum("test_rows").alias("n")))  # a row a fold, one total
+    return sizes.select(F.explode(cands).alias("c"), F.col("_fold").alias("fold"), "n", "test_rows").select(
+        "c.model", "c.params", "fold", (F.col("n") - F.col("test_rows")).alias("train_rows"), "test_rows")
+
+
 @query("m5_grid_search", with_fixtures(f"""WITH {_NB_SEARCH},
 {_nb_ctes(_NB_FEATS, _NB_GRID)}
 SELECT params, grp AS fold, 'accuracy' AS metric, avg(((j1 > j0)::INTEGER = y)::INTEGER) AS score FROM j GROUP BY 1, 2""", "line_binary"))
@@ -573,6 +648,37 @@ def a9(spark, sf):
 _PCA = ["c_acctbal", "c_nationkey", "c_custkey"]
 
 
+def _pca_sql() -> str:
+    """Scores from the roots of the 3 x 3 correlation matrix's characteristic polynomial, improved by Newton steps; vectors by cross products."""
+    pairs = {"a": (0, 1), "b": (0, 2), "c": (1, 2)}
+    stats = ", ".join([f"avg({f}) AS m{i}, stddev_pop({f}) AS s{i}" for i, f in enumerate(_PCA)] + [f"corr({_PCA[i]}, {_PCA[j]}) AS {k}" for k, (i, j) in pairs.items()])
+    start = ("sqrt((a*a + b*b + c*c) / 3)", "acos(greatest(-1, least(1, a * b * c / pow((a*a + b*b + c*c) / 3, 1.5)))) / 3")
+    value = "(t * t * t - (a*a + b*b + c*c) * t - 2 * a * b * c)"   # det(A - (1 + t) I), sign changed
+    step = f"t - {value} / (3 * t * t - (a*a + b*b + c*c))"
+    roots = "r AS (SELECT st.*, k, 2 * p * cos(phi + k * 2 * pi() / 3) AS t FROM (SELECT *, " + f"{start[0]} AS p, {start[1]} AS phi FROM st) st, (VALUES (0), (1), (2)) AS v(k))"
+    polish = "".join(f", r{i + 1} AS (SELECT * REPLACE ({step} AS t) FROM {'r' if i == 0 else f'r{i}'})" for i in range(3))
+    # rows of A - (1 + t) I: (-t, a, b), (a, -t, c), (b, c, -t); the longest of the three cross products
+    # (-t,a,b)x(a,-t,c); (-t,a,b)x(b,c,-t); (a,-t,c)x(b,c,-t)
+    cross = [("a * c + b * t", "a * b + c * t", "t * t - a * a"), ("-a * t - b * c", "b * b - t * t", "-c * t - a * b"), ("t * t - c * c", "b * c + a * t", "a * c + b * t")]
+    norm = [f"(({x}) * ({x}) + ({y}) * ({y}) + ({z}) * ({z}))" for x, y, z in cross]
+    pick = lambda i: f"CASE WHEN q0 >= q1 AND q0 >= q2 THEN {cross[0][i]} WHEN q1 >= q2 THEN {cross[1][i]} ELSE {cross[2][i]} END"
+    big = "CASE WHEN abs(x0) >= abs(x1) AND abs(x0) >= abs(x2) THEN x0 WHEN abs(x1) >= abs(x2) THEN x1 ELSE x2 END"
+    score = " + ".join(f"({f} - m{i}) / s{i} * x{i}" for i, f in enumerate(_PCA))
+    return f"""WITH st AS (SELECT {stats} FROM customer), {roots}{polish},
+q AS (SELECT *, {", ".join(f"{n} AS q{i}" for i, n in enumerate(norm))} FROM r3),
+v AS (SELECT *, {", ".join(f"{pick(i)} AS x{i}" for i in range(3))} FROM q),
+u AS (SELECT *, sign({big}) / sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS w, row_number() OVER (ORDER BY t DESC) AS comp FROM v),
+s AS (SELECT c_custkey, comp, w * ({score}) AS s FROM customer, u)
+SELECT c_custkey, {", ".join(f"max(sign(s) * floor(abs(s) * 10000 + 0.5) / 10000) FILTER (comp = {j}) AS pc{j}" for j in (1, 2, 3))} FROM s GROUP BY c_custkey"""
+
+
+@query("a9_pca_scores", _pca_sql())
+def a9_scores(spark, sf):
+    c = table(spark, sf, "customer")
+    p = PC.pca(c, "c_custkey", _PCA, k=3)
+    return p.select("c_custkey", *[round_half_away(f"pc{j}", 4).alias(f"pc{j}") for j in (1, 2, 3)])
+
+
 @query("a10_pca_reconstruction", "\nUNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {s8(f'corr({a}, {b}) * count(*) / (count(*) - 1)')} AS covariance FROM customer"
     for a in _PCA for b in _PCA))
