@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Clauses with a term of the insult or threat lexicon are read by a transducer
-that is composed of four small ones, each over word classes: terms (insult,
-threat), target (the clause addresses or names a person), negation (the last
-words before the term) and reported speech (quotation marks, or a verb of saying
-before the term).  Its output for a term is a pattern such as ``insult, addressed,
-negated``; a document's score is a logistic function of the weights of its
-patterns, so a term counts by the clause it stands in.
+A document with a term of the insult or threat lexicon is read, as a sequence of word classes, by two
+composed transducers.  The forward one is composed of five: insults; threats (a verb of violence, with or without a
+subject that announces it); target (a person addressed or named earlier in the clause); negation (in the last words); and reported
+speech.  The backward one reads the same classes from the end, composed of target (a person later in the clause)
+and object (a person right after the verb).  What both tell about a term is its pattern, such as ``threat, addressed,
+reported``; a threat is whole if it has a subject and an object.  A document's score is a logistic function of the
+weights of its patterns, so a term counts by the clause it stands in.
+
+Target, negation, subject and object end with the clause.  Reported speech does not: a quotation lasts until its mark closes or the
+paragraph ends, and what a verb of saying introduces with a colon lasts until that sentence ends.
 
 The insult lexicon is learned from labels: whole words and stems whose number of
 different contexts (neighbouring words) in toxic texts is far above that in clean
@@ -15,19 +18,22 @@ make its words look telling.  Pattern weights are fitted from the same rows, dra
 to prior weights (negated and reported terms count less) where examples are few.
 
 What is learned comes from a bounded sample: at most about ``SAMPLE_TOXIC`` and
-``SAMPLE_CLEAN`` labelled rows of at most ``LONGEST`` characters, chosen by a hash of
-the id, never from the held-out fold.  Scoring reads every document whole.
+``SAMPLE_CLEAN`` labelled rows chosen by a hash of the id, never from the held-out fold; of a
+text above ``EXCERPT`` characters an excerpt at a place chosen by a hash.  Scoring reads every document whole.
 
 Defined cases: a null or empty text, or one without a term, gets the score of no
 pattern; with no labels of one of the classes the prior weights and the fixed
 terms are used; of several labels for an id the largest counts; rows are scored
-alike if their texts are, and all kept; an empty table gives an empty result.
+alike if their texts are, and all kept; equal scores are left as they are (nothing is ranked); very long texts
+are scored whole, in time that grows with their length; an empty table gives an empty result; columns other than the
+id and the text (and the id and the label) are not read, so their names cannot clash with the result's.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +46,7 @@ from pyspark.sql.functions import pandas_udf
 from tessera.llm.common import hash_fraction, held_out
 from tessera.session import ship_package
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, LONGEST = 2000, 4000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, EXCERPT = 2000, 4000, 20_000
 LEAST_CONTEXTS, LEAST_ODDS = 12, 2.0
 STEMS = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -53,14 +59,14 @@ REPORTERS = frozenset("said says told called wrote claimed quoted allegedly sagt
 THREATS = frozenset("kill murder strangle stab shoot behead umbringen töten erwürgen abstechen erschießen égorger étrangler assassiner matarte matarlo apuñalar".split())
 INSULTS = frozenset("idiot moron imbecile stupid loser scum bastard asshole arschloch vollidiot schwachkopf connard salaud imbécile abruti gilipollas imbécil".split())
 
-#: Words, quotation marks and the marks that end a clause.
-_PIECE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»„]|[.!?;:\n]")
+SUBJECTS = frozenset("i i'll i'm we we'll we're will gonna going ich wir werde werden je nous vais allons yo voy vamos".split())
+
+#: Words, quotation marks, paragraph ends and the marks that end a clause.
+_PIECE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»„]|\n[ \t\r]*\n\s*|[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_END = frozenset(".!?;:\n")
-_QUOTES = frozenset("\"“”«»„")
-_CLAUSE = re.compile(r"[.!?;:\n]")
+_MARKS = {"\"": 8, "“": 8, "”": 8, "«": 8, "»": 8, "„": 8, ":": 7, ".": 6, "!": 6, "?": 6, ";": 6, "\n": 6}
 
-WORD, INSULT, THREAT, TARGET, NEGATION, SAID, QUOTE = range(7)
+WORD, INSULT, THREAT, TARGET, NEGATION, SAID, END, COLON, QUOTE, PARAGRAPH, SUBJECT = range(11)
 
 
 class Transducer:
@@ -96,33 +102,75 @@ class Transducer:
         return out
 
 
-def _machine(states: int, step, tell) -> Transducer:
-    return Transducer([{c: (step(s, c), tell(s, c) if c in (INSULT, THREAT) else None) for c in range(7)} for s in range(states)])
+CLASSES = 11
+_STOPS = (END, COLON, PARAGRAPH)
 
 
-NEGATION_REACH = 3
-#: The four machines: which term, whether a target came before in the clause, whether a negation is near, whether speech is reported.
-TERMS = _machine(1, lambda s, c: 0, lambda s, c: ("insult" if c == INSULT else "threat",))
-AIMED = _machine(2, lambda s, c: 1 if c == TARGET else s, lambda s, c: (bool(s),))
-NEGATED = _machine(NEGATION_REACH + 1, lambda s, c: NEGATION_REACH if c == NEGATION else max(0, s - 1), lambda s, c: (s > 0,))
-REPORTED = _machine(3, lambda s, c: (0 if s == 2 else 2) if c == QUOTE else (1 if c == SAID and s == 0 else s), lambda s, c: (s > 0,))
-GRAMMAR = TERMS.compose(AIMED).compose(NEGATED).compose(REPORTED)
-PATTERNS = [(t, a, n, r) for t in ("insult", "threat") for a in (False, True) for n in (False, True) for r in (False, True)]
+def _machine(states: int, step, tell) -> Transducer:
+    return Transducer([{c: (step(s, c), tell(s, c) if c in (INSULT, THREAT) else None) for c in range(CLASSES)} for s in range(states)])
+
+
+def _within_clause(states: int, step, tell) -> Transducer:
+    """A machine that starts afresh after the end of a clause."""
+    return _machine(states, lambda s, c: 0 if c in _STOPS else step(s, c), tell)
+
+
+def _speech(s: int, c: int) -> int:
+    """0 direct, 1 after a verb of saying, 2 in a quotation, 3 after a verb of saying and a colon."""
+    if c == QUOTE:
+        return 0 if s == 2 else 2
+    if c == PARAGRAPH:
+        return 0
+    if s == 2:
+        return 2
+    if c == END:
+        return 0
+    if c == COLON:
+        return 3 if s in (1, 3) else 0
+    return 1 if c == SAID and s == 0 else s
+
+
+NEGATION_REACH, SUBJECT_REACH, OBJECT_REACH = 3, 4, 3
+#: Forward: which insult; which threat and whether a subject announces it; a target earlier in the clause; a negation near; reported speech.
+INSULTING = _machine(1, lambda s, c: 0, lambda s, c: ("insult",) if c == INSULT else ("",))
+THREATENING = _within_clause(SUBJECT_REACH + 1, lambda s, c: SUBJECT_REACH if c == SUBJECT else max(0, s - 1),
+                             lambda s, c: (("announced" if s else "threat"),) if c == THREAT else ("",))
+AIMED = _within_clause(2, lambda s, c: 1 if c == TARGET else s, lambda s, c: (bool(s),))
+NEGATED = _within_clause(NEGATION_REACH + 1, lambda s, c: NEGATION_REACH if c == NEGATION else max(0, s - 1), lambda s, c: (s > 0,))
+REPORTED = _machine(4, _speech, lambda s, c: (s > 0,))
+FORWARD = INSULTING.compose(THREATENING).compose(AIMED).compose(NEGATED).compose(REPORTED)
+#: Backward: a target later in the clause; an object right after.
+OBJECT = _within_clause(OBJECT_REACH + 1, lambda s, c: OBJECT_REACH if c == TARGET else max(0, s - 1), lambda s, c: (s > 0,))
+BACKWARD = AIMED.compose(OBJECT)
+KINDS = ("insult", "threat", "violence")
+PATTERNS = [(t, a, n, r) for t in KINDS for a in (False, True) for n in (False, True) for r in (False, True)]
 PLACE = {p: i for i, p in enumerate(PATTERNS)}
-PRIOR = np.array([(2.0 if t == "insult" else 2.5) * (1.3 if a else 1.0) * (0.5 if n else 1.0) * (0.5 if r else 1.0) for t, a, n, r in PATTERNS])
+_KIND_WEIGHT = {"insult": 2.0, "threat": 3.0, "violence": 1.2}
+PRIOR = np.array([_KIND_WEIGHT[t] * (1.3 if a else 1.0) * (0.5 if n else 1.0) * (0.5 if r else 1.0) for t, a, n, r in PATTERNS])
 PRIOR_BIAS = -3.0
 
 
+def read(classes: list[int]) -> list[tuple[int, tuple[str, bool, bool, bool]]]:
+    """The pattern of every term: the outputs of both transducers put together."""
+    ahead = dict(BACKWARD.run(classes[::-1]))
+    out = []
+    for i, (insult, threat, before, negated, reported) in FORWARD.run(classes):
+        after, has_object = ahead[len(classes) - 1 - i]
+        kind = insult or ("threat" if threat == "announced" and has_object else "violence")
+        out.append((i, (kind, before or after, negated, reported)))
+    return out
+
+
 class Grammar:
     """A lexicon of whole words and stems with weights from 0 to 1, and the weights of the patterns."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
         self.weights, self.bias = PRIOR.copy(), PRIOR_BIAS
-        self._finder = None
+        self._finder, self._known = None, {}
 
     def __getstate__(self):
-        return {**self.__dict__, "_finder": None}
+        return {**self.__dict__, "_finder": None, "_known": {}}
 
     def weight(self, word: str) -> float:
         if word in self.words:
@@ -143,35 +191,39 @@ class Grammar:
         return self._finder
 
     def _class(self, piece: str) -> int:
-        if piece in _QUOTES:
-            return QUOTE
+        if piece in _MARKS:
+            return _MARKS[piece]
+        if piece[0] == "\n":
+            return PARAGRAPH
         if self.weight(piece) > 0:
             return INSULT
-        for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATORS), (SAID, REPORTERS)):
+        for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATORS), (SAID, REPORTERS), (SUBJECT, SUBJECTS)):
             if piece in words:
                 return kind
         return WORD
 
+    def classes(self, pieces: list[str]) -> list[int]:
+        known = self._known
+        if len(known) > 200_000:
+            known.clear()
+        for p in pieces:
+            if p not in known:
+                known[p] = self._class(p)
+        return [known[p] for p in pieces]
+
+    def has_term(self, low: str) -> bool:
+        return any(end == size - 1 or not low[end - size].isalpha() for end, size in self.finder().iter(low))
+
     def patterns(self, text: str | None) -> np.ndarray:
         """The summed weights of the terms of each pattern."""
         out = np.zeros(len(PATTERNS))
         low = (text or "").lower()
-        if not low:
+        if not low or not self.has_term(low):
             return out
-        done = -1
-        for end, size in self.finder().iter(low):
-            start = end - size + 1
-            if start < done or start and low[start - 1].isalpha():
-                continue
-            a = max((m for m in (low.rfind(c, 0, start) for c in _END)), default=-1) + 1
-            stop = _CLAUSE.search(low, end)
-            b = stop.start() if stop else len(low)
-            done = b
-            pieces = _PIECE.findall(low, a, b)
-            classes = [self._class(p) for p in pieces]
-            aimed = TARGET in classes
-            for i, (term, _, negated, reported) in GRAMMAR.run(classes):
-                out[PLACE[term, aimed, negated, reported]] += self.weight(pieces[i]) if classes[i] == INSULT else 1.0
+        pieces = _PIECE.findall(low)
+        classes = self.classes(pieces)
+        for i, pattern in read(classes):
+            out[PLACE[pattern]] += self.weight(pieces[i]) if classes[i] == INSULT else 1.0
         return out
 
     def score(self, found: np.ndarray) -> np.ndarray:
@@ -191,7 +243,7 @@ def learn_terms(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], d
     contexts = [defaultdict(set), defaultdict(set)]
     for own, y in zip(split, toxic):
         for i, w in enumerate(own):
-            near = hash((own[i - 1] if i else "", own[i + 1] if i + 1 < len(own) else ""))
+            near = zlib.crc32(f"{own[i - 1] if i else ''} {own[i + 1] if i + 1 < len(own) else ''}".encode("utf-8", "surrogatepass"))
             for t in (w + "$", *(w[:n] for n in STEMS if len(w) > n)):
                 if t in likely:
                     contexts[y][t].add(near)
@@ -247,16 +299,21 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     most = {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, most[1] / counts.get(1, 1)))).otherwise(F.lit(min(1.0, most[0] / counts.get(0, 1))))
-    chosen = marks.where(hash_fraction(F.col("id").cast("string"), "tox-sample") < share).limit(2 * (SAMPLE_CLEAN + SAMPLE_TOXIC))
-    # The sample is bounded by its limit, so it can be broadcast.
-    got = docs.where(F.length(text) <= LONGEST).join(F.broadcast(chosen), F.col(doc_id) == F.col("id"))
-    got = got.select("id", "y", F.col(text).alias("t")).limit(4 * (SAMPLE_CLEAN + SAMPLE_TOXIC)).toPandas().sort_values(["id", "t"])
+    chosen = marks.where(hash_fraction(F.col("id").cast("string"), "tox-sample") < share)
+    # The bound on the learned rows, reached only if the hash deals unevenly or ids repeat; ordered, so that reruns agree.
+    most_rows = 2 * (SAMPLE_CLEAN + SAMPLE_TOXIC)
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    got = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("id"))
+    spare = F.greatest(F.length(text) - EXCERPT, F.lit(0))
+    start = F.floor(hash_fraction(F.col("id").cast("string"), "tox-excerpt") * (spare + 1)).cast("int") + 1
+    got = got.select("id", "y", F.substring(F.col(text), start, F.lit(EXCERPT)).alias("t")).where(F.col("t").isNotNull())
+    got = got.orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(most_rows).toPandas().sort_values(["id", "t"])
     return fit(got["t"].tolist(), [int(v) for v in got["y"]])
 
 
 def score_column(grammar: Grammar, text, spark):
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(grammar)  # a few hundred terms and sixteen weights
+    shared = spark.sparkContext.broadcast(grammar)  # a few hundred terms and some weights
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value

@@ -26,18 +26,61 @@ def test_clauses_not_isolated_words():
     assert pattern_of('The "label" idiot appears') == {("insult", False, False, False): 1.0}
     assert pattern_of("She said you are not an idiot") == {("insult", True, True, True): 1.0}
     assert pattern_of("I will kill you! idiot blurring") == {("threat", True, False, False): 1.0, ("insult", False, False, False): 1.5}
-    assert pattern_of("idiotic blur skill overkill kill-joy") == {("threat", False, False, False): 1.0}
+    assert pattern_of("idiotic blur skill overkill kill-joy") == {("violence", False, False, False): 1.0}
     assert pattern_of(None) == pattern_of("") == pattern_of("nothing here") == {}
 
 
+def test_threats_need_subject_verb_and_object():
+    assert pattern_of("We are gonna strangle them") == {("threat", True, False, False): 1.0}
+    assert pattern_of("They kill time") == {("violence", True, False, False): 1.0}
+    assert pattern_of("I will kill the lights") == {("violence", False, False, False): 1.0}  # no person as object
+    assert pattern_of("Kill the process. You wait.") == {("violence", False, False, False): 1.0}  # the person is in the next clause
+
+
+def test_reported_speech_goes_over_clause_ends():
+    direct, reported = {("insult", True, False, False): 1.0}, {("insult", True, False, True): 1.0}
+    assert pattern_of("He said: you are an idiot.") == reported
+    assert pattern_of('"Go away. You idiot," he wrote.') == reported
+    assert pattern_of("„Geh weg!\nDu idiot“, rief jemand.") == reported
+    assert pattern_of("He said: go. You are an idiot.") == direct  # the sentence that the colon introduced is over
+    assert pattern_of('"Go away." You idiot.') == direct
+    assert pattern_of('An unclosed " mark.\n\nYou idiot.') == direct  # a quotation ends with its paragraph
+    assert pattern_of("Note: you are an idiot") == direct
+
+
 def test_composition_equals_running_the_machines_side_by_side():
     rng = random.Random(0)
-    machines = (tox.TERMS, tox.AIMED, tox.NEGATED, tox.REPORTED)
-    for _ in range(200):
-        classes = [rng.randrange(7) for _ in range(rng.randrange(12))]
-        alone = [m.run(classes) for m in machines]
-        want = [(rows[0][0], tuple(itertools.chain(*(out for _, out in rows)))) for rows in zip(*alone)]
-        assert tox.GRAMMAR.run(classes) == want
+    for whole, machines in ((tox.FORWARD, (tox.INSULTING, tox.THREATENING, tox.AIMED, tox.NEGATED, tox.REPORTED)), (tox.BACKWARD, (tox.AIMED, tox.OBJECT))):
+        for _ in range(200):
+            classes = [rng.randrange(tox.CLASSES) for _ in range(rng.randrange(14))]
+            alone = [m.run(classes) for m in machines]
+            want = [(rows[0][0], tuple(itertools.chain(*(out for _, out in rows)))) for rows in zip(*alone)]
+            assert whole.run(classes) == want
+
+
+def test_the_target_comes_from_the_machine_in_both_directions():
+    """Against a plain rule: some target stands in the clause of the term."""
+    rng = random.Random(2)
+    for _ in range(300):
+        classes = [rng.choice([tox.WORD, tox.INSULT, tox.TARGET, tox.END, tox.COLON, tox.SAID]) for _ in range(rng.randrange(1, 25))]
+        for i, (_, aimed, _, _) in tox.read(classes):
+            a = max((j for j in range(i) if classes[j] in (tox.END, tox.COLON)), default=-1) + 1
+            b = next((j for j in range(i, len(classes)) if classes[j] in (tox.END, tox.COLON)), len(classes))
+            assert aimed == (tox.TARGET in classes[a:b])
+
+
+def test_long_labelled_texts_are_learned_by_excerpt(spark):
+    rows = [(i, ("plain words here " * 2000 + "zork ") if i % 2 else f"plain words number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = tox.fit
+    try:
+        tox.fit = lambda texts, toxic: seen.extend(texts) or plain(texts, toxic)
+        tox.learn(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    finally:
+        tox.fit = plain
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows)
+    assert len(seen) == learned and max(len(t) for t in seen) == tox.EXCERPT
 
 
 def test_terms_are_learned_by_contexts_and_not_by_copies():
