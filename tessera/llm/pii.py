@@ -1,9 +1,9 @@
 """Surrogates for personal data and secrets, with DataFrame and SQL functions only.
 
 Entities (e-mail addresses, phone numbers, payment cards, social security
-numbers, bank accounts, IPv4 addresses, access keys, passwords and tokens that
-are assigned, and names after a title) are found by one regular expression; the
-words of such a name are replaced in the rest of the document too, if spelt alike.
+numbers, bank accounts, IPv4 and IPv6 addresses, access keys by their prefix, private key blocks, passwords and tokens that
+are assigned or stated, and names after a title or an introduction) are found by one regular expression; the
+words of such a name are replaced in the rest of the document too, where they begin with a capital.
 Each gets a replacement that is drawn by a keyed hash of its normal form, so a
 mention in any spelling and document gets the same one (coreference), and that
 keeps type, format (digits, letters, case, separators, length), script (Latin or
@@ -26,7 +26,7 @@ column of that name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_scratch, materialize
@@ -36,29 +36,48 @@ P = "__pii_"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Doña|Госпожа|Г-жа"
 NEUTRAL = "Dr|Prof"
+INTRODUCED = "(?i:my name is|mein name ist|ich heiße|je m['’]appelle|me llamo|mi nombre es|меня зовут)"
+_TITLES = "|".join([MALE, FEMALE, NEUTRAL, *(t.upper() for t in (MALE, FEMALE, NEUTRAL)), r"mrs?(?=\.)", r"dr(?=\.)", r"prof(?=\.)"])
+_NAME_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{Lu}\p{L}+)*"
+_PASSWORD = "password|passwd|pwd|passphrase|passwort|kennwort|contraseña|clave|senha|mot de passe"
+_TOKEN = "secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key"
+_IS = r"(?i:is|was|ist|lautet|es|est)"
 _ASSIGNED = r"\s{0,2}[=:]\s{0,2}"
 _UNQUOTED_END = r"[^\s\"'.,;:!?)\]}>]"  # punctuation after a value is not of it
-#: A value goes to the closing quote or to white space; a row of stars, dots or the like is no value.
+#: A value goes to the closing quote or to white space; a row of stars, dots or the like is no value.  After "is", a value has a digit or a sign.
 SECRET = (
-    r"(?<![\p{L}\p{N}])(?:(?i:password|passwd|pwd)" + _ASSIGNED + r"(?![\"']?(?:\*+|\.+|x+|X+|•+|-+|_+|#+)[\"']?(?!\S))"
+    rf"(?:(?i:{_PASSWORD})(?:[_-]\p{{L}}{{1,20}}){{0,2}}" + _ASSIGNED + r"(?![\"']?(?:\*+|\.+|x+|X+|•+|-+|_+|#+)[\"']?(?!\S))"
     r"(?:\"[^\"\r\n]{4,200}(?=\")|'[^'\r\n]{4,200}(?=')|[\"'][^\s\"']{4,}|[^\s\"']\S{2,}" + _UNQUOTED_END + r")"
-    r"|(?i:secret|token|api[_-]?key)" + _ASSIGNED + r"(?:[\"'][^\s\"']{8,}|[^\s\"']\S{6,}" + _UNQUOTED_END + r"))")
+    rf"|(?<!\p{{L}})(?i:{_PASSWORD})\s{{1,2}}{_IS}\s{{1,2}}[\"']?(?=\S*[\d!@#$%^&*])[^\s\"']\S{{2,}}" + _UNQUOTED_END +
+    rf"|(?i:{_TOKEN})(?:[_-]\p{{L}}{{1,20}}){{0,3}}" + _ASSIGNED + r"(?:[\"'][^\s\"']{8,}|[^\s\"']\S{6,}" + _UNQUOTED_END + r")"
+    r"|(?<!\p{L})(?i:bearer)\s{1,2}(?=\S*\d)[A-Za-z0-9._~+/-]{12,}={0,2}"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,20}(?=-----END))")
+_SECRET_HEAD = (rf"^(-----BEGIN [A-Z ]*PRIVATE KEY-----\s*|(?i:bearer)\s+|(?i:{_PASSWORD})\s+{_IS}\s+[\"']?|[^=:]*[=:]\s*[\"']?)")
+#: Access keys by their prefix, which stays.
+_KEY_HEAD = r"(?:(?:sk|pk|rk)[_-](?:[A-Za-z0-9]+[_-]){0,3}|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|AIza|ya29\.|hf_|npm_)"
+KEYS = rf"(?<![\p{{L}}\p{{N}}_-])(?=\S*\d){_KEY_HEAD}[A-Za-z0-9_-]{{0,200}}[A-Za-z0-9]{{16,}}(?![\p{{L}}\p{{N}}])"
+_PHONE_WORD = r"(?<!\p{L})(?i:phone|tel|telephone|telefon|teléfono|téléphone|mobile|cell|móvil|handy|fax|call)(?i: ?(?:no|number|nummer))?[.:=]{0,2}\s{1,2}"
 #: Digit groups one blank or hyphen apart, 13 digits or more: may hold cards, phone numbers and social security numbers (``_segments``).
 RUN = r"(?<![\p{L}\d]|\d[.-])(?=\+?\d(?:[ -]?\+?\d){12})\+?\d++(?!\p{L}|\.\d)(?:[ -]\+?\d++(?!\p{L}|\.\d))*+"
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+(?<!-)",
     SECRET,
     r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])",
+    KEYS,
+    r"(?<![\p{L}\d:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[a-fA-F:]{0,39}\d)(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\d:])",
     r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    r"(?<![\p{L}\d]|\d[ .,-])(?!000|666|9)\d{3} \d{2} \d{4}(?![\p{L}\d]|[ .,-]\d)",
+    _PHONE_WORD + r"\d{7,12}(?![\p{L}\d]|[.,-]\d)",
     RUN,
     r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    r"(?<![\p{L}\d]|\d[ .,/-])0\d{1,4}[ /-]\d{5,8}(?![\p{L}\d]|[ .,/-]\d)",
     r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
-    rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}",
+    rf"(?<!\p{{L}})(?:(?:{_TITLES})\.?|{INTRODUCED}) {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 ])
-#: What any entity has: an at sign, a digit, or a title; an assignment has its sign.
-HINT = rf"[@0-9=:]|(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+#: What any entity has: an at sign, a digit, a title or an introduction; an assignment has its sign.
+HINT = rf"[@0-9=:]|(?<!\p{{L}})(?:(?:{_TITLES})\.?|{INTRODUCED}) \p{{Lu}}"
 
 _DIGITS = r"regexp_replace({v}, '[^0-9]', '')"
 _LUHN = (r"aggregate(transform(sequence(1, length({d})), i -> cast(substr({d}, length({d}) + 1 - i, 1) as int) * (1 + (i + 1) % 2)), 0L, "
@@ -93,6 +112,11 @@ def _hex_like(v: str, stream: str) -> str:
     return f"array_join(transform(sequence(1, length({v})), i -> {_pick('0123456789abcdef', stream, 'i')}), '')"
 
 
+def _hex_digits(v: str, stream: str) -> str:
+    c = f"substr({v}, i, 1)"
+    return f"array_join(transform(sequence(1, length({v})), i -> if({c} rlike '[0-9a-f]', {_pick('123456789abcdef', stream, 'i')}, {c})), '')"
+
+
 def _name(stream: str, ending: str) -> str:
     """SQL: a name of two to three drawn syllables, Cyrillic if the norm is, with an ending for the gender."""
     latin = "element_at(array('ba','ce','da','el','fi','ga','he','in','jo','ka','le','mi','no','or','pe','ra','sa','ti','ul','ve'), 1 + {})"
@@ -108,14 +132,16 @@ def mentions(text):
 
 def _typed(value: str) -> str:
     d = _DIGITS.format(v=value)
-    titles = f"{MALE}|{FEMALE}|{NEUTRAL}".replace("'", "''")
+    quoted = lambda x: x.replace("\\", "\\\\").replace("'", "\\'")
     return (f"case when {value} rlike '^[^ =:]+@' then 'email' "
-            f"when {value} rlike '^(?i:password|passwd|pwd|secret|token|api)' then 'secret' "
-            f"when {value} rlike '^AKIA[0-9A-Z]{{16}}$' then 'key' "
-            f"when {value} rlike '^({titles})[.]? ' then 'name' "
+            f"when {value} rlike '{quoted(f'^(?i:{_PASSWORD}|{_TOKEN}|bearer |-----BEGIN )')}' then 'secret' "
+            f"when {value} rlike '{quoted(f'^(?:AKIA[0-9A-Z]{{16}}$|{_KEY_HEAD})')}' then 'key' "
+            f"when {value} rlike '^[0-9a-fA-F:]*:[0-9a-fA-F]*:[0-9a-fA-F:]*$' then 'ip6' "
+            f"when {value} rlike '{quoted(f'^(?:(?:{_TITLES})[.]?|{INTRODUCED}) ')}' then 'name' "
             f"when {value} rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then 'ip' "
-            f"when {value} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn' "
+            f"when {value} rlike '^[0-9]{{3}}([ -])[0-9]{{2}}[ -][0-9]{{4}}$' then 'ssn' "
             f"when {value} rlike '^[A-Z]{{2}}[0-9]{{2}}' then 'iban' "
+            f"when {value} rlike '^0[0-9]{{1,4}}[ /-][0-9]{{5,8}}$' then 'phone' "
             f"when {value} rlike '^[+]?[0-9][0-9 +-]*$' then 'run' "
             f"else 'phone' end")
 
@@ -164,18 +190,25 @@ def _parts(lists: DataFrame) -> DataFrame:
     m = m.withColumn("held", F.expr(f"if(exists(held, x -> x.kind <> 'none'), held, {one})"))
     m = m.select("key", "pos", F.posexplode("held").alias("segment", "x")).select(
         "key", "pos", "segment", F.col("x.kind").alias("kind"), F.col("x.value").alias("mention"))
-    head = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^([^=:]*[=:]\s*[\"']?)", 1)).when(
-        F.col("kind") == "email", F.regexp_extract("mention", r"^([._%+-]*)", 1)).when(
-        F.col("kind") == "name", F.regexp_extract("mention", r"^(\S+ )(.*)$", 1)).otherwise("")
+    head = (F.when(F.col("kind") == "secret", F.regexp_extract("mention", _SECRET_HEAD, 1))
+            .when(F.col("kind") == "key", F.regexp_extract("mention", f"^({_KEY_HEAD})", 1))
+            .when(F.col("kind") == "phone", F.regexp_extract("mention", r"^(\p{L}[^\d+(]*)", 1))
+            .when(F.col("kind") == "email", F.regexp_extract("mention", r"^([._%+-]*)", 1))
+            .when(F.col("kind") == "name", F.regexp_extract("mention", rf"^({INTRODUCED} |\S+ )", 1)).otherwise(""))
     m = m.withColumn("head", head).withColumn("rest", F.expr("substr(mention, length(head) + 1)"))
-    words = F.when(F.col("kind") == "name", F.split("rest", " ")).otherwise(F.array("rest"))
+    # The words of a name, each with the blank, hyphen or "O'" before it.
+    words = F.when(F.col("kind") == "name", F.split("rest", r"(?=[ -]\p{L})")).otherwise(F.array("rest"))
     m = m.withColumn("words", words).select(
-        "key", "pos", "segment", "kind", "head", F.size("words").alias("n"), F.posexplode("words").alias("part", "value"))
-    prefix = F.when(F.col("part") == 0, F.col("head")).otherwise(" ")
-    gender = F.when(F.col("head").rlike(f"^({FEMALE})"), "f").when(F.col("head").rlike(f"^({MALE})"), "m").otherwise("n")
-    kind = F.when(F.col("kind") != "name", F.col("kind")).when(F.col("part") == F.col("n") - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender))
+        "key", "pos", "segment", "kind", "head", F.size("words").alias("n"), F.posexplode("words").alias("part", "word"))
+    lead = F.when(F.col("kind") == "name", F.regexp_extract("word", r"^([ -]?(?:\p{L}['’])?)", 1)).otherwise("")
+    m = m.withColumn("lead", lead).withColumn("value", F.expr("substr(word, length(lead) + 1)"))
+    prefix = F.concat(F.when(F.col("part") == 0, F.col("head")).otherwise(""), "lead")
+    gender = F.when(F.col("head").rlike(f"^(?i:{FEMALE})[. ]"), "f").when(F.col("head").rlike(f"^(?i:{MALE})[. ]"), "m").otherwise("n")
+    last = F.col("part") >= F.col("n") - F.when(F.col("word").startswith("-") | F.lead("word").over(
+        Window.partitionBy("key", "pos", "segment").orderBy("part")).startswith("-"), 2).otherwise(1)
+    kind = F.when(F.col("kind") != "name", F.col("kind")).when(last, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender))
     m = m.select("key", "pos", "segment", "part", prefix.alias("prefix"), kind.alias("type"), "value")
-    norm = (F.when(F.col("type") == "email", F.lower("value"))
+    norm = (F.when(F.col("type").isin("email", "ip6"), F.lower("value"))
             .when(F.col("type").isin("card", "ssn"), F.expr(_DIGITS.format(v="value")))
             .when(F.col("type") == "phone", F.expr(f"right({_DIGITS.format(v='value')}, 10)"))
             .when(F.col("type") == "iban", F.regexp_replace("value", " ", ""))
@@ -202,6 +235,7 @@ def _surrogate(key: str, turn: int):
         f"case when type = 'email' then concat({_like(local, s)}, {more}, '@', {_like(host, ds)}, '.', substring_index(norm, '.', -1)) "
         f"when type in ('secret', 'key') then concat(case when norm rlike '^AKIA' then 'AKIA' else '' end, case when norm rlike '^[0-9a-f]+$' "
         f"then {_hex_like('norm', s)} when norm rlike '^AKIA' then {_like('substr(norm, 5)', s)} else {_like('norm', s)} end, {more}) "
+        f"when type = 'ip6' then {_hex_digits('norm', s)} "
         f"when type = 'ip' then concat_ws('.', {octet(1, 1, 223)}, {octet(2, 0, 256)}, {octet(3, 0, 256)}, {octet(4, 1, 254)}) "
         f"when type = 'card' then element_at(transform(array({body}), x -> concat(x, cast({wanted} as string))), 1) "
         f"when type = 'ssn' then concat('9', substr({_like('norm', s)}, 2), {more_digits}) "
@@ -257,7 +291,8 @@ def _rendered():
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``, the number of replaced mentions."""
     columns = [c for c in docs.columns if c == text or c != "n_entities"]
-    base = docs.select(*columns).withColumn(P + "ents", mentions(F.col(text)))
+    # Written with the lists of mentions, so that the expression runs once over each text.
+    base = materialize(docs.select(*columns).withColumn(P + "ents", mentions(F.col(text))), "pii-mentions")
     some = F.coalesce(F.size(P + "ents") > 0, F.lit(False))
     found = base.where(some).withColumn(P + "key", F.md5(F.concat_ws("\x01", P + "ents").cast("binary")))
     lists = materialize(found.groupBy(F.col(P + "key").alias("key")).agg(F.first(P + "ents").alias("ents")), "pii-lists")
@@ -270,14 +305,16 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ready = whole.groupBy(F.col("key").alias(P + "key")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]).alias(P + "new"),
         F.sum("real").cast("int").alias(P + "n"))
-    first = shown.where("type = 'surname' or type like 'given%'").groupBy("key", "value").agg(F.min(F.struct("pos", "bare")).alias("first"))
+    first = shown.where("type = 'surname' or type like 'given%'").groupBy("key", F.lower("value").alias("value")).agg(F.min(F.struct("pos", "bare")).alias("first"))
     names = first.groupBy(F.col("key").alias(P + "key")).agg(F.map_from_entries(F.collect_list(F.struct("value", "first"))).alias(P + "names"))
     ready = materialize(ready.join(names, P + "key", "left"), "pii-ready")
     pieces = F.split(F.col(text), PATTERN, -1)
     changed = found.join(ready, P + "key").withColumn(P + "pieces", pieces)
     # Words of a name that was found before, in the text after it: ``to`` is null for other words.
+    bare = f"{P}names[lower(w)].bare"
+    cased = f"if(w = upper(w) and length(w) > 1, upper({bare}), concat(upper(substr({bare}, 1, 1)), lower(substr({bare}, 2))))"
     later = (f"transform({P}pieces, (piece, i) -> if({P}names is null, null, transform(regexp_extract_all(piece, '[\\\\p{{L}}\\\\p{{M}}]+|[^\\\\p{{L}}\\\\p{{M}}]+', 0), "
-             f"w -> struct(w as word, if({P}names[w].pos < i, {P}names[w].bare, null) as to))))")
+             f"w -> struct(w as word, if({P}names[lower(w)].pos < i and w rlike '^\\\\p{{Lu}}', {cased}, null) as to))))")
     changed = changed.withColumn(P + "later", F.expr(later))
     piece = f"if({P}names is null, get({P}pieces, i), array_join(transform(get({P}later, i), x -> coalesce(x.to, x.word)), ''))"
     rebuilt = F.expr(f"array_join(transform(sequence(0, size({P}pieces) - 1), i -> concat({piece}, coalesce(get({P}new, i), ''))), '')")
@@ -287,6 +324,11 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return drop_scratch(changed, P).select(*columns, "n_entities").unionByName(calm.select(*columns, "n_entities"))
 
 
+def session_key(spark) -> str:
+    """The key of the corpus: the session's ``spark.tessera.pii.key``, else a fixed one, which protects nobody."""
+    return spark.conf.get("spark.tessera.pii.key", None) or "corpus-key-1"
+
+
 def op3_pii_surrogates(docs: DataFrame) -> DataFrame:
-    done = replace_pii(docs.select("doc_id", "text"), "corpus-key-1")
+    done = replace_pii(docs.select("doc_id", "text"), session_key(docs.sparkSession))
     return done.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_entities")

@@ -77,6 +77,46 @@ def test_secrets_addresses_and_later_names(spark):
     assert counted.first()["n_entities"] == 3
 
 
+def test_more_secrets_and_addresses(spark):
+    """(text, what must not be left, shape of the result)"""
+    cases = [
+        ("Authorization: Bearer eyJhbGciOi.J9x_y-12", "eyJhbGci", r"Authorization: Bearer [a-z]{2}[A-Z][a-z]{2}[A-Z][a-z]{2}[A-Z][a-z]\.[A-Z]\d[a-z]_[a-z]-\d\d"),
+        ("use sk-proj-abcDEF1234567890abcdEFGH now", "abcDEF", r"use sk-proj-\w{24} now"), ("ghp_abcdefghijklmnopqrst1234567890ABCDEF", "abcdefghij", r"ghp_\w{36}"),
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalr", r"AWS_SECRET_ACCESS_KEY=[A-Za-z]{13}/[A-Z]\d[A-Z]{5}"),
+        ("-----BEGIN RSA PRIVATE KEY-----\nMIIEow1BAAKCAQ\nab+/==\n-----END RSA PRIVATE KEY-----", "MIIEow",
+         r"-----BEGIN RSA PRIVATE KEY-----\n[A-Za-z]{6}\d[A-Z]{7}\n[a-z]{2}\+/==\n-----END RSA PRIVATE KEY-----"),
+        ("the password is hunter2, ok", "hunter2", r"the password is [a-z]{6}\d, ok"), ("the password is required here", None, None),
+        ("contraseña=abc123x passwort: geheim99", "abc123|geheim", r"contraseña=[a-z]{3}\d{3}[a-z] passwort: [a-z]{6}\d\d"),
+        ("call 5551234567 or Tel.: 0301234567", "5551234567|0301234567", r"call \d{10} or Tel\.: \d{10}"), ("in 5551234567 cases", None, None),
+        ("Büro 030 1234567.", "030 1234567", r"Büro \d{3} \d{7}\."), ("no 123 45 6789 here", "123 45", r"no 9\d\d \d\d \d{4} here"), ("1 123 45 6789 5", None, None),
+        ("at 2001:db8:85a3:0:0:8a2e:370:7334 and fe80::1ff:fe23:4567:890a.", "2001:db8|fe80", r"at [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f:]+ and [0-9a-f]{4}::[0-9a-f:]+\."),
+        ("std::vector a::b 12:30:45 10:20", None, None), ("Mr. O'Brien spoke", "Brien", r"Mr\. O'\w+son spoke"),
+        ("Frau Meyer-Schmidt kam", "Meyer|Schmidt", r"Frau \w+son-\w+son kam"), ("My name is Jane Doe. Bye.", "Jane|Doe", r"My name is \w+ne \w+son\. Bye\."),
+        ("MR. JOHN SMITH", "JOHN|SMITH", r"MR\. [A-Z]+NO [A-Z]+SON"), ("I miss London", None, None)]
+    for (old, gone, shape), new in zip(cases, replaced(spark, [c[0] for c in cases])):
+        if gone is None:
+            assert new == old
+        else:
+            assert not re.search(gone, new) and re.fullmatch(shape, new), (old, new)
+
+
+def test_later_mentions_in_capitals(spark):
+    new, = replaced(spark, ["Mrs. Jane Smith left. JANE SMITH came back; Jane and a smith."])
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) left\. (\w+) (\w+) came back; (\w+) and a smith\.", new)
+    assert m[3] == m[1].upper() and m[4] == m[2].upper() and m[5] == m[1] and m[1] != "Jane"
+
+
+def test_the_key_comes_from_the_session(spark):
+    some = spark.createDataFrame([(1, "mail bob.miller@x.example.org")], "doc_id long, text string")
+    rows = {}
+    for key in (None, "other"):
+        if key:
+            spark.conf.set("spark.tessera.pii.key", key)
+        rows[key] = sorted(tuple(r) for r in pii.op3_pii_surrogates(some).collect())
+    spark.conf.unset("spark.tessera.pii.key")
+    assert rows[None] != rows["other"]
+
+
 def test_coreference_distinctness_and_gender(spark):
     got = replaced(spark, ["Mr. John Smith met Mrs. Anna Smith.", "SMITH? No, Dr. Smith; then Mr. John Miller.", "Госпожа Анна Иванова, Господин Иванов",
                            "bob@x.example.org BOB@X.EXAMPLE.ORG eve@x.example.org", "+1 (988) 555-2485 and 988-555-2485"])
