@@ -4,6 +4,13 @@
 returns a DataFrame.  ``run`` applies them to the ``documents`` table, each result
 written as Parquet and read again.  All but the last return the columns of
 documents; each works on every row that its predecessor kept.
+
+Defined cases, by stage.  Language: a null or letterless text has no language and goes; repeated rows are judged alike.
+Near-duplicates: null texts do not get this far, texts without words link like any others; of equal rows one stays, a row
+without an id only if its component has none with one.  Personal data: texts without entities stay as they are.  Mixing: a null source
+is a source of its own, a document without an id is drawn by its text, one without words is as likely as its source's rate.
+Packing: an empty text is its end token alone, copies of a document are documents of their own.  An empty table gives an empty
+table of the same columns at every stage; columns that are not among ``documents``' are carried by all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,7 +23,6 @@ from tessera.llm.common import materialize, table
 
 #: Documents below this mean probability of their language are rejected (with four languages a guess has 0.25).
 LEAST_LANGUAGE_SCORE = 0.3
-SURROGATE_KEY = "corpus-key-1"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets in ``text``; ``n_chars`` follows the new text."""
-    replaced = pii.replace_pii(docs, SURROGATE_KEY)
+    replaced = pii.replace_pii(docs, pii.session_key(spark))
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
