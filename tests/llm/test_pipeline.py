@@ -34,7 +34,7 @@ def test_each_stage_works_on_what_its_predecessor_kept(spark, sf, documents):
     assert single.columns == documents.columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(low.values()))
 
     private = materialize(pipeline.privacy_stage(spark, single, sf), "t")
-    want = {r["doc_id"]: r["text"] for r in pii.replace_pii(single, pipeline.SURROGATE_KEY).collect()}
+    want = {r["doc_id"]: r["text"] for r in pii.replace_pii(single, pii.session_key(spark)).collect()}
     assert private.columns == documents.columns and {r["doc_id"]: r["text"] for r in private.collect()} == want
     assert all(r["n_chars"] == len(r["text"]) and r["source"] == known[r["doc_id"]]["source"] for r in private.collect())
 
