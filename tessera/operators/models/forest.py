@@ -335,9 +335,14 @@ def binned_table(df: DataFrame, features: list[str], bins: list[Bins], y, fold,
     ship_package(spark)
     held = spark.sparkContext.broadcast(bins)
     by = [F.col(f"`{c}`") for c in (key or [c for c in df.columns if not c.startswith("_")])]
-    numbers = df.select(F.monotonically_increasing_id().alias("id"), F.xxhash64(*by).alias("h"), fold.cast("int").alias("fold"), y.cast("double").alias("y"),
+    numbers = df.select(F.xxhash64(*by).alias("h"), fold.cast("int").alias("fold"), y.cast("double").alias("y"),
                         *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
 
+    # A small table in few files would be read, and searched, by few tasks.
+    if numbers.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        numbers = numbers.repartition(spark.sparkContext.defaultParallelism)
+    numbers = numbers.select(F.monotonically_increasing_id().alias("id"), "*")
+
     def pack(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -538,11 +543,18 @@ def _prepare(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[int],
     sizes = {f: total - counts.get(f, 0) for f in forests}
     tops = grow_tops(table, spec, bins, forests, sizes, local_rows)
     small = all(len(v.nodes) == 1 for v in tops.values())
-    chunk = max(1, min(10, len(forests) * spec.trees // 64)) if small else 1
+    chunk = max(1, min(10, len(forests) * spec.trees // (8 * table.sparkSession.sparkContext.defaultParallelism))) if small else 1
     parts = max(1, -(-max(counts.get(f, 0) for f in forests) // local_rows))
     return tops, _dealt(table, spec, len(bins), forests, tops, chunk, parts), chunk, total
 
 
+def _by_work(dealt: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Dealt by keys to a number of tasks that follows the groups: they are small in bytes, and long in time."""
+    sc = dealt.sparkSession.sparkContext
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, 4 * sc.defaultParallelism))
+    return dealt.repartition(tasks, *keys)
+
+
 def fit_trees(table: DataFrame, spec: Spec, bins: list[Bins], local_rows: int | None = None) -> list[dict[str, np.ndarray]]:
     """The trees of one forest over all rows of the table (fold -1)."""
     local_rows = local_rows or LOCAL_ROWS
@@ -554,7 +566,8 @@ def fit_trees(table: DataFrame, spec: Spec, bins: list[Bins], local_rows: int |
         out = [(t, node, pickle.dumps(sub, protocol=5)) for t, sub, _ in _subtrees(spec, held.value[1], f, first, node, chunk, held.value[0], Rows.unpack(pdf["block"]))]
         return pd.DataFrame(out, columns=["tree", "node", "block"])
 
-    grown = dealt.groupBy("forest", "tree", "node", "part").applyInPandas(finish, "tree int, node int, block binary")
+    keys = ("forest", "tree", "node", "part")
+    grown = _by_work(dealt, -(-spec.trees // chunk), *keys).groupBy(*keys).applyInPandas(finish, "tree int, node int, block binary")
     path = scratch_path(table.sparkSession, "forest")
     grown.write.parquet(path)
     grown = table.sparkSession.read.schema("tree int, node int, block binary").parquet(path)
@@ -653,8 +666,10 @@ def nested_scores(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[
         return pd.DataFrame(out, columns=["forest", "n_estimators", "max_depth", "min_samples_split", "n", "correct", "abs_error", "sq_error", "sum_y", "sum_y2"]
                             ).astype({"max_depth": "Int32"})
 
-    values = dealt.groupBy("forest", "tree", "node", "part").applyInPandas(score, "forest int, block int, segment int, values binary")
-    rows = values.groupBy("forest", "block").applyInPandas(
+    keys = ("forest", "tree", "node", "part")
+    groups = len(forests) * -(-full.trees // chunk)
+    values = _by_work(dealt, groups, *keys).groupBy(*keys).applyInPandas(score, "forest int, block int, segment int, values binary")
+    rows = _by_work(values, len(forests) * blocks, "forest", "block").groupBy("forest", "block").applyInPandas(
         add, "forest int, n_estimators int, max_depth int, min_samples_split int, n long, correct long, abs_error double, sq_error double, sum_y double, sum_y2 double")
     return rows.groupBy("forest", "n_estimators", "max_depth", "min_samples_split").agg(
         *[F.sum(c).alias(c) for c in ("n", "correct", "abs_error", "sq_error", "sum_y", "sum_y2")])
