@@ -24,8 +24,14 @@ def _infinity(x):
     return F.when(F.lower(x).rlike("inf"), F.when(x.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
 
 
+def _goes_over_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotation marks (doubled ones count as two)."""
+    marks = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(marks % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, null_tokens: list[str] | None = None,
-             header: bool = True, multi_line: bool = True) -> DataFrame:
+             header: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV with header; NA tokens -> NULL; per-column type inferred like pandas.
 
     Read as strings, null the tokens, then ONE aggregate decides for every
@@ -33,9 +39,12 @@ def read_csv(spark: SparkSession, path: str, null_tokens: list[str] | None = Non
     booleans, else it stays string; a final projection casts.
 
     ``multi_line`` allows line ends inside quoted fields; a file is then one
-    task's input, so write many files (as :func:`write_csv` does).  Without it
-    large files are split.
+    task's input.  Unless it is given, one pass over the lines decides: a line with an
+    odd number of quotation marks begins or ends a field that goes over lines.  Files
+    without such a line are split, however large they are.
     """
+    if multi_line is None:
+        multi_line = _goes_over_lines(spark, path)
     tokens = DEFAULT_NA_TOKENS if null_tokens is None else null_tokens
     raw = spark.read.options(header=header, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS).csv(path)
     cleaned = raw.select(*[F.when(F.col(c).isin(tokens), F.lit(None)).otherwise(F.col(c)).alias(c)
