@@ -251,3 +251,22 @@ def test_a_grid_of_linear_models_reads_the_rows_twice(spark, monkeypatch):
     res, best, fm = S.grid_search(df, "y", ["a", "b", "c"], "regression", "lasso", [{"alpha": a} for a in (0.001, 0.01, 0.1, 1.0, 10.0)], ["id"])
     assert len(calls) == 3 and res.count() == 5 * 5 * 3  # moments, scores, and the refit of the winner
     assert best["alpha"] < 1 and fm.transform(df).count() == 100
+
+
+def test_carried_statistics_equal_fits_from_nothing(spark, monkeypatch):
+    from tessera.operators.models import bayes, carried
+    pdf, df = frame(spark, 500, 9, 3)
+    passes = []
+    monkeypatch.setattr(carried.gram, "fold_moments", lambda *a, plain=gram.fold_moments: passes.append(1) or plain(*a))
+    grid = [{"var_smoothing": v} for v in (1e-9, 0.05, 0.5, 5.0)]
+    res, best = S.halving_search(df, "y", ["a", "b", "c"], "classification_multi", "naive_bayes", grid, ["id"], k=4, min_rows=60)
+    assert len(passes) == 1 and best in grid  # rows are summed once for all rounds
+    from tessera.functions.exprs import hash_unit
+    folded = S.assign_folds(df, ["id"], 4, stratify="y", seed=42).withColumn("_u", hash_unit(["id"], 43)).cache()
+    got = {(r["round"], r["params"], r["fold"]): r["score"] for r in res.collect()}
+    assert {k[0] for k in got} == {0, 1}
+    for (rnd, params, fold), score in got.items():
+        rows = folded.where(F.col("_u") < min(1.0, 60 * 3 ** rnd / 500))
+        fm = bayes.gaussian_nb(rows.where(F.col("_fold") != fold), "y", ["a", "b", "c"], "classification_multi", **S.json.loads(params))
+        plain = S.score_predictions(fm.transform(rows.where(F.col("_fold") == fold)), "y", "classification_multi")["accuracy"]
+        assert math.isclose(score, plain, rel_tol=1e-12)
