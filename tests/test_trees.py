@@ -111,9 +111,9 @@ def test_nested_candidates_equal_separate_fits(spark, classes, local):
 def test_feature_importance_equals_a_search_with_separate_fits(spark, monkeypatch):
     _, df = frame(spark, 240, 4)
     grid = {"n_estimators": [3, 8], "max_depth": [6], "min_samples_split": [2, 10]}
-    got = S.feature_importance(df, "y", ["a", "b", "c"], "regression", ["id"], grid).collect()
+    got = S.feature_importance(df, "y", ["a", "b", "c"], "regression", ["id"], grid, k=3).collect()
     assert abs(sum(r["importance"] for r in got) - 1) < 1e-9 and got[0]["feature"] == "a"
-    nested, best = S.halving_search(df, "y", ["a", "b", "c"], "regression", "random_forest", estimators_grid(grid), ["id"])
+    nested, best = S.halving_search(df, "y", ["a", "b", "c"], "regression", "random_forest", estimators_grid(grid), ["id"], k=3)
 
     def separate(folded, target, features, problem, cands, key, k):
         out = []
@@ -123,7 +123,7 @@ def test_feature_importance_equals_a_search_with_separate_fits(spark, monkeypatc
         return out
 
     monkeypatch.setattr(S, "forest_scores", separate)
-    plain, plain_best = S.halving_search(df, "y", ["a", "b", "c"], "regression", "random_forest", estimators_grid(grid), ["id"])
+    plain, plain_best = S.halving_search(df, "y", ["a", "b", "c"], "regression", "random_forest", estimators_grid(grid), ["id"], k=3)
     assert best == plain_best
     one, two = ({(r["round"], r["params"], r["fold"], r["metric"]): r["score"] for r in x.collect()} for x in (nested, plain))
     assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-8) for k in one)
