@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tessera.session import scratch_path, ship_package
+from tessera.session import scratch_path, ship_package, spread
 
 LOCAL_ROWS = 1 << 18          # rows of a node that one task finishes
 MAX_BINS = 256                # a bin number is one byte
@@ -338,9 +338,6 @@ def binned_table(df: DataFrame, features: list[str], bins: list[Bins], y, fold,
     numbers = df.select(F.xxhash64(*by).alias("h"), fold.cast("int").alias("fold"), y.cast("double").alias("y"),
                         *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
 
-    # A small table in few files would be read, and searched, by few tasks.
-    if numbers.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        numbers = numbers.repartition(spark.sparkContext.defaultParallelism)
     numbers = numbers.select(F.monotonically_increasing_id().alias("id"), "*")
 
     def pack(batches):
@@ -353,7 +350,7 @@ def binned_table(df: DataFrame, features: list[str], bins: list[Bins], y, fold,
     schema = "id long, h long, fold int, y double, x binary"
     path = scratch_path(spark, "binned-rows")
     numbers.mapInArrow(pack, schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spread(spark.read.schema(schema).parquet(path))
 
 
 def binary_matrix(values: np.ndarray) -> pa.Array:

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -64,6 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it was read from files; if they make fewer partitions than there are cores, dealt to all of them.
+
+    Only for plain scans: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors (once a Spark context), so that their Python workers can import it from anywhere."""
     sc = spark.sparkContext
