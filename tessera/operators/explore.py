@@ -125,6 +125,44 @@ def kde(df: DataFrame, col: str, points: int = 500) -> DataFrame:
     return parts.groupBy("point", "x").agg((F.sum("t") * F.lit(norm)).alias("density"))
 
 
+def kde_binned(df: DataFrame, col: str, points: int = 500, per: int = 32, reach: float = 5.0) -> DataFrame:
+    """A4 with a stated error: point, x, density, bound (largest difference from :func:`kde`).
+
+    Each value is dealt to its two neighbouring bins of width h / ``per`` (linear binning); bin weights are map-side combined
+    sums, so only bins are shuffled, and the kernel is evaluated a bin, up to ``reach`` bandwidths away.  Linear interpolation
+    over the bin width errs by at most width^2 / 8 times the kernel's largest second derivative, 1 / (h^3 sqrt(2 pi)), and the
+    cut tail by at most the kernel at ``reach``.
+    """
+    x = nan_to_null(col)
+    r = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("s"), F.min(x).alias("a"),
+               F.max(x).alias("b")).collect()[0]
+    spark = df.sparkSession
+    n = r["n"]
+    if not n or r["s"] is None or r["s"] == 0:
+        return spark.createDataFrame([], "point int, x double, density double, bound double")
+    h = r["s"] * n ** (-1.0 / 5.0)
+    peak = 1.0 / (h * math.sqrt(2 * math.pi))
+    bound = peak * (1.0 / (8 * per * per) + math.exp(-0.5 * reach * reach))
+    low, step = F.lit(r["a"]), (r["b"] - r["a"]) / (points - 1)
+    at = (F.col("v") - low) / F.lit(h / per)
+    down = F.floor(at)
+    halves = F.explode(F.array(F.struct(down.alias("j"), (1 - (at - down)).alias("w")), F.struct((down + 1).alias("j"), (at - down).alias("w"))))
+    bins = (df.select(x.alias("v")).where("v IS NOT NULL").select(halves.alias("p"))
+            .groupBy("p.j").agg(F.sum("p.w").alias("w")))
+    away = F.lit((reach + 0.5 / per) * h)      # half a bin more, so that no bin lies just at the end
+    mid = F.col("j") * F.lit(h / per)
+    first = F.greatest(F.ceil((mid - away) / F.lit(step)), F.lit(0))
+    last = F.least(F.floor((mid + away) / F.lit(step)), F.lit(points - 1))
+    near = bins.where(first <= last).select("w", mid.alias("m"), F.explode(F.sequence(first, last)).alias("point"))
+    z = (F.col("point") * F.lit(step) - F.col("m")) / F.lit(h)
+    sums = near.groupBy("point").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("t"))
+    grid = spark.range(points).select(F.col("id").alias("point"))
+    return (grid.join(F.broadcast(sums), "point", "left")   # at most `points` rows on each side
+            .select(F.col("point").cast("int").alias("point"),
+                    F.when(F.col("point") == points - 1, F.lit(r["b"])).otherwise(F.col("point") * F.lit(step) + low).alias("x"),
+                    (F.coalesce("t", F.lit(0.0)) * F.lit(peak / n)).alias("density"), F.lit(bound).alias("bound")))
+
+
 def box_stats(df: DataFrame, col: str, k: float = 1.5, exact: bool = True) -> DataFrame:
     """A5: q1, median, q3, whiskers (furthest values within k IQR), outlier count, min, max."""
     q1, med, q3 = quantiles(df, [col], [0.25, 0.5, 0.75], exact=exact)[col]

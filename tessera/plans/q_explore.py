@@ -87,6 +87,20 @@ def a4_continuous(spark, sf):
     return rounded(X.kde(table(spark, sf, "orders"), "o_totalprice", 500), 8)
 
 
+@query("a4_kde_binned", f"""WITH s AS (SELECT count(o_totalprice) n, min(o_totalprice) a, max(o_totalprice) b,
+  stddev_samp(o_totalprice) * pow(count(o_totalprice), -0.2) AS h FROM orders),
+v AS (SELECT (o_totalprice - a) / (h / 32) AS u FROM orders, s WHERE o_totalprice IS NOT NULL),
+j AS (SELECT floor(u) AS j, 1 - (u - floor(u)) AS w FROM v UNION ALL SELECT floor(u) + 1, u - floor(u) FROM v),
+bins AS (SELECT j, sum(w) AS w FROM j GROUP BY j),
+g AS (SELECT range::INTEGER AS point, range * ((b - a) / 499) AS m, s.* FROM range(500), s)
+SELECT point, {s8("any_value(CASE WHEN point = 499 THEN b ELSE m + a END)")} AS x,
+  {s8("coalesce(sum(w * exp(-0.5 * pow((m - j * (h / 32)) / h, 2))) FILTER (WHERE abs(m - j * (h / 32)) <= (5 + 0.5 / 32) * h), 0) / (any_value(n) * any_value(h) * sqrt(2 * pi()))")}
+  AS density, {s8("any_value((1.0 / (8 * 32 * 32) + exp(-12.5)) / (h * sqrt(2 * pi())))")} AS bound
+FROM g, bins GROUP BY point""")
+def a4_binned(spark, sf):
+    return rounded(X.kde_binned(table(spark, sf, "orders"), "o_totalprice", 500), 8)
+
+
 _BOX_Q = """(SELECT quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) med,
   quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem) q"""
 
