@@ -3,7 +3,17 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer; for a global quantile of a 100 TB column that buffer is
 one task holding the whole column.  Here the selection is done in bounded
-pieces:
+pieces.
+
+Narrowing (:func:`_narrow`) serves almost all columns without an unpivot of rows and columns.  A level is two aggregates over
+the wide rows, whatever the number of columns:
+
+1. a sketch a column gives two values around each wanted rank, a few sketch errors away on both sides;
+2. the rows below and inside each such interval, and its approximate distinct count, are counted, so that an interval that misses its
+   rank is noticed.
+
+Intervals with at most ``BUCKET_VALUES`` distinct values go to the selection: only the rows inside them are read out, as (interval, value,
+count); others are narrowed again inside their own range.  Columns whose sketch missed a rank or did not narrow take the steps below.
 
 1. one aggregate per column: the non-missing count and ``percentile_approx``
    cut points (bounded sketch memory), as many as Spark shuffles to;
@@ -143,26 +153,102 @@ def _select(long: DataFrame, targets: dict[str, set[int]], cuts: dict[str, list[
     return found
 
 
+SKETCH = 10_000      # accuracy of the sketch: ranks within n / SKETCH
+MARGIN = 4.0 / SKETCH
+WHOLE = 20_000       # rows a column's interval keeps whole: fewer ranks than the margin needs
+
+
+def _narrow(df: DataFrame, ranks: dict[str, set[int]], sizes: dict[str, int], bucket_values: int) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks, {(column, rank): value}, without those of columns that need another way."""
+    inf = float("inf")
+    cols = list(ranks)
+    wide = df.select(*[nan_to_null(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    # An interval: (column, least value, largest value, rows below it, rows in it, its ranks).
+    open_ = [(i, -inf, inf, 0, sizes[c], sorted(ranks[c])) for i, c in enumerate(cols)]
+    closed, lost = [(x, 0) for x in open_ if x[4] <= min(WHOLE, bucket_values)], set()
+    open_ = [x for x in open_ if x[4] > min(WHOLE, bucket_values)]
+
+    def within(i, lo, hi):
+        v = F.col(f"v{i}")
+        test = v.isNotNull()
+        if lo != -inf:
+            test = test & (v >= F.lit(lo))
+        return test if hi == inf else test & (v <= F.lit(hi))
+
+    while open_:
+        probs = []
+        for _, _, _, below, n, rs in open_:
+            at = [((r - below + 0.5) / n) for r in rs]
+            probs.append([min(max(p, 0.0), 1.0) for q in at for p in (q - MARGIN, q + MARGIN)])
+        row = wide.agg(*[F.percentile_approx(F.when(within(i, lo, hi), F.col(f"v{i}")), probs[k], SKETCH).alias(f"q{k}")
+                         for k, (i, lo, hi, *_) in enumerate(open_)]).collect()[0]
+        merged = []
+        for k, (i, lo, hi, below, n, rs) in enumerate(open_):
+            own: list[list] = []
+            for j, r in enumerate(rs):       # ranks in rising order: intervals that meet become one
+                a = lo if probs[k][2 * j] == 0.0 else float(row[f"q{k}"][2 * j])
+                b = hi if probs[k][2 * j + 1] == 1.0 else float(row[f"q{k}"][2 * j + 1])
+                if own and a <= own[-1][1]:
+                    own[-1][1] = max(own[-1][1], b)
+                    own[-1][2].append(r)
+                else:
+                    own.append([a, b, [r]])
+            merged += [(i, a, b, part, n) for a, b, part in own]
+        aggs = []
+        for k, (i, a, b, _, _) in enumerate(merged):
+            aggs += [F.count(F.when(F.col(f"v{i}") < F.lit(a), 1)).alias(f"l{k}"), F.count(F.when(within(i, a, b), 1)).alias(f"n{k}"),
+                     F.approx_count_distinct(F.when(within(i, a, b), F.col(f"v{i}"))).alias(f"u{k}")]
+        row, open_ = wide.agg(*aggs).collect()[0], []
+        for k, (i, a, b, rs, before) in enumerate(merged):
+            below, n = row[f"l{k}"], row[f"n{k}"]
+            if not all(below <= r < below + n for r in rs):
+                lost.add(i)
+            elif row[f"u{k}"] <= bucket_values:
+                closed.append(((i, a, b, below, n, rs), below))
+            elif n > before // 2:
+                lost.add(i)
+            else:
+                open_.append((i, a, b, below, n, rs))
+
+    chosen = [x for x, _ in closed if x[0] not in lost]
+    if not chosen:
+        return {}
+    pairs = F.array(*[F.when(within(i, a, b), F.struct(F.lit(k).alias("k"), F.col(f"v{i}").alias("v"))) for k, (i, a, b, *_) in enumerate(chosen)])
+    values = (wide.select(F.explode(F.array_compact(pairs)).alias("p")).groupBy("p.k", "p.v").agg(F.count("*").alias("cnt"))
+              .select("k", "v", "cnt"))
+    ranked = [[r - below for r in rs] for _, _, _, below, _, rs in chosen]
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one interval: its distinct values with counts (bounded); value at each local rank
+        pdf = pdf.sort_values("v")
+        k = int(pdf["k"].iloc[0])
+        at = np.searchsorted(pdf["cnt"].to_numpy().cumsum(), np.array(ranked[k]) + 1, side="left")
+        return pd.DataFrame({"k": k, "r": ranked[k], "v": pdf["v"].to_numpy()[at]})
+
+    found = {}
+    for r in values.groupBy("k").applyInPandas(pick, "k int, r long, v double").collect():   # a row a wanted rank
+        i, _, _, below, _, _ = chosen[r["k"]]
+        found[(cols[i], r["r"] + below)] = r["v"]
+    return found
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bucket_values: int = BUCKET_VALUES,
                     counts: dict[str, int] | None = None, parts: int | None = None) -> dict[str, list[float | None]]:
     """{col: [quantile at each prob]} with missing (NULL/NaN/inf) values ignored.
 
-    The same plan at every size: cut points, bucket sizes, selection in the wanted buckets.
-    ``counts`` (known non-missing counts) is accepted for callers that have them; the cut pass counts anyway.
+    The same plan at every size: counts (``counts`` where the caller knows them), narrowing, selection.
     """
     if not cols:
         return {}
-    long = stack_columns(df, cols, name_col="g")
-    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Counts and cut points of all columns in one row: no unpivot, no shuffle of values.
-    qs, accuracy = [i / parts for i in range(1, parts)] or [0.5], max(1000, 20 * parts)
-    row = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.count(nan_to_null(c)).alias(f"n{i}"), F.percentile_approx(nan_to_null(c), qs, accuracy).alias(f"c{i}"))]).collect()[0]
-    facts = {c: (row[f"n{i}"], sorted({float(x) for x in row[f"c{i}"] or []})) for i, c in enumerate(cols)}
+    counts = dict(counts or {})
+    unknown = [c for c in cols if c not in counts]
+    if unknown:
+        row = df.agg(*[F.count(nan_to_null(c)).alias(f"n{i}") for i, c in enumerate(unknown)]).collect()[0]
+        counts.update({c: row[f"n{i}"] for i, c in enumerate(unknown)})
     plan: dict[str, list[tuple[int, int, float] | None]] = {}
     targets: dict[str, set[int]] = {}
     for c in cols:
-        n = facts[c][0] if c in facts else 0
+        n = counts[c]
         if n == 0:
             plan[c] = [None] * len(probs)
             continue
@@ -173,13 +259,26 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bucket_v
             entries.append((lo, hi, pos - lo))
             targets.setdefault(c, set()).update({lo, hi})
         plan[c] = entries
-    found = _select(long, targets, {c: facts[c][1] if parts > 1 else [] for c in targets}, bucket_values, parts, wide=(df, cols))
+    found = _narrow(df, targets, counts, bucket_values) if targets else {}
+    rest = [c for c in targets if any((c, r) not in found for r in targets[c])]
+    if rest:
+        found.update(_by_buckets(df, {c: targets[c] for c in rest}, bucket_values, parts))
     out: dict[str, list[float | None]] = {}
     for c in cols:
         out[c] = [None if e is None else _interp(found[(c, e[0])], found[(c, e[1])], e[2]) for e in plan[c]]
     return out
 
 
+def _by_buckets(df: DataFrame, targets: dict[str, set[int]], bucket_values: int, parts: int | None) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks by cut points, bucket sizes and a selection in the wanted buckets."""
+    cols = list(targets)
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    qs, accuracy = [i / parts for i in range(1, parts)] or [0.5], max(1000, 20 * parts)
+    row = df.agg(*[F.percentile_approx(nan_to_null(c), qs, accuracy).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
+    cuts = {c: sorted({float(x) for x in row[f"c{i}"] or []}) if parts > 1 else [] for i, c in enumerate(cols)}
+    return _select(stack_columns(df, cols, name_col="g"), targets, cuts, bucket_values, parts, wide=(df, cols))
+
+
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                      accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """One-pass sketch (``percentile_approx``); rank error <= n / accuracy."""

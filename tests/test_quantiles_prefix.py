@@ -50,3 +50,25 @@ def test_a_hot_least_value_is_refined(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     probs = [0.0, 0.5, 0.93, 0.99, 1.0]
     assert np.allclose(exact_quantiles(df, ["x"], probs, bucket_values=20, parts=2)["x"], np.quantile(x, probs))
+
+
+def test_narrowing_reaches_single_values(spark, monkeypatch):
+    from tessera.functions import quantiles as Q
+
+    def other_way(*_):
+        raise AssertionError("not narrowed")
+
+    rng = np.random.RandomState(5)
+    x = np.concatenate([rng.standard_cauchy(40_000), np.full(20_000, 0.25)])     # a third of the rows are one value
+    pdf = pd.DataFrame({"x": x, "y": np.r_[np.full(59_999, 7.0), 8.0], "z": np.arange(60_000) % 50})
+    df = spark.createDataFrame(pdf).repartition(5)
+    probs = [0.0, 0.01, 0.3, 0.5, 0.50001, 0.77, 0.999, 1.0]
+    with monkeypatch.context() as m:
+        m.setattr(Q, "_by_buckets", other_way)
+        for values in (1_000_000, 60):           # 60: the intervals are narrowed again
+            got = exact_quantiles(df, ["x", "y", "z"], probs, bucket_values=values)
+            for c in pdf:
+                assert np.allclose(got[c], np.quantile(pdf[c], probs)), c
+    with monkeypatch.context() as m:             # a sketch that misses its rank is noticed
+        m.setattr(Q, "MARGIN", -0.01)
+        assert np.allclose(exact_quantiles(df, ["x"], [0.1, 0.9])["x"], np.quantile(x, [0.1, 0.9]))
