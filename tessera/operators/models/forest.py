@@ -9,7 +9,11 @@ quantile cuts otherwise) and written as a table.  All trees of all forests are g
 2. *Subtrees.*  A node with at most ``LOCAL_ROWS`` rows goes to one task, as packed blocks of rows, and is
    finished there, level by level with numpy.  Trees whose roots are that small share the blocks.
 
-Both steps use the same cut search.  Bootstrap weights are Poisson(1) draws from a hash of (tree, row key);
+Rows of equal bins stay together in every tree.  Where the table has at most ``LOCAL_ROWS`` different ones, one pass draws all
+trees and sums each one's weights a *cell* (equal bins, fold), and a tree is grown from its cells in one task, whatever the
+number of rows: no level reads the rows again.
+
+All steps use the same cut search.  Bootstrap weights are Poisson(1) draws from a hash of (tree, row key);
 the features a node may use are drawn from a hash of (tree, path of the node, feature), skipping constant ones.
 So a tree does not depend on partitions, on how many other trees there are, or on how deep it may grow, and
 
@@ -39,7 +43,8 @@ from pyspark.sql.functions import pandas_udf
 
 from tessera.session import scratch_path, ship_package, spread
 
-LOCAL_ROWS = 1 << 18          # rows of a node that one task finishes
+LOCAL_ROWS = 1 << 18          # rows of a node (or cells of a tree) that one task finishes
+PASS_ROWS = 1 << 16           # rows that a task takes at a time in passes over the table
 MAX_BINS = 256                # a bin number is one byte
 CELLS_AT_ONCE = 8_000_000     # numbers of a task's histograms in one pass over the rows
 BLOCK_ROWS = 1024             # test rows whose trees are added up in one task
@@ -144,6 +149,10 @@ def best_cuts(spec: Spec, node: np.ndarray, bins: np.ndarray, count: np.ndarray,
 
     ``score`` is -inf where a node has one cell only; a row with ``bin <= cut`` goes left.
     """
+    out = {"score": np.full(nodes, -np.inf), "slack": np.zeros(nodes), "cut": np.zeros(nodes, dtype=np.int64), "after": np.zeros(nodes, dtype=np.int64),
+           "left_n": np.zeros(nodes, dtype=np.int64), "left": np.zeros((nodes, stats.shape[1]))}
+    if not len(node):
+        return out
     start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     which = node[start]
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(node)]))
@@ -161,20 +170,22 @@ def best_cuts(spec: Spec, node: np.ndarray, bins: np.ndarray, count: np.ndarray,
     first = hit[np.r_[True, group[hit][1:] != group[hit][:-1]]]
     running_n = np.cumsum(count)
     left_n = running_n - (running_n[start] - count[start])[group]
-    out = {"score": np.full(nodes, -np.inf), "slack": np.zeros(nodes), "cut": np.zeros(nodes, dtype=np.int64), "after": np.zeros(nodes, dtype=np.int64),
-           "left_n": np.zeros(nodes, dtype=np.int64), "left": np.zeros((nodes, stats.shape[1]))}
     out["score"][which], out["slack"][which] = best, slack
     out["cut"][which], out["left_n"][which], out["left"][which] = bins[first], left_n[first], left[first]
     out["after"][which] = bins[np.minimum(first + 1, len(bins) - 1)]
     return out
 
 
+def feature_draw(seeds: np.ndarray, features: int) -> np.ndarray:
+    return mix(seeds[:, None] ^ mix(np.arange(1, features + 1, dtype=np.uint64))[None, :]).astype(np.float64)
+
+
 def allowed_features(spec: Spec, seeds: np.ndarray, usable: np.ndarray) -> np.ndarray:
     """Which features each node may use: the first ``tries`` usable ones in the order of a hash."""
     nodes, features = usable.shape
     if spec.tries is None or spec.tries >= features:
         return usable
-    draw = mix(seeds[:, None] ^ mix(np.arange(1, features + 1, dtype=np.uint64))[None, :]).astype(np.float64)
+    draw = feature_draw(seeds, features)
     draw[~usable] = np.inf
     last = np.partition(draw, spec.tries - 1, axis=1)[:, spec.tries - 1:spec.tries]
     return usable & (draw <= last)
@@ -199,20 +210,69 @@ def choose(spec: Spec, seeds: np.ndarray, found: list[dict[str, np.ndarray]], bi
 
 
 # ------------------------------------------------------------------ growing a subtree inside a task
+def row_codes(x: np.ndarray) -> np.ndarray:
+    """One number (or string of bytes) a binned row."""
+    if x.shape[1] > 8:
+        return np.ascontiguousarray(x).view(f"V{x.shape[1]}").reshape(-1)
+    return (x.astype(np.uint64) << (8 * np.arange(x.shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def merged(x: np.ndarray, n: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal bins as one, with their sums."""
+    _, first, place = np.unique(row_codes(x), return_index=True, return_inverse=True)
+    return x[first], np.bincount(place, weights=n).astype(np.int64), np.stack([np.bincount(place, weights=c) for c in stats.T], axis=1)
+
+
 def grow(spec: Spec, bins: list[Bins], x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: np.uint64, depth: int = 0) -> dict[str, np.ndarray]:
-    """The subtree of a node at ``depth`` from its rows (all with ``w > 0``), a level at a time.
+    """The subtree of a node at ``depth`` from its rows (all with ``w > 0``)."""
+    return grow_cells(spec, bins, *merged(x, np.ones(len(x), dtype=np.int64), row_stats(spec, y, w)), seed, depth)
+
+
+def _feature_cuts(spec: Spec, x: np.ndarray, count: np.ndarray, stats: np.ndarray, rows: np.ndarray, cur: np.ndarray, seeds: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """``best_cuts`` of each feature; of a node's features only those are looked at that its draw may take."""
+    nodes, features = len(seeds), x.shape[1]
+    some = spec.tries is not None and spec.tries < features
+    turn = np.argsort(feature_draw(seeds, features), axis=1) if some else np.tile(np.arange(features), (nodes, 1))
+    found = [best_cuts(spec, *[np.zeros(0, np.int64)] * 3, np.zeros((0, stats.shape[1])), nodes) for _ in range(features)]
+    usable = np.zeros(nodes, dtype=np.int64)
+    for i in range(features):
+        wanted = turn[:, i] if some else None
+        for f in range(features) if some else [i]:
+            own, node = rows, cur
+            if some:
+                asked = (wanted == f) & (usable < spec.tries)
+                if not asked.any():
+                    continue
+                take = asked[cur]
+                own, node = rows[take], cur[take]
+            # The row in the low bits: equal keys keep the order of the rows.
+            key = np.sort((node * 256 + x[own, f] << 32) | np.arange(len(own)))
+            own, key = own[key & 0xFFFFFFFF], key >> 32
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            got = best_cuts(spec, key[at] >> 8, key[at] & 255, np.add.reduceat(count[own], at), np.add.reduceat(stats[own], at, axis=0), nodes)
+            if some:
+                for c in got:
+                    found[f][c][asked] = got[c][asked]
+            else:
+                found[f] = got
+        if some:
+            usable += np.stack([g["score"] for g in found], axis=1)[np.arange(nodes), wanted] > -np.inf
+    return found
+
+
+def grow_cells(spec: Spec, bins: list[Bins], x: np.ndarray, count: np.ndarray, stats: np.ndarray, seed: np.uint64, depth: int = 0) -> dict[str, np.ndarray]:
+    """The subtree of a node at ``depth`` from cells of ``count`` rows and their sums, a level at a time.
 
     Arrays over nodes: feature (-1: leaf), cut, threshold, left (the right child follows it), n, depth, gain, value.
     """
-    stats = row_stats(spec, y, w)
     rows, cur = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
     seeds = np.array([seed], dtype=np.uint64)
     parts, used = [], 0
     while len(seeds):
         m = len(seeds)
-        n = np.bincount(cur, minlength=m)
+        n = np.bincount(cur, weights=count[rows], minlength=m).astype(np.int64)
         s = np.stack([np.bincount(cur, weights=stats[rows, i], minlength=m) for i in range(stats.shape[1])], axis=1)
-        level = {"feature": np.full(m, -1, np.int16), "cut": np.zeros(m, np.uint8), "threshold": np.zeros(m), "left": np.zeros(m, np.int32), "n": n.astype(np.int64),
+        level = {"feature": np.full(m, -1, np.int16), "cut": np.zeros(m, np.uint8), "threshold": np.zeros(m), "left": np.zeros(m, np.int32), "n": n,
                  "depth": np.full(m, depth, np.int32), "gain": np.zeros(m), "value": node_values(spec, s)}
         parts.append(level)
         used += m
@@ -223,13 +283,7 @@ def grow(spec: Spec, bins: list[Bins], x: np.ndarray, y: np.ndarray, w: np.ndarr
         place[live] = np.arange(len(live))
         stay = place[cur] >= 0
         rows, cur = rows[stay], place[cur[stay]]
-        found = []
-        for f in range(x.shape[1]):
-            key = cur * 256 + x[rows, f]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            found.append(best_cuts(spec, key[at] >> 8, key[at] & 255, np.diff(np.r_[at, len(key)]), np.add.reduceat(stats[rows[order]], at, axis=0), len(live)))
+        found = _feature_cuts(spec, x, count, stats, rows, cur, seeds[live])
         cut = choose(spec, seeds[live], found, bins)
         ok = np.flatnonzero(cut["feature"] >= 0)
         split = live[ok]
@@ -381,6 +435,25 @@ class Rows:
     def of(cls, batch: pa.RecordBatch, features: int) -> Rows:
         return cls(*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h", "fold", "y")], binary_rows(batch.column("x"), features))
 
+    @classmethod
+    def many(cls, batches, features: int, size: int | None = None):
+        """The batches put together to about ``size`` rows."""
+        size = size or PASS_ROWS
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(cls.of(batch, features))
+                n += batch.num_rows
+            if n >= size:
+                yield cls._together(held)
+                held, n = [], 0
+        if held:
+            yield cls._together(held)
+
+    @classmethod
+    def _together(cls, held: list[Rows]) -> Rows:
+        return cls(*[np.concatenate([getattr(r, c) for r in held]) for c in ("id", "h", "fold", "y", "x")])
+
     def pack(self, which: np.ndarray) -> bytes:
         return pickle.dumps((self.id[which], self.h[which], self.y[which], self.x[which]), protocol=5)
 
@@ -393,7 +466,7 @@ class Rows:
 # ------------------------------------------------------------------ step 1: levels of large nodes
 @dataclass
 class Top:
-    """The part of a tree grown by aggregates: arrays as those of ``grow``; open nodes are leaves so far."""
+    """The part of a tree grown by aggregates: arrays as those of ``grow``; open nodes are leaves so far, other leaves are final."""
 
     seed: np.uint64
     nodes: list[dict]
@@ -428,25 +501,23 @@ def grow_tops(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[int]
                                               for f, t in trees], np.array([tops[f, t].nodes[n]["seed"] for f, t, n in slots], dtype=np.uint64)))
 
         def cells(batches):
-            total = np.zeros((len(slots) * features * 256, width + 1))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = Rows.of(batch, features)
+            total = np.zeros((len(slots), features, 256, width + 1))
+            for rows in Rows.many(batches, features):
                 for f, _, seed, arrays, wanted in plan.value[0]:
                     w = row_weights(spec, seed, rows.h)
                     own = np.flatnonzero((w > 0) & (rows.fold != f))
                     node = descend(arrays, rows.x[own])
                     slot = np.full(len(arrays["feature"]), -1)
-                    slot[list(wanted)] = list(wanted.values())
+                    slot[list(wanted)] = np.arange(len(wanted))
                     slot = slot[node]
                     own, slot = own[slot >= 0], slot[slot >= 0]
-                    stats = row_stats(spec, rows.y[own], w[own])
+                    columns = [None, *row_stats(spec, rows.y[own], w[own]).T]
+                    mine = list(wanted.values())
                     for j in range(features):
-                        cell = (slot * features + j) * 256 + rows.x[own, j]
-                        total[:, 0] += np.bincount(cell, minlength=len(total))
-                        for i in range(width):
-                            total[:, i + 1] += np.bincount(cell, weights=stats[:, i], minlength=len(total))
+                        cell = slot * 256 + rows.x[own, j]
+                        for i, v in enumerate(columns):
+                            total[mine, j, :, i] += np.bincount(cell, weights=v, minlength=256 * len(mine)).reshape(-1, 256)
+            total = total.reshape(-1, width + 1)
             hit = np.flatnonzero(total[:, 0])
             yield pa.RecordBatch.from_pydict({"slot": pa.array(hit // (features * 256), pa.int32()), "f": pa.array(hit // 256 % features, pa.int32()),
                                               "bin": pa.array(hit % 256, pa.int32()), "n": pa.array(total[hit, 0].astype(np.int64)),
@@ -473,12 +544,13 @@ def grow_tops(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[int]
             top = tops[f, t]
             node, total = top.nodes[n], np.array([r["total"]])
             node.update(n=r["n"], value=node_values(spec, total)[0])
+            node["open"] = False
             if r["feature"] < 0 or node["depth"] >= spec.deepest or r["n"] < max(spec.min_split, 2) or not is_impure(spec, total)[0]:
                 continue
             node.update(feature=r["feature"], cut=r["cut"], threshold=r["threshold"], left=len(top.nodes), gain=r["score"] - node_score(spec, total)[0])
             for side, seed in enumerate(child_seeds(np.array([node["seed"]], dtype=np.uint64))[0]):
                 size = r["left_n"] if side == 0 else r["n"] - r["left_n"]
-                top.nodes.append({"feature": -1, "cut": 0, "threshold": 0.0, "left": 0, "n": size, "depth": node["depth"] + 1, "gain": 0.0, "value": None, "seed": seed, "parent": n})
+                top.nodes.append({"feature": -1, "cut": 0, "threshold": 0.0, "left": 0, "n": size, "depth": node["depth"] + 1, "gain": 0.0, "value": None, "seed": seed, "parent": n, "open": True})
                 if size > local_rows:
                     todo.append((f, t, len(top.nodes) - 1))
         plan.unpersist()
@@ -487,26 +559,23 @@ def grow_tops(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[int]
 
 # ------------------------------------------------------------------ step 2: subtrees, a group of rows a task
 def _dealt(table: DataFrame, spec: Spec, features: int, forests: list[int], tops, chunk: int, parts: int) -> DataFrame:
-    """Blocks of rows by (forest, first tree of a chunk, node, part); training rows go to every part, test rows to one."""
-    held = table.sparkSession.sparkContext.broadcast({k: (v.seed, v.arrays()) for k, v in tops.items()})
+    """Blocks of rows by (forest, first tree of a chunk, node, part); training rows of open nodes go to every part, test rows to one."""
+    held = table.sparkSession.sparkContext.broadcast({k: (v.seed, v.arrays(), np.array([n["open"] for n in v.nodes])) for k, v in tops.items()})
 
     def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = Rows.of(batch, features)
+        for rows in Rows.many(batches, features):
             part = (mix(rows.id.view(np.uint64)) % np.uint64(parts)).astype(int)
             out = []
             for f in forests:
                 learn = rows.fold != f
                 for t in range(0, spec.trees, chunk):
-                    seed, arrays = held.value[f, t]
+                    seed, arrays, is_open = held.value[f, t]
                     whole = len(arrays["feature"]) == 1
                     node = np.zeros(len(learn), dtype=int) if whole else descend(arrays, rows.x)
                     train = learn if whole else learn & (row_weights(spec, seed, rows.h) > 0)
                     for n in np.unique(node):
                         mine = node == n
-                        if (ids := np.flatnonzero(mine & train)).size:
+                        if is_open[n] and (ids := np.flatnonzero(mine & train)).size:  # the rows of a final leaf are not needed
                             block = rows.pack(ids)
                             out += [(f, t, int(n), p, True, block) for p in range(parts)]
                         for p in range(parts):
@@ -555,6 +624,8 @@ def _by_work(dealt: DataFrame, groups: int, *keys: str) -> DataFrame:
 def fit_trees(table: DataFrame, spec: Spec, bins: list[Bins], local_rows: int | None = None) -> list[dict[str, np.ndarray]]:
     """The trees of one forest over all rows of the table (fold -1)."""
     local_rows = local_rows or LOCAL_ROWS
+    if cells_fit(table, len(bins), local_rows):
+        return _fit_from_cells(table, spec, bins)
     tops, dealt, chunk, _ = _prepare(table, spec, bins, [0], local_rows)
     held = table.sparkSession.sparkContext.broadcast((tops, bins))
 
@@ -568,20 +639,24 @@ def fit_trees(table: DataFrame, spec: Spec, bins: list[Bins], local_rows: int |
     path = scratch_path(table.sparkSession, "forest")
     grown.write.parquet(path)
     grown = table.sparkSession.read.schema("tree int, node int, block binary").parquet(path)
-    size = grown.agg(F.sum(F.length("block"))).first()[0] or 0
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(f"the forest has {size >> 20} MB of nodes; bound max_depth, or score with nested_scores, which broadcasts no trees")
+    _check_size(grown)
     subtrees: dict[int, dict[int, dict]] = {}
     for r in grown.collect():
         subtrees.setdefault(r["tree"], {})[r["node"]] = pickle.loads(r["block"])
-    return [_joined(tops[0, t], subtrees[t]) for t in range(spec.trees) if t in subtrees]
+    return [_joined(spec, tops[0, t], subtrees.get(t, {})) for t in range(spec.trees) if t in subtrees or tops[0, t].nodes[0]["value"] is not None]
+
+
+def _check_size(grown: DataFrame) -> None:
+    size = grown.agg(F.sum(F.length("block"))).first()[0] or 0
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"the forest has {size >> 20} MB of nodes; bound max_depth, or score with nested_scores, which broadcasts no trees")
 
 
-def _joined(top: Top, subtrees: dict[int, dict]) -> dict[str, np.ndarray]:
+def _joined(spec: Spec, top: Top, subtrees: dict[int, dict]) -> dict[str, np.ndarray]:
     """One tree: the top, with each finished node replaced by its subtree."""
-    if len(top.nodes) == 1:
+    if len(top.nodes) == 1 and subtrees:
         return subtrees[0]
-    k = next(iter(subtrees.values()))["value"].shape[1]
+    k = spec.classes or 1
     parts = {c: [np.array([v[c] for v in top.nodes])] for c in ("feature", "cut", "threshold", "left", "n", "depth", "gain")}
     parts["value"] = [np.array([np.zeros(k) if v["value"] is None else v["value"] for v in top.nodes])]
     used = len(top.nodes)
@@ -596,6 +671,63 @@ def _joined(top: Top, subtrees: dict[int, dict]) -> dict[str, np.ndarray]:
     return {c: np.concatenate(v) for c, v in parts.items()}
 
 
+# ------------------------------------------------------------------ both steps by cells of equal rows
+def cells_fit(table: DataFrame, features: int, local_rows: int) -> bool:
+    """Whether there are more rows than ``local_rows``, but no more different ones (equal bins)."""
+    if not table.where("true").limit(local_rows + 1).count() > local_rows:
+        return False
+    return table.select("x").distinct().count() <= local_rows
+
+
+def _drawn_cells(table: DataFrame, spec: Spec, features: int, folds: bool) -> DataFrame:
+    """``tree, block``: each tree's cells (bins, fold, rows drawn, sums) of a share of the rows; cells without a drawn row are among them.
+
+    The shares are ranges of (bins, key hash), of equal size whatever the bins.
+    """
+    sc = table.sparkSession.sparkContext
+    parts = max(2 * sc.defaultParallelism, -(-table.count() // LOCAL_ROWS))
+
+    def draw(batches):
+        for rows in Rows.many(batches, features, LOCAL_ROWS):
+            order = np.lexsort((rows.y, rows.h))  # the same sums whatever order the rows came in
+            x, h, y, fold = rows.x[order], rows.h[order], rows.y[order], rows.fold[order]
+            codes = row_codes(x)
+            _, first, place = np.unique(codes, return_index=True, return_inverse=True)
+            if folds:
+                _, first, place = np.unique(place * (int(fold.max()) + 2) + fold + 1, return_index=True, return_inverse=True)
+            for t in range(spec.trees):
+                w = row_weights(spec, tree_seed(spec, t), h)
+                drawn = np.bincount(place, weights=w > 0, minlength=len(first)).astype(np.int64)
+                stats = np.stack([np.bincount(place, weights=c, minlength=len(first)) for c in row_stats(spec, y, w).T], axis=1)
+                keep = np.arange(len(first)) if folds else np.flatnonzero(drawn)
+                block = pickle.dumps((x[first[keep]], fold[first[keep]], drawn[keep], stats[keep]), protocol=5)
+                yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "block": pa.array([block], pa.binary())})
+
+    return table.select("id", "h", "fold", "y", "x").repartitionByRange(parts, "x", "h").mapInArrow(draw, "tree int, block binary")
+
+
+def _cells_of(blocks) -> tuple[np.ndarray, ...]:
+    parts = [pickle.loads(b) for b in blocks]
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+
+
+def _fit_from_cells(table: DataFrame, spec: Spec, bins: list[Bins]) -> list[dict[str, np.ndarray]]:
+    spark = table.sparkSession
+    held = spark.sparkContext.broadcast(bins)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf["tree"].iloc[0])
+        x, _, n, stats = _cells_of(pdf["block"])
+        out = [(t, pickle.dumps(grow_cells(spec, held.value, *merged(x, n, stats), tree_seed(spec, t)), protocol=5))] if len(x) else []
+        return pd.DataFrame(out, columns=["tree", "block"])
+
+    path = scratch_path(spark, "forest")
+    _by_work(_drawn_cells(table, spec, len(bins), False), spec.trees, "tree").groupBy("tree").applyInPandas(finish, "tree int, block binary").write.parquet(path)
+    grown = spark.read.schema("tree int, block binary").parquet(path)
+    _check_size(grown)
+    return [pickle.loads(r["block"]) for r in sorted(grown.collect(), key=lambda r: r["tree"])]
+
+
 def tree_importances(trees: list[dict[str, np.ndarray]], features: int) -> np.ndarray:
     """Impurity decrease a feature, each tree's adding up to 1, averaged and scaled to add up to 1."""
     total = np.zeros(features)
@@ -626,10 +758,16 @@ def nested_scores(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[
         f, first, node = (int(pdf[c].iloc[0]) for c in ("forest", "tree", "node"))
         train, test = pdf[pdf["train"]], pdf[~pdf["train"]]
         out = []
-        if len(train) and len(test):
+        top = held.value[0][f, first]
+        leaf = top.nodes[node]
+        if len(test) and (len(train) or not leaf["open"]):
             ids, _, y, x = Rows.unpack(test["block"])
             sums: dict[int, np.ndarray] = {}
-            for t, sub, above in _subtrees(full, held.value[1], f, first, node, chunk, held.value[0], Rows.unpack(train["block"])):
+            if leaf["open"]:
+                grown = _subtrees(full, held.value[1], f, first, node, chunk, held.value[0], Rows.unpack(train["block"]))
+            else:
+                grown = [(first, {k: np.array([leaf[k]]) for k in ("feature", "cut", "left", "n", "depth", "value")}, top.above(node))]
+            for t, sub, above in grown:
                 segment = int(np.searchsorted(tree_counts, t, side="right"))
                 v = nested_values(sub, x, limits, splits, above)
                 sums[segment] = sums[segment] + v if segment in sums else v
