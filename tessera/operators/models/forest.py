@@ -11,7 +11,7 @@ quantile cuts otherwise) and written as a table.  All trees of all forests are g
 
 Rows of equal bins stay together in every tree.  Where the table has at most ``LOCAL_ROWS`` different ones, one pass draws all
 trees and sums each one's weights a *cell* (equal bins, fold), and a tree is grown from its cells in one task, whatever the
-number of rows: no level reads the rows again.
+number of rows: no level reads the rows again.  Nested evaluation does so from ``CELL_SHARE`` rows a cell.
 
 All steps use the same cut search.  Bootstrap weights are Poisson(1) draws from a hash of (tree, row key);
 the features a node may use are drawn from a hash of (tree, path of the node, feature), skipping constant ones.
@@ -48,6 +48,7 @@ PASS_ROWS = 1 << 16           # rows that a task takes at a time in passes over
 MAX_BINS = 256                # a bin number is one byte
 CELLS_AT_ONCE = 8_000_000     # numbers of a task's histograms in one pass over the rows
 BLOCK_ROWS = 1024             # test rows whose trees are added up in one task
+CELL_SHARE = 4                # rows a cell from which nested evaluation grows from cells
 MAX_MODEL_BYTES = 512 << 20   # trees that a prediction broadcasts; more is an error
 UNLIMITED = 1 << 14
 SLACK = 1e-9                  # scores of values closer than this share of a node's sum of squares are equal
@@ -749,6 +750,8 @@ def nested_scores(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[
     tree_counts, splits = sorted(tree_counts), sorted(splits)
     limits = [UNLIMITED if d is None else d for d in depths]
     full = replace(spec, trees=tree_counts[-1], depth=None if None in depths else max(limits), min_split=min(splits))
+    if cells := nested_cells(table, local_rows):
+        return _scores_from_cells(table, full, bins, forests, tree_counts, depths, splits, cells)
     tops, dealt, chunk, total = _prepare(table, full, bins, forests, local_rows)
     held = table.sparkSession.sparkContext.broadcast((tops, bins))
     blocks = max(1, total // BLOCK_ROWS)
@@ -810,6 +813,108 @@ def nested_scores(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[
         *[F.sum(c).alias(c) for c in ("n", "correct", "abs_error", "sq_error", "sum_y", "sum_y2")])
 
 
+def nested_cells(table: DataFrame, local_rows: int) -> int:
+    """The number of different binned rows if a task takes so many and they are ``CELL_SHARE`` times fewer than the rows, else 0."""
+    rows, cells = table.count(), table.select("x").distinct().count()
+    return cells if cells <= local_rows and rows >= CELL_SHARE * cells else 0
+
+
+def _scores_from_cells(table: DataFrame, spec: Spec, bins: list[Bins], forests: list[int], tree_counts: list[int], depths: list[int | None], splits: list[int],
+                       cells: int) -> DataFrame:
+    """``nested_scores`` from cells: one pass draws the trees, a tree of every fold grows in one task, and its values at the fold's own
+    cells are added up; then the rows meet the values of their cell."""
+    spark, features, outputs = table.sparkSession, len(bins), spec.classes or 1
+    limits = [UNLIMITED if d is None else d for d in depths]
+    held = spark.sparkContext.broadcast(bins)
+    chunk = max(1, min(10, spec.trees // (4 * spark.sparkContext.defaultParallelism), LOCAL_ROWS // cells))
+    blocks = max(1, cells // BLOCK_ROWS)
+    shape = (len(tree_counts), len(limits), len(splits), outputs)
+
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for t in sorted(pdf["tree"].unique()):
+            x, fold, n, stats = _cells_of(pdf["block"][pdf["tree"] == t])
+            segment = int(np.searchsorted(tree_counts, t, side="right"))
+            for f in forests:
+                learn, own = (fold != f) & (n > 0), fold == f
+                if not learn.any() or not own.any():
+                    continue
+                tree = grow_cells(spec, held.value, *merged(x[learn], n[learn], stats[learn]), tree_seed(spec, int(t)))
+                test = x[own][np.unique(row_codes(x[own]), return_index=True)[1]]  # in the same order for every tree
+                v = nested_values(tree, test, limits, splits)
+                sums[f, segment] = (test, sums[f, segment][1] + v if (f, segment) in sums else v)
+        out = []
+        for (f, segment), (test, v) in sums.items():
+            block = cell_block(test, blocks)
+            out += [(f, int(b), segment, pickle.dumps((test[block == b], v[block == b]), protocol=5)) for b in np.unique(block)]
+        return pd.DataFrame(out, columns=["fold", "block", "segment", "values"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted(((int(s), *pickle.loads(b)) for s, b in zip(pdf["segment"], pdf["values"])), key=lambda p: p[0])
+        _, first, place = np.unique(row_codes(np.concatenate([p[1] for p in parts])), return_index=True, return_inverse=True)
+        total = np.zeros((len(first), *shape))
+        at = 0
+        for segment, x, v in parts:
+            total[place[at:at + len(x)], segment] += v
+            at += len(x)
+        running = np.cumsum(total, axis=1)
+        x = np.concatenate([p[1] for p in parts])[first]
+        return pd.DataFrame({"fold": pdf["fold"].iloc[0], "x": [r.tobytes() for r in x], "values": [v.tobytes() for v in running]})
+
+    def pack(batches):
+        """Targets of rows of one cell and fold together, at most BLOCK_ROWS of them."""
+        for rows in Rows.many(batches, features):
+            codes = np.unique(row_codes(rows.x), return_inverse=True)[1]
+            order = np.lexsort((codes, rows.fold))
+            fold, codes = rows.fold[order], codes[order]
+            start = np.flatnonzero(np.r_[True, (fold[1:] != fold[:-1]) | (codes[1:] != codes[:-1])])
+            start = np.concatenate([np.arange(a, b, BLOCK_ROWS) for a, b in zip(start, np.r_[start[1:], len(order)])])
+            y = [rows.y[order[a:b]].tobytes() for a, b in zip(start, np.r_[start[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(fold[start], pa.int32()), binary_matrix(rows.x[order[start]]), pa.array(y, pa.binary())], names=["fold", "x", "y"])
+
+    def score(batches):
+        total: dict[int, np.ndarray] = {}
+        counts = np.array(tree_counts, dtype=float)[:, None, None]
+        for batch in batches:
+            for f, raw, own in zip(*[batch.column(c).to_pylist() for c in ("fold", "y", "values")]):
+                y, v = np.frombuffer(raw), np.frombuffer(own).reshape(shape)
+                sums = total.setdefault(f, np.zeros((6, *shape[:3])))
+                z = y - spec.shift
+                sums[0] += len(y)
+                if spec.classes:
+                    sums[1] += np.bincount(y.astype(int), minlength=outputs)[v.argmax(axis=-1)]
+                else:
+                    miss = (v[..., 0] / counts)[..., None] - y
+                    sums[2] += np.abs(miss).sum(axis=-1)
+                    sums[3] += (miss * miss).sum(axis=-1)
+                sums[4] += z.sum()
+                sums[5] += (z * z).sum()
+        out = [(f, trees, depth, small, int(s[0, i, j, k]), int(s[1, i, j, k]), *map(float, s[2:, i, j, k])) for f, s in total.items()
+               for i, trees in enumerate(tree_counts) for j, depth in enumerate(depths) for k, small in enumerate(splits)]
+        if out:
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], kind) for i, (c, kind) in enumerate(zip(_SCORED, _SCORED_KINDS))})
+
+    drawn = _drawn_cells(table, spec, features, True).withColumn("chunk", F.floor(F.col("tree") / chunk))
+    at_cells = _by_work(drawn, -(-spec.trees // chunk), "chunk").groupBy("chunk").applyInPandas(values, "fold int, block int, segment int, values binary")
+    summed = at_cells.groupBy("fold", "block").applyInPandas(add, "fold int, x binary, values binary")
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-table.count() // LOCAL_ROWS))
+    targets = table.where(F.col("fold").isin(forests)).repartitionByRange(parts, "fold", "x", "h").mapInArrow(pack, "fold int, x binary, y binary")
+    scored = targets.join(summed, ["fold", "x"]).mapInArrow(score, ", ".join(f"{c} {k}" for c, k in zip(_SCORED, ["int"] * 4 + ["long"] * 2 + ["double"] * 4)))
+    return scored.groupBy(*_SCORED[:4]).agg(*[F.sum(c).alias(c) for c in _SCORED[4:]])
+
+
+_SCORED = ("forest", "n_estimators", "max_depth", "min_samples_split", "n", "correct", "abs_error", "sq_error", "sum_y", "sum_y2")
+_SCORED_KINDS = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.float64()] * 4
+
+
+def cell_block(x: np.ndarray, blocks: int) -> np.ndarray:
+    """A number below ``blocks`` for each binned row, the same in every task."""
+    h = np.zeros(len(x), dtype=np.uint64)
+    for column in x.T:
+        h = mix(h ^ column.astype(np.uint64))
+    return (h % np.uint64(blocks)).astype(int)
+
+
 # ------------------------------------------------------------------ prediction
 def raw_values(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     """The value of the leaf of each row of plain numbers."""

@@ -59,3 +59,22 @@ def test_repeated_keys_and_null_like_bins(spark):
     rows, bins, labels, _ = estimators.forest_rows(df, "y", ["a", "b", "c"], "classification_binary", {}, ["id"])
     spec = estimators.forest_spec("classification_binary", {"n_estimators": 4}, 3, 2, 0.0)
     assert len(forest.fit_trees(rows, spec, bins, 100)) == len(forest.fit_trees(rows, spec, bins))
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_nested_scores_from_cells_are_those_of_the_rows(spark, classes, monkeypatch):
+    problem = "regression" if not classes else "classification_multi"
+    df = frame(spark, 1500, classes).withColumn("_fold", F.col("id") % 3)
+    rows, bins, labels, shift = estimators.forest_rows(df, "y", ["a", "b", "c"], problem, {}, ["id"], F.col("_fold"))
+    spec = estimators.forest_spec(problem, {}, 3, classes, shift)
+    args = (rows, spec, bins, [0, 1, 2], [2, 5, 12], [None, 2, 4], [2, 30])
+    dealt = []
+    plain = forest._dealt
+    monkeypatch.setattr(forest, "_dealt", lambda *a: dealt.append(1) or plain(*a))
+    got = {tuple(r[:4]): r for r in forest.nested_scores(*args).collect()}
+    assert not dealt  # no tree's rows are dealt
+    monkeypatch.setattr(forest, "CELL_SHARE", 10**6)
+    want = {tuple(r[:4]): r for r in forest.nested_scores(*args).collect()}
+    assert dealt and set(got) == set(want) and len(got) == 3 * 3 * 3 * 2
+    for at, r in want.items():
+        assert tuple(got[at][4:6]) == tuple(r[4:6]) and np.allclose(got[at][6:], r[6:])
