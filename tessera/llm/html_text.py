@@ -9,9 +9,9 @@ element of the page.  End tags that may be left out are implied.
 
 What markup leaves open is decided by the host: the token streams of all blocks
 outside such elements are concatenated, a suffix array over them (built by prefix
-doubling until suffixes are ordered by their first ``MIN_RUN`` tokens) finds the
-runs that repeat on at least ``MIN_PAGES`` pages with different contents, and
-the tokens covered by repeated runs are removed; unique runs stay.  A host of any
+doubling until all suffixes are ordered) with the lengths of their common prefixes
+gives the repeats of ``MIN_RUN`` tokens or more, those on at least ``MIN_PAGES`` pages
+with different contents count, and the tokens they cover are removed; unique runs stay.  A host of any
 size is dealt to shards of bounded size, each with an array of its own, and the
 counts of equal runs are added up over the shards, so the result is that of one
 array a host.
@@ -264,8 +264,31 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
 
 
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and for each the number of leading tokens it shares with the one before (0 for the first)."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    levels, width = [rank.astype(np.int32)], 1   # levels[k]: equal for suffixes that share 2^k tokens
+    while rank.max() < n:
+        later = np.concatenate([rank[width:], np.zeros(min(width, n), np.int64)])
+        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
+        levels.append(rank.astype(np.int32))
+        width *= 2
+    order = np.argsort(rank, kind="stable")
+    a, b, shared = order[:-1].copy(), order[1:].copy(), np.zeros(n, dtype=np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        same = np.flatnonzero((a < n) & (b < n))
+        same = same[levels[k][a[same]] == levels[k][b[same]]]
+        a[same] += 1 << k
+        b[same] += 1 << k
+        shared[same + 1] += 1 << k
+    return order, shared
+
+
 def _repeated_in_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """``host, run, pages``: for each class of suffixes with MIN_RUN equal tokens the number of pages of the shard."""
+    """``host, run, pages``: for each class of neighbouring suffixes that share MIN_RUN tokens or more the number of pages of the shard."""
     rows = rows.drop_duplicates("page")
     streams = [np.frombuffer(s, dtype=np.uint64) for s in rows["tokens"]]
     tokens, owner, fits = [], [], []
@@ -274,7 +297,8 @@ def _repeated_in_shard(rows: pd.DataFrame) -> pd.DataFrame:
         owner.append(np.full(len(s), i))
         fits.append(np.arange(len(s)) <= len(s) - MIN_RUN)  # a run stays on its page
     tokens, owner, fits = np.concatenate(tokens), np.concatenate(owner), np.concatenate(fits)
-    order, new = suffix_order(tokens, MIN_RUN)
+    order, shared = suffix_array(tokens)
+    new = shared < MIN_RUN
     kind = (np.cumsum(new) - 1)[fits[order]]
     order = order[fits[order]]
     if not len(order):

@@ -2,6 +2,7 @@ import html as entities
 import re
 
 import numpy as np
+import pandas as pd
 
 from tessera.llm import html_text
 
@@ -134,3 +135,24 @@ def test_formulas_are_text_and_their_annotations_are_not():
     page = ("<html><body><article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup>"
             "<annotation encoding='application/x-tex'>E=mc^2</annotation></math> holds.</p></article></body></html>")
     assert html_text.main_text(html_text.blocks(page)) == "Energy E=mc2 holds."
+
+
+def test_suffix_array_orders_whole_suffixes_with_their_common_prefixes():
+    rng = np.random.RandomState(5)
+    for tokens in (rng.randint(0, 3, 200), np.zeros(40, int), np.tile(rng.randint(0, 5, 30), 4), np.array([7])):
+        tokens = tokens.astype(np.uint64)
+        order, shared = html_text.suffix_array(tokens)
+        tails = [tokens[i:].tolist() for i in order]
+        assert tails == sorted(tails) and sorted(order) == list(range(len(tokens)))
+        want = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(tails, tails[1:])]
+        assert shared.tolist() == want
+
+
+def test_the_shard_step_builds_the_whole_array(monkeypatch):
+    called = []
+    plain = html_text.suffix_array
+    monkeypatch.setattr(html_text, "suffix_array", lambda t: called.append(len(t)) or plain(t))
+    run = np.arange(html_text.MIN_RUN * 3, dtype=np.uint64)
+    rows = pd.DataFrame({"host": "h", "page": [1, 2], "tokens": [run.tobytes(), np.r_[run, run[:3]].astype(np.uint64).tobytes()]})
+    found = html_text._repeated_in_shard(rows)
+    assert called and (found["pages"] == 2).sum() == html_text.MIN_RUN * 2 + 1
